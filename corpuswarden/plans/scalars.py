@@ -1 +1,164 @@
-"""Queries."""
+"""Queries: scalar expressions and text scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpuswarden.functions import markup, paths, text, versions
+from corpuswarden.plans.registry import LINES_SQL, Tables, query
+from corpuswarden.plans.scans import TREE_SQL, document_lines, source_trees
+from corpuswarden.sources import scans
+
+
+@query(
+    "normalize_text",
+    r"""WITH d AS (SELECT doc_id, replace(text, '. ', '.  ' || chr(13) || chr(10)) || ' see #L12 and #L7b' AS t FROM documents),
+    n AS (SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '(?m)[\p{Zs}\t\v\f]+$', '', 'g'), chr(10)), lambda x: NOT starts_with(x, 'The')), chr(10)) AS t FROM d)
+    SELECT doc_id, length(regexp_replace(t, '#L\d+', '#L', 'g')) AS n, sha256(regexp_replace(t, '#L\d+', '#L', 'g')) AS digest FROM n""",
+)
+def _normalize_text(t: Tables):
+    messy = F.concat(F.replace("text", F.lit(". "), F.lit(".  \r\n")), F.lit(" see #L12 and #L7b"))
+    norm = text.normalize_text(messy, "The", blank_line_fragments=True)
+    return t.documents.select("doc_id", norm.alias("t")).select(
+        "doc_id", F.char_length("t").cast("long").alias("n"), text.content_digest(F.col("t")).alias("digest")
+    )
+
+
+@query(
+    "content_digest",
+    f"""WITH {TREE_SQL} SELECT CAST(doc_id AS VARCHAR) AS key, sha256(text) AS digest, md5(concat_ws(chr(10), doc_id, lang, CASE WHEN n_chars > 100 THEN source ELSE '' END))[1:12] AS short FROM documents
+    UNION ALL SELECT source, digest, NULL FROM trees""",
+)
+def _content_digest(t: Tables):
+    docs = t.documents.select(
+        F.col("doc_id").cast("string").alias("key"),
+        text.content_digest(F.col("text")).alias("digest"),
+        text.short_digest(F.col("doc_id"), F.col("lang"), F.when(F.col("n_chars") > 100, F.col("source"))).alias("short"),
+    )
+    trees = source_trees(t).select(F.col("source").alias("key"), "digest", F.lit(None).cast("string").alias("short"))
+    return docs.unionByName(trees)
+
+
+@query(
+    "strip_markup",
+    r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g')) AS digest,
+      length(regexp_replace(replace(html, '%', '`'), '`[^`\n]*`', '', 'g')) AS n_without_code, regexp_replace(lower(url), '[^\p{L}\p{N}_-]', '', 'g') AS anchor FROM pages""",
+)
+def _strip_markup(t: Tables):
+    code = text.strip_inline_code(F.replace("html", F.lit("%"), F.lit("`")))
+    return t.pages.select(
+        "page_id",
+        F.md5(markup.strip_invisible(F.col("html"))).alias("digest"),
+        F.char_length(code).cast("long").alias("n_without_code"),
+        text.anchor_for(F.col("url")).alias("anchor"),
+    )
+
+
+@query(
+    "markup_balance",
+    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g') AS h FROM pages),
+    t AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)(?:\s[^>]*[^/>]|\s*)>', 1))) AS tag, 1 AS n FROM p
+          UNION ALL SELECT page_id, lower(unnest(regexp_extract_all(h, '</([a-zA-Z][a-zA-Z0-9]*)\s*>', 1))), -1 FROM p)
+    SELECT page_id, tag, CAST(sum(n) AS BIGINT) AS surplus FROM t WHERE tag NOT IN ('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr') GROUP BY 1, 2 HAVING sum(n) <> 0""",
+)
+def _markup_balance(t: Tables):
+    return markup.markup_balance(t.pages, "html", ["page_id"])
+
+
+@query("markup_well_formed")
+def _markup_well_formed(t: Tables):
+    """Exact parse of each page; SQL has no counterpart."""
+    return t.pages.select("page_id", markup.markup_state(F.regexp_replace("html", "^<!DOCTYPE html>", "")).alias("state"))
+
+
+@query(
+    "version_parts",
+    r"""WITH v AS (SELECT p_partkey, 'x = 1' || chr(10) || '__version__ = "' || p_size || '.' || (p_partkey // 50) || CASE WHEN p_brand = 'Brand#9' THEN '' ELSE '.' || length(p_name) END || '"' AS t FROM part),
+    r AS (SELECT p_partkey, nullif(regexp_extract(t, '(?m)^__version__\s*=\s*[''"](\d+[.]\d+[.]\d+)[''"]', 1), '') AS version FROM v),
+    i AS (SELECT *, list_transform(string_split(version, '.'), lambda x: CAST(x AS INTEGER)) AS a FROM r)
+    SELECT p_partkey, version, CASE WHEN version IS NOT NULL THEN a[1] || '.' || a[2] || '.' || (a[3] + 1) END AS bumped, coalesce(a < [25, 3, 0], false) AS older, coalesce(version < '25.3.0', false) AS older_as_text FROM i""",
+)
+def _version_parts(t: Tables):
+    last = F.when(F.col("p_brand") != "Brand#9", F.concat(F.lit("."), F.char_length("p_name").cast("string"))).otherwise("")
+    source = F.concat(
+        F.lit('x = 1\n__version__ = "'), F.col("p_size").cast("string"), F.lit("."), F.floor(F.col("p_partkey") / 50).cast("string"), last, F.lit('"')
+    )
+    v = F.col("version")
+    return t.part.select("p_partkey", versions.read_version(source).alias("version")).select(
+        "p_partkey",
+        "version",
+        F.when(v.isNotNull(), versions.bump_patch(v)).alias("bumped"),
+        versions.is_lower(v, F.lit("25.3.0")).alias("older"),
+        F.coalesce(v < "25.3.0", F.lit(False)).alias("older_as_text"),
+    )
+
+
+@query(
+    "url_slug",
+    r"""WITH u AS (SELECT page_id, url, regexp_replace(url, '\.html$', '.git') AS g FROM pages)
+    SELECT page_id, nullif(regexp_extract(g, '\.example\.com[:/]([^/]+/[^/]+?)(?:\.git)?$', 1), '') AS slug, regexp_replace(lower(url), '[-_.]+', '-', 'g') AS index_name FROM u""",
+)
+def _url_slug(t: Tables):
+    url = F.regexp_replace("url", r"\.html$", ".git")
+    return t.pages.select(
+        "page_id", paths.repo_slug(url, ".example.com").alias("slug"), paths.index_name(F.col("url")).alias("index_name")
+    )
+
+
+@query("path_fold", r"""SELECT page_id, regexp_replace(url, '[:\\/_]', '-', 'g') AS key FROM pages""")
+def _path_fold(t: Tables):
+    return t.pages.select("page_id", paths.flat_key(F.col("url")).alias("key"))
+
+
+@query(
+    "date_age",
+    r"""WITH d AS (SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN strftime(o_orderdate, '%d/%m/%Y') WHEN '4-NOT SPECIFIED' THEN '1998-13-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderdate FROM orders)
+    SELECT o_orderkey, day, regexp_matches(day, '^\d{4}-\d{2}-\d{2}$') AS shape_ok, CASE WHEN regexp_matches(day, '^\d{4}-\d{2}-\d{2}$') THEN TRY_CAST(day AS DATE) END IS NOT NULL AS readable,
+      CAST(date_diff('day', o_orderdate, TIMESTAMP '2000-01-01') AS DOUBLE) AS age_days, date_diff('day', o_orderdate, TIMESTAMP '2000-01-01') <= 30 AS within FROM d""",
+)
+def _date_age(t: Tables):
+    shape = r"^\d{4}-\d{2}-\d{2}$"
+    day = (
+        F.when(F.col("o_orderpriority") == "5-LOW", F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "1998-13-01")
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    )
+    age = text.days_between(F.expr("TIMESTAMP_NTZ '2000-01-01'"), F.col("o_orderdate"))
+    return t.orders.select("o_orderkey", day.alias("day"), age.alias("age_days")).select(
+        "o_orderkey",
+        "day",
+        F.col("day").rlike(shape).alias("shape_ok"),
+        (F.col("day").rlike(shape) & F.try_to_date("day", "yyyy-MM-dd").isNotNull()).alias("readable"),
+        "age_days",
+        (F.col("age_days") <= 30).alias("within"),
+    )
+
+
+@query(
+    "definition_scan",
+    f"WITH {LINES_SQL} SELECT doc_id, line_no, regexp_extract(line, '^([A-Z][a-z]+) ', 1) AS name FROM lines WHERE regexp_matches(line, '^([A-Z][a-z]+) ')",
+)
+def _definition_scan(t: Tables):
+    return scans.definition_scan(document_lines(t), ["doc_id"], "^([A-Z][a-z]+) ")
+
+
+@query(
+    "aliased_call_scan",
+    r"""WITH w AS (SELECT conv_id, turn, role, string_split_regex(text, '[ \n]+') AS ws FROM conversations),
+    a AS (SELECT DISTINCT conv_id, regexp_replace(lower(ws[1]), '[.,]', '', 'g') AS alias, 'f' || length(regexp_replace(ws[1], '[.,]', '', 'g')) AS fn FROM w WHERE role = 'user'),
+    x AS (SELECT conv_id, turn, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w WHERE role <> 'user'),
+    c AS (SELECT conv_id, turn, pos, regexp_replace(lower(word), '[.,]', '', 'g') AS alias, ends_with(word, ',') AS kw FROM x)
+    SELECT conv_id, turn, pos, alias, fn AS function FROM c JOIN a USING (conv_id, alias) WHERE fn NOT IN ('f2', 'f3') OR kw""",
+)
+def _aliased_call_scan(t: Tables):
+    words = t.conversations.select("conv_id", "turn", "role", F.split("text", "[ \n]+").alias("ws"))
+    bare = lambda c: F.regexp_replace(c, "[.,]", "")
+    first = F.get("ws", F.lit(0))
+    aliases = words.where("role = 'user'").select(
+        "conv_id", bare(F.lower(first)).alias("alias"), F.concat(F.lit("f"), F.char_length(bare(first)).cast("string")).alias("function")
+    )
+    calls = words.where("role <> 'user'").select("conv_id", "turn", F.posexplode("ws").alias("_p", "word")).select(
+        "conv_id", "turn", (F.col("_p") + 1).cast("long").alias("pos"), bare(F.lower("word")).alias("alias"), F.endswith("word", F.lit(",")).alias("has_keyword")
+    )
+    hits = scans.aliased_call_scan(aliases, calls, "conv_id", "alias", keyword_needed=["f2", "f3"])
+    return hits.select("conv_id", "turn", "pos", "alias", "function")

@@ -1 +1,113 @@
-"""Queries."""
+"""Queries: the streaming checks, drained over what lies in the table's folder.
+
+Append mode gives only what the watermark has closed; the SQL cuts the rest in
+the same way, from the latest event time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpuswarden.operators import filters
+from corpuswarden.plans.registry import Tables, query
+from corpuswarden.streaming import timed
+
+STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def event_stream(t: Tables):
+    """Events as a stream, with instants in place of timestamps without zone."""
+    stream = timed.file_stream(t.spark, t.folder, "events.parquet", t.events.schema)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stamped(df, *columns: str):
+    for c in columns:
+        df = df.withColumn(c, F.date_format(c, STAMP))
+    return df
+
+
+@query(
+    "stream_corpus_audit",
+    """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN strlen(text) > 4000 THEN 'FAIL' ELSE 'WARN' END AS status FROM documents
+       WHERE strlen(text) > 2000 OR strlen(text) < 20""",
+)
+def _stream_corpus_audit(t: Tables):
+    docs = timed.file_stream(t.spark, t.folder, "documents.parquet", t.documents.schema)
+
+    def budget(df):
+        sized = filters.size_budget(df, F.octet_length("text"), F.lit(2000), F.lit(4000))
+        return sized.where("status <> 'OK'").select("doc_id", "size", "status")
+
+    return timed.run_once(timed.corpus_audit(docs, budget), "append")
+
+
+@query(
+    "stream_receipt_state",
+    """SELECT user_id, event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS latest FROM events GROUP BY 1, 2""",
+)
+def _stream_receipt_state(t: Tables):
+    updates = timed.run_once(timed.receipt_state(event_stream(t), "user_id", "event_type", "ts"), "update")
+    return stamped(updates.groupBy("user_id", "event_type").agg(F.max("latest").alias("latest")), "latest")
+
+
+@query(
+    "stream_visibility_join",
+    """WITH p AS (SELECT user_id, event_id AS pub_id, ts AS pub_ts FROM events WHERE event_type = 'signup'), v AS (SELECT user_id, event_id AS vis_id, ts AS vis_ts FROM events WHERE event_type = 'purchase'),
+    w AS (SELECT date_trunc('millisecond', least((SELECT max(pub_ts) FROM p), (SELECT max(vis_ts) FROM v)) - INTERVAL 1 HOUR) AS wm),
+    j AS (SELECT p.user_id, pub_id, pub_ts, vis_id FROM p LEFT JOIN v ON p.user_id = v.user_id AND vis_ts > pub_ts AND vis_ts <= pub_ts + INTERVAL 2 DAY)
+    SELECT user_id, pub_id, vis_id FROM j, w WHERE vis_id IS NOT NULL OR pub_ts + INTERVAL 2 DAY < wm""",
+)
+def _stream_visibility_join(t: Tables):
+    events = event_stream(t)
+    published = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("pub_id"), F.col("ts").alias("pub_ts"))
+    visible = event_stream(t).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("vis_id"), F.col("ts").alias("vis_ts"))
+    joined = timed.visibility_join(published, visible, "user_id", "2 DAYS", "1 hour")
+    return timed.run_once(joined, "append").select("user_id", "pub_id", "vis_id")
+
+
+@query(
+    "stream_run_verdict",
+    """WITH e AS (SELECT user_id, time_bucket(INTERVAL 40 MINUTE, ts, TIMESTAMP '1970-01-01') AS s, CASE WHEN event_type = 'click' THEN 'in_progress' ELSE 'completed' END AS st, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS c FROM events),
+    g AS (SELECT user_id, s, count(*) AS n_runs, count(*) FILTER (WHERE st <> 'completed') AS n_pending, count(*) FILTER (WHERE st = 'completed' AND c <> 'success') AS n_failed FROM e GROUP BY 1, 2)
+    SELECT user_id, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS window_start, n_runs, n_pending, n_failed, CASE WHEN n_pending > 0 THEN 'timeout' WHEN n_failed > 0 THEN 'failure' ELSE 'success' END AS verdict
+    FROM g WHERE s + INTERVAL 40 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def _stream_run_verdict(t: Tables):
+    kind = F.col("event_type")
+    runs = event_stream(t).select(
+        "user_id", "ts",
+        F.when(kind == "click", "in_progress").otherwise("completed").alias("status"),
+        F.when(kind == "error", "failure").otherwise("success").alias("conclusion"),
+    )
+    out = timed.run_once(timed.windowed_run_verdict(runs, "user_id", "ts", "40 minutes", "1 hour"), "append")
+    return stamped(out.drop("window_end"), "window_start")
+
+
+@query(
+    "stream_edit_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS b FROM events),
+    i AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g), s AS (SELECT user_id, n, min(ts) AS a, max(ts) + INTERVAL 8 HOUR AS z, count(*) AS n_edits FROM i GROUP BY 1, 2)
+    SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(z, '%Y-%m-%d %H:%M:%S.%f') AS session_end, n_edits FROM s WHERE z <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def _stream_edit_sessions(t: Tables):
+    sessions = timed.edit_sessions(event_stream(t), "user_id", "ts", "8 hours", "1 hour")
+    return stamped(timed.run_once(sessions, "append"), "session_start", "session_end")
+
+
+@query(
+    "stream_findings_trend",
+    """WITH f AS (SELECT event_type || '/' || user_id AS c, ts FROM events WHERE event_type IN ('error', 'click')), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM f),
+    w AS (SELECT c, 7 AS days, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS s FROM f
+      UNION ALL SELECT c, 14, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') - INTERVAL 7 DAY * k FROM f, (SELECT unnest([0, 1]) AS k))
+    SELECT c AS "check", days, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS n_findings FROM w, m WHERE s + INTERVAL 1 DAY * days <= wm GROUP BY 1, 2, 3""",
+)
+def _stream_findings_trend(t: Tables):
+    def trend(length: int, slide: str | None):
+        found = event_stream(t).where("event_type IN ('error', 'click')").select(
+            F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("check"), "ts"
+        )
+        out = timed.run_once(timed.findings_trend(found, "check", "ts", "1 hour", f"{length} days", slide), "append")
+        return stamped(out.select("check", F.lit(length).alias("days"), "window_start", "n_findings"), "window_start")
+
+    return trend(7, None).unionByName(trend(14, "7 days"))
