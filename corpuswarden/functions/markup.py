@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuswarden.functions.rows import each_struct
+
 # Elements that are written without a closing tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 _OPEN = r"<([a-zA-Z][a-zA-Z0-9]*)(?:\s[^>]*[^/>]|\s*)>"
@@ -25,7 +27,7 @@ def markup_balance(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
     signed = lambda pattern, n: F.transform(
         F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)), lambda t: F.struct(F.lower(t).alias("tag"), F.lit(n).alias("n"))
     )
-    tags = df.select(*keep, F.inline(F.concat(signed(_OPEN, 1), signed(_CLOSE, -1)))).where(~F.col("tag").isin(*VOID))
+    tags = each_struct(df, keep, F.concat(signed(_OPEN, 1), signed(_CLOSE, -1)), "tag").where(~F.col("tag").isin(*VOID))
     return tags.groupBy(*keep, "tag").agg(F.sum("n").alias("surplus")).where(F.col("surplus") != 0)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuswarden.session import shared_folder
+from corpuswarden.session import materialize
 
 BLOCK = 16_384
 
@@ -88,20 +88,19 @@ def positions(
     """1-based rank of each row in a total order, per group or over the whole table.
 
     The rows are range-partitioned by group and order and written to the
-    checkpoint folder once, so that partition numbers stay what they are. Each
+    shared folder once, so that partition numbers stay what they are. Each
     partition ranks its own rows; the offsets of earlier partitions come from
     one count per partition and group. ``order`` must be total, or ties split
     freely between neighbours.
     """
     spark = df.sparkSession
-    shared_folder(spark)
     group = group or []
     names = [f"_o{i}" for i in range(len(order))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(_plain(order), names)])
     sort = [_directed(c, n) for c, n in zip(order, names)]
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = tagged.repartitionByRange(parts, *[F.col(g) for g in group], *sort)
-    fixed = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint()
+    fixed, _ = materialize(ranged.withColumn("_pid", F.spark_partition_id()), "positions")
     counts = fixed.groupBy(*group, "_pid").count()
     before = Window.orderBy("_pid") if not group else Window.partitionBy(*group).orderBy("_pid")
     offsets = counts.select(

@@ -5,30 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Separators of each line definition.
-LINE_BREAKS = {
-    # iterating over an open text file: \n, \r and \r\n
-    "file": r"\r\n|\r|\n",
-    # str.splitlines(): also vertical tab, form feed, the separators and U+0085/2028/2029
-    "splitlines": r"\r\n|[\r\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]",
-    # one more line than there are \n: the tail after the last break always counts
-    "newline_count": r"\n",
-}
+# The separators of str.splitlines() go beyond those of a text file
+# (\\n, \\r, \\r\\n); in mode "newline_count" the tail after the last \\n always counts.
+LINE_BREAKS = {"splitlines": r"\r\n|[\r\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"}
 SUMMARY_MAX = 100
 
 
 def split_lines(text: Column, mode: str) -> Column:
     """Array of lines of ``text`` under one of the three line definitions."""
-    pieces = F.split(text, LINE_BREAKS[mode])
     if mode == "newline_count":
-        return pieces
-    return F.when(
-        F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    ).otherwise(pieces)
+        return F.split(text, "\n")
+    if mode == "file":
+        body = unify_newlines(text)
+        body = F.when(body.endswith("\n"), F.left(body, F.char_length(body) - 1)).otherwise(body)
+        pieces = F.split(body, "\n")
+    else:
+        pieces = F.split(F.regexp_replace(text, f"({LINE_BREAKS[mode]})\\z", ""), LINE_BREAKS[mode])
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(pieces)
 
 
 def unify_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def rstrip_lines(text: Column) -> Column:

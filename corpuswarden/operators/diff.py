@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswarden.functions.ordered import ordinal_in_group
+from corpuswarden.functions.rows import each
 from corpuswarden.functions.text import content_digest, normalize_text, unify_newlines
 
 
@@ -188,7 +189,7 @@ def reference_counts(lines: DataFrame, names: DataFrame, file: str, name: str) -
 
     Words are tokenized once per line and met in an equi-join; no name is
     searched for line by line."""
-    words = lines.select(file, F.explode(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0))).alias(name))
+    words = each(lines, [file], F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0)), name)
     used = words.groupBy(file, name).agg(F.count(F.lit(1)).alias("_used"))
     defined = names.groupBy(file, name).agg(F.count(F.lit(1)).alias("_defs"))
     return used.join(defined, [file, name]).where(F.col("_used") > F.col("_defs")).select(file, name)

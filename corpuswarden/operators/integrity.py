@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuswarden.functions import paths
 from corpuswarden.functions.ordered import top_k
+from corpuswarden.functions.rows import each
 
 
 def broken_links(links: DataFrame, catalog: DataFrame, target: str, key: str) -> DataFrame:
@@ -104,7 +105,7 @@ def longest_prefix_rule(keys: DataFrame, key: str, rules: DataFrame) -> DataFram
     ``rules(rule, rule_order)``: a rule ending in a slash matches as a prefix, any
     other only exactly; among equal rule texts the first one is kept."""
     first = rules.groupBy("rule").agg(F.min("rule_order").alias("rule_order"))
-    asked = keys.select(key).distinct().select(key, F.explode(rule_candidates(F.col(key))).alias("rule"))
+    asked = each(keys.select(key).distinct(), [key], rule_candidates(F.col(key)), "rule")
     best = asked.join(first, "rule", "left").groupBy(key).agg(
         F.max_by(
             F.when(F.col("rule_order").isNotNull(), F.col("rule")),
@@ -174,9 +175,8 @@ def named_in_segment(lines: DataFrame, owner: str) -> DataFrame:
     """Names linked from the segment of the navigation line."""
     nav = lines.where(F.startswith(F.col("line"), F.lit("**Nav**:")))
     segment = F.regexp_extract("line", NAMED_SEGMENT, 1)
-    return nav.select(
-        owner, F.explode(F.regexp_extract_all(segment, F.lit(NAMED_LINK), F.lit(1))).alias("name")
-    ).withColumn("name", F.lower("name"))
+    names = each(nav, [owner], F.regexp_extract_all(segment, F.lit(NAMED_LINK), F.lit(1)), "name")
+    return names.withColumn("name", F.lower("name"))
 
 
 def hub_coverage(topics: DataFrame, index_links: DataFrame, hub_links: DataFrame, name: str) -> DataFrame:
@@ -227,15 +227,11 @@ SYNC_BLOCK = r"(?s)<!--\s*sync:([\w-]+)\s*-->(.*?)<!--\s*/sync:"
 def sync_blocks(df: DataFrame, text: str, doc: str) -> DataFrame:
     """Named blocks of each text; blocks opened inside a fence are examples and are cut out first."""
     plain = F.regexp_replace(F.col(text), r"(?ms)^\s*(```|~~~).*?(^\s*(```|~~~)[^\n]*$|\z)", "")
-    return df.select(
-        doc,
-        F.explode(
-            F.arrays_zip(
-                F.regexp_extract_all(plain, F.lit(SYNC_BLOCK), F.lit(1)).alias("name"),
-                F.regexp_extract_all(plain, F.lit(SYNC_BLOCK), F.lit(2)).alias("body"),
-            )
-        ).alias("_b"),
-    ).select(doc, "_b.name", "_b.body")
+    found = F.arrays_zip(
+        F.regexp_extract_all(plain, F.lit(SYNC_BLOCK), F.lit(1)).alias("name"),
+        F.regexp_extract_all(plain, F.lit(SYNC_BLOCK), F.lit(2)).alias("body"),
+    )
+    return each(df, [doc], found, "_b").select(doc, "_b.name", "_b.body")
 
 
 def rename_target_check(ledger: DataFrame, names: DataFrame, key: str, target: str) -> DataFrame:

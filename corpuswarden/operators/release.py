@@ -7,34 +7,31 @@ from pyspark.sql import functions as F
 
 from corpuswarden.functions.text import days_between
 from corpuswarden.functions.versions import is_lower, version_parts
-from corpuswarden.session import shared_folder
+from corpuswarden.session import Stages, materialize
 
 
 def dependency_cascade(edges: DataFrame, selection: DataFrame, name: str, max_levels: int = 1_000) -> DataFrame:
     """Selection plus all its downstream dependents, each once, marked.
 
     ``edges(upstream, downstream)``. Goes level by level; each level joins only
-    the rows that are new and is written to the checkpoint folder, so cycles and
+    the rows that are new and is written to the shared folder, so cycles and
     diamonds end and the plan does not grow. As many rounds as the graph is deep."""
-    shared_folder(edges.sparkSession)
-    links = edges.select("upstream", "downstream").where(F.col("upstream") != F.col("downstream")).distinct()
-    reached = selection.select(name).distinct().withColumn("level", F.lit(0)).checkpoint()
-    frontier = reached
+    links, _ = materialize(
+        edges.select("upstream", "downstream").where(F.col("upstream") != F.col("downstream")).distinct(), "edges"
+    )
+    reached = Stages(edges.sparkSession, "levels")
+    frontier, _ = reached.add(selection.select(name).distinct().withColumn("level", F.lit(0)))
     for level in range(1, max_levels + 1):
-        found = (
+        step = (
             links.join(frontier.select(F.col(name).alias("upstream")), "upstream", "left_semi")
             .select(F.col("downstream").alias(name))
             .distinct()
-            .join(reached.select(name), name, "left_anti")
-            .withColumn("level", F.lit(level))
-            .checkpoint()
+            .join(reached.all().select(name), name, "left_anti")
         )
-        if found.isEmpty():
+        frontier, n_new = reached.add(step.withColumn("level", F.lit(level)))
+        if not n_new:
             break
-        frontier, reached = found, reached.unionByName(found)
-        if level % 10 == 0:
-            reached = reached.checkpoint()
-    return reached.select(
+    return reached.all().select(
         name, F.when(F.col("level") == 0, "selected").otherwise("added").alias("mark"), F.col("level").cast("long").alias("level")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuswarden.functions.ordered import Order, ordinal_in_group, positions, running_last, running_sum
 from corpuswarden.functions.text import heading_slug
-from corpuswarden.session import shared_folder
+from corpuswarden.session import Stages, materialize
 
 FENCE = r"^\s*(```|~~~)"
 
@@ -64,36 +64,30 @@ def first_definition_wins(
     definition of a member wins. Each (owner, class) pair is kept with the
     smallest path of base positions that leads to it, so that diamonds are
     walked once and loops end. Rounds: as many as the hierarchy is deep."""
-    shared_folder(owners.sparkSession)
-    edges = (
+    edges, _ = materialize(
         bases.where(F.col("private"))
         .groupBy(F.col("owner").alias("_from"), F.col("base").alias("_to"))
-        .agg(F.min("pos").cast("long").alias("_pos"))
+        .agg(F.min("pos").cast("long").alias("_pos")),
+        "bases",
     )
-    start = owners.select("owner").distinct().select("owner", F.col("owner").alias("class"), F.array().cast("array<bigint>").alias("path"))
-    reached = start.checkpoint()
-    frontier = reached
+    root = F.array().cast("array<bigint>")
+    start = owners.select("owner").distinct().select("owner", F.col("owner").alias("class"), root.alias("path"))
+    reached = Stages(owners.sparkSession, "classes")
+    frontier, _ = reached.add(start)
     for _ in range(max_levels):
         step = (
             frontier.join(edges, F.col("class") == F.col("_from"))
-            .select("owner", F.col("_to").alias("class"), F.concat("path", F.array("_pos")).alias("path"))
-            .groupBy("owner", "class")
-            .agg(F.min("path").alias("path"))
+            .groupBy("owner", F.col("_to").alias("class"))
+            .agg(F.min(F.concat("path", F.array("_pos"))).alias("path"))
         )
-        # a class met again counts only if this path comes before the known one
-        known = reached.select(F.col("owner").alias("_o"), F.col("class").alias("_c"), F.col("path").alias("_p"))
-        fresh = (
-            step.join(known, (F.col("owner") == F.col("_o")) & (F.col("class") == F.col("_c")), "left")
-            .where(F.col("_p").isNull() | (F.col("path") < F.col("_p")))
-            .select("owner", "class", "path")
-            .checkpoint()
-        )
-        if fresh.isEmpty():
+        # a class met again counts only if the new path comes before every known one
+        known = reached.all().select(F.col("owner").alias("_o"), F.col("class").alias("_c"), F.col("path").alias("_p"))
+        earlier = (F.col("owner") == F.col("_o")) & (F.col("class") == F.col("_c")) & (F.col("_p") <= F.col("path"))
+        frontier, n_new = reached.add(step.join(known, earlier, "left_anti"))
+        if not n_new:
             break
-        frontier = fresh
-        reached = reached.unionByName(fresh).groupBy("owner", "class").agg(F.min("path").alias("path")).checkpoint()
     own = members.select(F.col("owner").alias("class"), "member", F.col("pos").alias("_mpos"))
-    inherited = reached.join(own, "class")
+    inherited = reached.all().join(own, "class")
     return inherited.groupBy("owner", "member").agg(
         F.min_by(F.struct(F.col("class").alias("from_class"), F.size("path").cast("long").alias("depth")), F.struct("path", "_mpos")).alias("_w")
     ).select("owner", "member", "_w.from_class", "_w.depth")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuswarden.functions import paths
+from corpuswarden.functions.rows import each
 from corpuswarden.operators import filters as ops
 from corpuswarden.plans.registry import LINES_SQL, PATHS_SQL, Tables, query
 from corpuswarden.plans.scans import document_lines, page_paths
@@ -36,7 +37,7 @@ def _public_filter(t: Tables):
 def _boundary_filter(t: Tables):
     base = page_paths(t, "html").select("page_id", "url", "html", paths.dir_name(F.col("path")).alias("base"))
     links = (
-        base.select("page_id", "base", F.explode(F.regexp_extract_all("html", F.lit(scans.HREF), F.lit(1))).alias("h"))
+        each(base, ["page_id", "base"], F.regexp_extract_all("html", F.lit(scans.HREF), F.lit(1)), "h")
         .unionByName(base.select("page_id", "base", F.col("url").alias("h")))
         .unionByName(base.select("page_id", "base", F.regexp_extract("url", r"([#?].*)$", 1).alias("h")))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuswarden.functions import paths
+from corpuswarden.functions.rows import each
 from corpuswarden.operators import integrity as ops
 from corpuswarden.operators.sequence import slug_dedupe
 from corpuswarden.plans.registry import LINES_SQL, PATHS_SQL, Tables, query
@@ -237,9 +238,8 @@ def _hub_coverage(t: Tables):
     topics = words.where((F.char_length("name") > 2) & (F.col("name") != "the"))
     # on the third kind of host the first link of a page is the hub of the others
     first = F.regexp_replace(F.regexp_extract("html", r'href="/([^"]*)"', 1), r"[^\p{L}]", "")
-    rest = pages.where(F.col("host").endswith(".org")).select(
-        first.alias("hub"), F.explode(F.regexp_extract_all("html", F.lit(r'href="/([^"]*)"'), F.lit(1))).alias("name")
-    )
+    targets = F.regexp_extract_all("html", F.lit(r'href="/([^"]*)"'), F.lit(1))
+    rest = each(pages.where(F.col("host").endswith(".org")), [first.alias("hub")], targets, "name")
     hub = rest.withColumn("name", F.regexp_replace("name", r"[^\p{L}]", ""))
     return ops.hub_coverage(topics, words.where(F.col("host").endswith(".net")), hub, "name")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuswarden.functions import markup, paths, text, versions
+from corpuswarden.functions.rows import each_numbered
 from corpuswarden.plans.registry import LINES_SQL, Tables, query
 from corpuswarden.plans.scans import TREE_SQL, document_lines, source_trees
 from corpuswarden.sources import scans
@@ -157,8 +158,8 @@ def _aliased_call_scan(t: Tables):
     aliases = words.where("role = 'user'").select(
         "conv_id", bare(F.lower(first)).alias("alias"), F.concat(F.lit("f"), F.char_length(bare(first)).cast("string")).alias("function")
     )
-    calls = words.where("role <> 'user'").select("conv_id", "turn", F.posexplode("ws").alias("_p", "word")).select(
-        "conv_id", "turn", (F.col("_p") + 1).cast("long").alias("pos"), bare(F.lower("word")).alias("alias"), F.endswith("word", F.lit(",")).alias("has_keyword")
+    calls = each_numbered(words.where("role <> 'user'"), ["conv_id", "turn"], F.col("ws"), "pos", "word").select(
+        "conv_id", "turn", "pos", bare(F.lower("word")).alias("alias"), F.endswith("word", F.lit(",")).alias("has_keyword")
     )
     hits = scans.aliased_call_scan(aliases, calls, "conv_id", "alias", keyword_needed=["f2", "f3"])
     return hits.select("conv_id", "turn", "pos", "alias", "function")

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "corpuswarden", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,3 +53,31 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Write ``df`` below the shared folder and read it back, with its row count.
+
+    Cuts the lineage like a checkpoint, but computes the plan only once. The
+    files survive the loss of any executor."""
+    stages = Stages(df.sparkSession, label)
+    return stages.add(df)
+
+
+class Stages:
+    """Results of an iterative operator, each round written as a table of its own
+    and all of them readable together as one scan."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.paths, self.schema = spark, fresh_path(spark, label), [], None
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Write one round; returns it as read back, and its row count."""
+        path, seen = f"{self.root}/{len(self.paths)}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        self.paths.append(path)
+        self.schema = df.schema
+        return self.spark.read.schema(self.schema).parquet(path), seen.get["n"]
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpuswarden.functions import paths
 from corpuswarden.functions.ordered import running_last
+from corpuswarden.functions.rows import each, each_numbered, each_struct
 from corpuswarden.functions.text import requirement_name, split_lines
 
 SYMBOL = T.StructType(
@@ -94,13 +95,8 @@ def corpus_scan(
 
 def line_scan(df: DataFrame, text: str, keep: list[str], mode: str) -> DataFrame:
     """One row per line: ``keep`` columns, line_no (from 1), line, nonempty."""
-    exploded = df.select(*keep, F.posexplode(split_lines(F.col(text), mode)).alias("_p", "line"))
-    return exploded.select(
-        *keep,
-        (F.col("_p") + 1).cast("long").alias("line_no"),
-        "line",
-        (F.trim("line") != "").alias("nonempty"),
-    )
+    lines = each_numbered(df, keep, split_lines(F.col(text), mode), "line_no", "line")
+    return lines.withColumn("nonempty", F.trim("line") != "")
 
 
 def line_count(text: Column, mode: str) -> Column:
@@ -111,9 +107,8 @@ def registry_scan(df: DataFrame, payload: str) -> DataFrame:
     """Nested catalog JSON to flat symbol rows; missing keys take their defaults.
 
     Classes come out as one row of kind ``class`` beside one row per member."""
-    catalog = df.select(F.from_json(payload, CATALOG).alias("c")).select(
-        F.coalesce("c.name", F.lit("")).alias("package"), F.explode("c.modules").alias("m")
-    )
+    parsed = df.select(F.from_json(payload, CATALOG).alias("c"))
+    catalog = each(parsed, [F.coalesce("c.name", F.lit("")).alias("package")], F.col("c.modules"), "m")
     module = F.coalesce("m.relpath", F.lit(""))
     empty_symbols = F.array().cast(T.ArrayType(SYMBOL))
     functions = F.transform(
@@ -145,8 +140,8 @@ def registry_scan(df: DataFrame, payload: str) -> DataFrame:
             ),
         )
     )
-    return catalog.select(
-        "package", module.alias("module"), F.inline(F.concat(functions, class_rows, members))
+    return each_struct(
+        catalog, ["package", module.alias("module")], F.concat(functions, class_rows, members), "owner"
     )
 
 
@@ -193,9 +188,7 @@ def pipe_table_scan(
 def element_scan(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """One row per opening tag in order of appearance."""
     tags = F.regexp_extract_all(html, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))
-    return df.select(*keep, F.posexplode(tags).alias("_p", "_t")).select(
-        *keep, (F.col("_p") + 1).cast("long").alias("seq"), F.lower("_t").alias("tag")
-    )
+    return each_numbered(df, keep, tags, "seq", "tag").withColumn("tag", F.lower("tag"))
 
 
 def named_elements(
@@ -253,12 +246,8 @@ def link_scan(df: DataFrame, text: str, keep: list[str], pattern: str) -> DataFr
     """Link targets in order, with the fragment after the first ``#`` split off."""
     targets = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     fragment = F.regexp_extract("target", r"^[^#]*#(?s:(.*))$", 1)
-    return df.select(*keep, F.posexplode(targets).alias("_p", "target")).select(
-        *keep,
-        (F.col("_p") + 1).cast("long").alias("seq"),
-        "target",
-        F.substring_index("target", "#", 1).alias("target_path"),
-        fragment.alias("fragment"),
+    return each_numbered(df, keep, targets, "seq", "target").select(
+        *keep, "seq", "target", F.substring_index("target", "#", 1).alias("target_path"), fragment.alias("fragment")
     )
 
 
@@ -296,7 +285,7 @@ def receipt_map_scan(df: DataFrame, key: str, payload: str) -> DataFrame:
     entries with an unreadable time are dropped."""
     entries = F.map_entries(F.from_json(payload, T.MapType(T.StringType(), T.StringType())))
     return (
-        df.select(key, F.explode(entries).alias("_e"))
+        each(df, [key], entries, "_e")
         .select(key, F.col("_e.key").alias("check"), F.try_to_timestamp(F.col("_e.value")).alias("ts"))
         .where(F.col("ts").isNotNull())
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuswarden.functions.ordered import positions
 from corpuswarden.functions.text import short_digest
-from corpuswarden.session import shared_folder
+from corpuswarden.session import materialize
 
 
 def group_digest(rows: DataFrame, group: list[str], entry: Column, out: str = "digest") -> DataFrame:
@@ -52,9 +52,7 @@ def write_if_changed(artifacts: DataFrame, key: str, digest: Column, path: str)
         manifest = fresh.select(key, "digest").limit(0)
     changed = changed_artifacts(fresh, manifest, key).where(F.col("action") != "unchanged").drop("action")
     # the plan reads the folder it is about to replace parts of: fix its rows first
-    shared_folder(spark)
-    changed = changed.checkpoint()
-    n = changed.count()
+    changed, n = materialize(changed, "changed")
     if n:
         (
             changed.write.mode("overwrite")
