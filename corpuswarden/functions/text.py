@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # (\\n, \\r, \\r\\n); in mode "newline_count" the tail after the last \\n always counts.
 LINE_BREAKS = {"splitlines": r"\r\n|[\r\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"}
 SUMMARY_MAX = 100
+NOT_BLANK = r"(?U)\S"
 
 
 def split_lines(text: Column, mode: str) -> Column:
@@ -64,6 +65,30 @@ def strip_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<!--.*?-->", "")
 
 
+def blank_out(text: Column, pattern: str) -> Column:
+    """Text with every match replaced by as many newlines as it holds, so that
+    line numbers stay what they are."""
+    breaks = lambda m: F.repeat(F.lit("\n"), F.char_length(m) - F.char_length(F.replace(m, F.lit("\n"), F.lit(""))))
+    kept = F.split(text, pattern)
+    cut = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(kept, cut, lambda k, c: F.concat(k, F.coalesce(breaks(c), F.lit("")))), "")
+
+
+# Comments, and fences, where either marker closes the other.
+COMMENT = r"(?s)<!--.*?-->"
+FENCED = r"(?ms)^[ \t]*(?:```|~~~)[^\n]*(?:\z|\n.*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\z))"
+
+
+def lintable(text: Column) -> Column:
+    """Text without fenced blocks, comments and inline code, line numbers kept."""
+    return strip_inline_code(blank_out(blank_out(unify_newlines(text), FENCED), COMMENT))
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def strip_inline_code(text: Column) -> Column:
     return F.regexp_replace(text, r"`[^`\n]*`", "")
 
@@ -84,8 +109,8 @@ def heading_slug(heading: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """Summary of a text: its first non-empty line, cut at the first sentence end."""
-    lines = F.transform(F.split(unify_newlines(text), "\n"), lambda x: F.trim(x))
-    line = F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(""))
+    lines = F.split(unify_newlines(text), "\n")
+    line = F.coalesce(strip(F.get(F.filter(lines, lambda x: x.rlike(NOT_BLANK)), F.lit(0))), F.lit(""))
     dot = F.instr(line, ". ")
     semi = F.instr(line, "; ")
     # instr is 1-based, so a marker at the very start (index 0) reads 1

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from corpuswarden.functions import paths
 from corpuswarden.functions.ordered import running_last
 from corpuswarden.functions.rows import each, each_numbered, each_struct
-from corpuswarden.functions.text import requirement_name, split_lines
+from corpuswarden.functions.text import NOT_BLANK, requirement_name, split_lines
 
 SYMBOL = T.StructType(
     [
@@ -96,7 +96,7 @@ def corpus_scan(
 def line_scan(df: DataFrame, text: str, keep: list[str], mode: str) -> DataFrame:
     """One row per line: ``keep`` columns, line_no (from 1), line, nonempty."""
     lines = each_numbered(df, keep, split_lines(F.col(text), mode), "line_no", "line")
-    return lines.withColumn("nonempty", F.trim("line") != "")
+    return lines.withColumn("nonempty", F.col("line").rlike(NOT_BLANK))
 
 
 def line_count(text: Column, mode: str) -> Column:
