@@ -105,7 +105,7 @@ def _name_coverage(t: Tables):
     f AS (SELECT lang, doc_id, coalesce(good, false) AS good, coalesce(toxic, false) AND lang <> 'es' AS toxic FROM documents LEFT JOIN h USING (doc_id)),
     r AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE lang END AS lang, count(*) AS n_items, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM f GROUP BY ROLLUP (lang)),
     l AS (SELECT lang, 'good' AS provider, n_items, g AS n_handled FROM r UNION ALL SELECT lang, 'toxic', n_items, x FROM r)
-    SELECT *, n_items - n_handled AS n_missing, CASE WHEN NOT (lang = 'es' AND provider = 'toxic') THEN CAST(round_even(100.0::DOUBLE * n_handled / n_items, 0) AS BIGINT) END AS pct FROM l""",
+    SELECT *, n_items - n_handled AS n_missing, CASE WHEN lang = 'TOTAL' OR n_handled > 0 THEN CAST(round_even(100.0::DOUBLE * n_handled / n_items, 0) AS BIGINT) END AS pct FROM l""",
 )
 def _domain_coverage(t: Tables):
     items = t.documents.select("lang", F.col("doc_id").cast("string").alias("doc_id"))

@@ -47,9 +47,9 @@ def docs_sweep(files: DataFrame, tracked: DataFrame | None = None, generated: tu
     to_docs = links.where(F.endswith("dest", F.lit(".md"))).join(catalog.distinct(), "dest", "left_semi")
     lost = integrity.anchor_check(to_docs, anchors, "dest", "fragment")
 
-    raw = resolved(scans.link_scan(docs, "text", ["repo", "path"], r"\]\(([^)#\s]+\.md(?:#[^)\s]*)?)\)"))
-    edges = raw.select("repo", F.col("path").alias("src"), F.col("dest").alias("dst"))
-    alone = integrity.orphans(docs, edges.withColumnRenamed("dst", "path").withColumn("dst", F.col("path")), "path", F.col("gen"), name.isin(*ORPHAN_EXEMPT))
+    raw = resolved(scans.link_scan(docs, "text", ["path"], r"\]\(([^)#\s]+\.md(?:#[^)\s]*)?)\)"))
+    edges = raw.select(F.col("path").alias("src"), F.col("dest").alias("dst"))
+    alone = integrity.orphans(docs, edges, "path", F.col("gen"), name.isin(*ORPHAN_EXEMPT))
 
     where = lambda extra: F.concat_ws(" ", F.concat(F.lit("line "), F.col("line_no").cast("string")), extra)
     parts = [
@@ -66,7 +66,8 @@ def docs_sweep(files: DataFrame, tracked: DataFrame | None = None, generated: tu
         ),
     ]
     if tracked is not None:
-        inside = edges.join(docs.where(~F.col("gen")).select(F.col("path").alias("dst")), "dst", "left_semi")
+        checked = docs.where(~F.col("gen")).select("repo", F.col("path").alias("dst")).distinct()
+        inside = edges.select("src", "dst").join(checked, "dst")
         loose = integrity.linked_untracked(inside, tracked, tracked.select("repo").distinct())
         parts.append(findings(loose, "tracked", "WARN", F.col("dst"), F.array_join("sources", ", ")))
     return reduce(DataFrame.unionByName, parts)

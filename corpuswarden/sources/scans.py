@@ -180,7 +180,7 @@ def pipe_table_scan(
         ).drop("_section")
     rows = lines.where(F.contains("line", F.lit(delimiter)))
     body = F.regexp_replace(F.trim("line"), r"^\||\|$", "") if delimiter == "|" else F.col("line")
-    cells = F.transform(F.split(body, r"\Q" + delimiter + r"\E"), F.trim)
+    cells = F.transform(F.split(body, r"\Q" + delimiter + r"\E"), lambda c: F.trim(c))
     is_rule = F.col("line").rlike(r"^[\s|:\-]+$")
     return rows.where(~is_rule).select(*keys, "line_no", cells.alias("cells"))
 
