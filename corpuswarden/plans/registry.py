@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuswarden.session import apply_runtime
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 TEXT_TABLES = ("documents", "pages", "conversations")
@@ -16,8 +18,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        # timestamps without zone are compared with instants in places
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        apply_runtime(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -25,12 +26,12 @@ class Tables:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a text table that lies in fewer files than there are cores to all cores.
+    """Give a text table that makes fewer scan tasks than there are cores to all cores.
 
-    Its texts are costly to scan and one file of one row group is one task. A
-    table of many files is returned as it is."""
+    Its texts are costly to take apart and a small file is one task. A table
+    with work for every core is returned as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def query(name: str, sql: str | None = None):

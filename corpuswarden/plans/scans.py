@@ -156,8 +156,9 @@ def _receipt_map_scan(t: Tables):
 # the same tree digest in SQL
 TREE_SQL = """
 entries AS (SELECT source, md5(concat_ws('|', doc_id, sha256(text))) AS h FROM documents),
-buckets AS (SELECT source, h[1:3] AS b, md5(string_agg(h, chr(10) ORDER BY h)) AS d FROM entries GROUP BY 1, 2),
-trees AS (SELECT source, md5(string_agg(b || ':' || d, chr(10) ORDER BY b || ':' || d))[1:12] AS digest FROM buckets GROUP BY 1)
+low AS (SELECT source, h[1:6] AS b, h[1:6] || ':' || md5(string_agg(h, chr(10) ORDER BY h)) AS d FROM entries GROUP BY 1, 2),
+high AS (SELECT source, b[1:3] || ':' || md5(string_agg(d, chr(10) ORDER BY d)) AS d FROM low GROUP BY source, b[1:3]),
+trees AS (SELECT source, md5(string_agg(d, chr(10) ORDER BY d))[1:12] AS digest FROM high GROUP BY 1)
 """
 
 

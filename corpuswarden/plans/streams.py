@@ -53,17 +53,19 @@ def _stream_receipt_state(t: Tables):
 
 @query(
     "stream_visibility_join",
-    """WITH p AS (SELECT user_id, event_id AS pub_id, ts AS pub_ts FROM events WHERE event_type = 'signup'), v AS (SELECT user_id, event_id AS vis_id, ts AS vis_ts FROM events WHERE event_type = 'purchase'),
-    w AS (SELECT date_trunc('millisecond', least((SELECT max(pub_ts) FROM p), (SELECT max(vis_ts) FROM v)) - INTERVAL 1 HOUR) AS wm),
-    j AS (SELECT p.user_id, pub_id, pub_ts, vis_id FROM p LEFT JOIN v ON p.user_id = v.user_id AND vis_ts > pub_ts AND vis_ts <= pub_ts + INTERVAL 2 DAY)
-    SELECT user_id, pub_id, vis_id FROM j, w WHERE vis_id IS NOT NULL OR pub_ts + INTERVAL 2 DAY < wm""",
+    """WITH p AS (SELECT user_id, event_id AS pub_id, ts FROM events WHERE event_type = 'signup'), v AS (SELECT user_id, ts AS vis_ts FROM events WHERE event_type = 'purchase'),
+    hit AS (SELECT DISTINCT pub_id FROM p JOIN v ON p.user_id = v.user_id AND vis_ts > ts AND vis_ts <= ts + INTERVAL 1 DAY)
+    SELECT user_id, pub_id, CASE WHEN pub_id IN (SELECT pub_id FROM hit) THEN 'visible' WHEN ts + INTERVAL 1 DAY < (SELECT max(ts) FROM events) THEN 'not_visible' ELSE 'pending' END AS verdict FROM p""",
 )
 def _stream_visibility_join(t: Tables):
     events = event_stream(t)
-    published = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("pub_id"), F.col("ts").alias("pub_ts"))
-    visible = event_stream(t).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("vis_id"), F.col("ts").alias("vis_ts"))
-    joined = timed.visibility_join(published, visible, "user_id", "2 DAYS", "1 hour")
-    return timed.run_once(joined, "append").select("user_id", "pub_id", "vis_id")
+    published = timed.run_once(
+        events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("pub_id"), "ts"), "append"
+    )
+    visible = event_stream(t).where("event_type = 'purchase'").select("user_id", "ts")
+    slices = timed.run_once(timed.visibility_slices(visible, "user_id", "ts", "1 DAY", "1 hour"), "update")
+    as_of = t.events.select(F.max(F.col("ts").cast("timestamp"))).scalar()
+    return timed.visibility_verdict(published, slices, "user_id", "pub_id", "ts", "1 DAY", as_of)
 
 
 @query(

@@ -10,6 +10,29 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+# Settings that the operators count on where keys are skewed or state is large. All
+# of them can be set at run time.
+RUNTIME = {
+    # timestamps without zone are compared with instants in places
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join partition even if what follows then needs another shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # merge the sessions of a hot key before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # keep stream state on disk with changelogs in the checkpoint, not on the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def apply_runtime(spark: SparkSession) -> None:
+    """Set the run-time settings on a session that came from elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+
+
 def get_session(app: str = "corpuswarden", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC, adaptive execution and skew-join splitting on.
 
@@ -20,11 +43,8 @@ def get_session(app: str = "corpuswarden", master: str | None = None, **conf: st
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
+        **RUNTIME,
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

@@ -13,16 +13,18 @@ from corpuswarden.session import materialize
 def group_digest(rows: DataFrame, group: list[str], entry: Column, out: str = "digest") -> DataFrame:
     """Digest of each group's set of entries, independent of their order.
 
-    Entries fall into 4,096 buckets by the head of their own MD5; each bucket is
-    hashed over its sorted entries, and the group over its sorted buckets. So no
-    task ever holds a whole group. Entries should be unique (carry the row key)."""
-    buckets = (
-        rows.select(*group, F.md5(entry).alias("_h"))
-        .groupBy(*group, F.substring("_h", 1, 3).alias("_b"))
-        .agg(F.md5(F.array_join(F.array_sort(F.collect_list("_h")), "\n")).alias("_d"))
-    )
-    listed = F.array_sort(F.collect_list(F.concat_ws(":", "_b", "_d")))
-    return buckets.groupBy(*group).agg(short_digest(F.array_join(listed, "\n")).alias(out))
+    A tree of hashes: entries meet in buckets by the first six digits of their own
+    MD5, buckets by the first three, those in the group; each level hashes the
+    sorted hashes below it. The upper levels hold 4,096 hashes at most and the
+    16.7 million lowest buckets share a group evenly, so no task holds a whole
+    group. Entries should be unique (carry the row key)."""
+    level = rows.select(*group, F.md5(entry).alias("_h"), F.substring(F.md5(entry), 1, 6).alias("_b"))
+    for digits in (3, 0):
+        folded = F.md5(F.array_join(F.array_sort(F.collect_list("_h")), "\n"))
+        level = level.groupBy(*group, "_b").agg(folded.alias("_d")).select(
+            *group, F.concat_ws(":", "_b", "_d").alias("_h"), F.substring("_b", 1, digits).alias("_b")
+        )
+    return level.groupBy(*group).agg(short_digest(F.array_join(F.array_sort(F.collect_list("_h")), "\n")).alias(out))
 
 
 def changed_artifacts(fresh: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

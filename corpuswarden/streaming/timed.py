@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpuswarden.session import fresh_path
+from corpuswarden.session import apply_runtime, fresh_path
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema: StructType) -> DataFrame:
@@ -29,6 +29,7 @@ def run_once(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame
     batch, so that a batch that is replayed replaces itself; the rows carry
     ``batch_id`` and the caller folds them (the last one per key holds)."""
     spark = stream.sparkSession
+    apply_runtime(spark)
     path = path or fresh_path(spark, "stream")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", path + "/state")
     if mode == "append":
@@ -58,18 +59,44 @@ def receipt_state(events: DataFrame, key: str, check: str, ts: str) -> DataFrame
     )
 
 
-def visibility_join(
-    published: DataFrame, visible: DataFrame, key: str, within: str, watermark: str
+def visibility_slices(visible: DataFrame, key: str, ts: str, within: str, watermark: str) -> DataFrame:
+    """First and last visible event of each key in slices as long as the wait.
+
+    Two times per key and slice are all the verdict needs, so neither the state
+    nor the verdict grows with the number of visible events of a key."""
+    return (
+        visible.withWatermark(ts, watermark)
+        .groupBy(key, F.window(ts, within).alias("w"))
+        .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+        .select(key, F.col("w.start").alias("slice"), "first_ts", "last_ts")
+    )
+
+
+def visibility_verdict(
+    published: DataFrame, slices: DataFrame, key: str, pub_id: str, ts: str, within: str, as_of: Column
 ) -> DataFrame:
-    """Each published row with the visible rows that follow it in time, or none.
-
-    ``published(key, pub_id, pub_ts)``, ``visible(key, vis_id, vis_ts)``. Only rows
-    whose wait is over by the watermark come out, so nothing is called
-    "not visible" too early."""
-    p = published.withWatermark("pub_ts", watermark)
-    v = visible.withColumnRenamed(key, "_vk").withWatermark("vis_ts", watermark)
-    cond = (F.col(key) == F.col("_vk")) & F.expr(f"vis_ts > pub_ts AND vis_ts <= pub_ts + INTERVAL {within}")
-    return p.join(v, cond, "left_outer").select(key, "pub_id", "pub_ts", "vis_id", "vis_ts")
+    """visible, not_visible or pending for each published row.
+
+    It became visible if some visible event came after it within the wait: either
+    the last one of its own slice lies after it, or the first one of the next
+    slice still lies within the wait. So each published row meets two slices at
+    most, never all events of its key. Not visible is said only once the wait is
+    over at ``as_of``. Slices may come in several partial rows."""
+    whole = slices.groupBy(key, "slice").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    wait = F.expr(f"INTERVAL {within}")
+    own = F.window(ts, within)["start"]
+    asked = published.select(key, pub_id, ts, F.explode(F.array(own, own + wait)).alias("slice"))
+    hit = (F.col("last_ts") > F.col(ts)) & (F.col("first_ts") <= F.col(ts) + wait)
+    return (
+        asked.join(whole, [key, "slice"], "left")
+        .groupBy(key, pub_id, ts)
+        .agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("_hit"))
+        .select(
+            key,
+            pub_id,
+            F.when(F.col("_hit"), "visible").when(F.col(ts) + wait < as_of, "not_visible").otherwise("pending").alias("verdict"),
+        )
+    )
 
 
 def windowed_run_verdict(runs: DataFrame, key: str, ts: str, wait: str, watermark: str) -> DataFrame:

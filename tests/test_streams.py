@@ -38,16 +38,22 @@ def test_receipts_keep_the_latest_time(spark, frame, rows):
 
 def test_not_visible_only_after_the_wait(spark, frame, rows):
     folder = fresh_path(spark, "in")
-    feed(
-        spark, frame, folder,
-        ("a", 1, at(0), "pub", None), ("a", 2, at(5), "vis", None), ("b", 3, at(0), "pub", None), ("b", 4, at(11), "vis", None),
-        ("c", 5, at(198), "pub", None), ("z", 6, at(200), "vis", None), ("z", 7, at(200), "pub", None),
-    )
-    side = lambda what, i, t: timed.file_stream(spark, folder, "*.parquet", frame(SCHEMA, ("a", 1, at(0), "", "")).schema).where(
-        f"status = '{what}'"
-    ).select("k", F.col("id").alias(i), F.col("ts").alias(t))
-    joined = timed.visibility_join(side("pub", "pub_id", "pub_ts"), side("vis", "vis_id", "vis_ts"), "k", "10 MINUTES", "1 minute")
-    assert rows(timed.run_once(joined, "append"), "pub_id", "vis_id") == [(1, 2), (3, None)]
+    pubs = [("a", 1, 0), ("a", 2, 5), ("b", 3, 9), ("b", 4, 0), ("c", 5, 198), ("d", 6, 12), ("e", 7, 3)]
+    seen = [("a", 5), ("b", 19), ("b", 9), ("d", 11), ("d", 35), ("e", 3), ("e", 13), ("z", 200)]
+    feed(spark, frame, folder, *[(k, 100 + i, at(m), "vis", None) for i, (k, m) in enumerate(seen)])
+    stream = timed.file_stream(spark, folder, "*.parquet", frame(SCHEMA, ("a", 1, at(0), "", "")).schema).select("k", "ts")
+    slices = timed.run_once(timed.visibility_slices(stream, "k", "ts", "10 MINUTES", "1 minute"), "update")
+    published = frame("k string, id long, ts timestamp", *[(k, i, at(m)) for k, i, m in pubs])
+    out = timed.visibility_verdict(published, slices, "k", "id", "ts", "10 MINUTES", F.lit(at(200)))
+
+    def want(k, m):
+        if any(k == v and m < t <= m + 10 for v, t in seen):
+            return "visible"
+        return "not_visible" if m + 10 < 200 else "pending"
+
+    got = {i: v for i, v in rows(out, "id", "verdict")}
+    assert got == {i: want(k, m) for k, i, m in pubs}
+    assert set(got.values()) == {"visible", "not_visible", "pending"}
 
 
 def test_windows_and_sessions_close(spark, frame, rows):
