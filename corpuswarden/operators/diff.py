@@ -21,18 +21,25 @@ def align(sides: dict[str, DataFrame], keys: list[str], values: list[str]) -> Da
     """One row per key with ``in_<side>`` and ``<side>_<value>`` columns.
 
     A key given twice on one side keeps its smallest value."""
-    tagged = []
-    for side, df in sides.items():
-        tagged.append(df.select(*keys, F.lit(side).alias("_side"), F.struct(F.lit(1).alias("_1"), *values).alias("_v")))
+    # one value of a fixed width is combined by hash; several travel as one struct,
+    # so that a repeated key never mixes the values of two rows
+    packed = F.struct(*values) if len(values) != 1 else F.col(values[0])
+    tagged = [
+        df.select(*keys, F.lit(side).alias("_side"), (packed if values else F.lit(None).cast("int")).alias("_v"))
+        for side, df in sides.items()
+    ]
     aggs = []
     for side in sides:
-        mine = F.when(F.col("_side") == side, F.col("_v"))
-        aggs += [F.bool_or(F.col("_side") == side).alias(f"in_{side}"), F.min(mine).alias(f"_{side}")]
+        mine = F.col("_side") == side
+        aggs.append(F.bool_or(mine).alias(f"in_{side}"))
+        if values:
+            aggs.append(F.min(F.when(mine, F.col("_v"))).alias(f"_{side}"))
     joined = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(*aggs)
+    value = lambda s, v: F.col(f"_{s}") if len(values) == 1 else F.col(f"_{s}.{v}")
     return joined.select(
         *keys,
         *[f"in_{s}" for s in sides],
-        *[F.col(f"_{s}.{v}").alias(f"{s}_{v}") for s in sides for v in values],
+        *[value(s, v).alias(f"{s}_{v}") for s in sides for v in values],
     )
 
 
@@ -117,26 +124,33 @@ def twin_control_diff(
         *keys,
         F.when(F.col("is_hidden"), "hidden")
         .when(F.col("is_static"), "static_equiv")
-        .when(F.col("status") == "pending", "pending")
-        .when(F.col("status").isNotNull(), "triaged")
+        .when(F.col("is_pending"), "pending")
+        .when(F.col("is_listed"), "triaged")
         .otherwise("untriaged")
         .alias("class"),
     )
 
 
 def _flag_union(sets: dict[str, DataFrame], keys: list[str], ledger: DataFrame | None = None) -> DataFrame:
-    """One row per key with a boolean per key set it occurs in, and its ledger status."""
-    parts = [df.select(*keys, F.lit(n).alias("_set"), F.lit(None).cast("string").alias("_status")) for n, df in sets.items()]
-    if ledger is not None:
-        parts.append(
-            ledger.select(*keys, F.lit("ledger").alias("_set"), F.coalesce("status", F.lit("na")).alias("_status"))
-        )
+    """One row per key with a boolean per key set it occurs in, and two for the ledger.
+
+    Booleans only, so that the aggregate works by hash. Where a ledger holds a
+    key twice, the status that sorts first counts."""
+    parts = [df.select(*keys, F.lit(n).alias("_set")) for n, df in sets.items()]
     aggs = [F.bool_or(F.col("_set") == n).alias(f"is_{n}") for n in sets]
     if ledger is not None:
-        aggs.append(F.min("_status").alias("status"))
+        status = F.coalesce("status", F.lit("na"))
+        rank = F.when(status < "pending", "<").when(status == "pending", "=").otherwise(">")
+        parts.append(ledger.select(*keys, F.concat(F.lit("ledger"), rank).alias("_set")))
+        aggs += _ledger_flags(F.col("_set"), "ledger")
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*aggs)
 
 
+def _ledger_flags(mark: Column, prefix: str) -> list[Column]:
+    first, pending = F.bool_or(mark == prefix + "<"), F.bool_or(mark == prefix + "=")
+    return [(pending & ~first).alias("is_pending"), F.bool_or(mark.startswith(prefix)).alias("is_listed")]
+
+
 def handler_diff(
     a_handlers: DataFrame,
     b_handlers: DataFrame,
@@ -163,16 +177,17 @@ def handler_diff(
         [pair, name],
         ledger,
     ).withColumnRenamed(name, "_base")
-    by_name = ledger.groupBy(pair, name).agg(F.min(F.coalesce("status", F.lit("na"))).alias("_own_status"))
+    by_name = _flag_union({}, [pair, name], ledger).select(pair, name, F.col("is_pending").alias("own_pending"))
     known = missing.join(by_name, [pair, name], "left").join(facts, [pair, "_base"], "left")
     flag = lambda n: F.coalesce(F.col(f"is_{n}"), F.lit(False))
-    status = F.coalesce("_own_status", "status")
+    # an entry of its own comes before one of the base name
+    own = F.col("own_pending")
     is_init = F.endswith(F.col(name), F.lit("_init"))
     return known.select(
         pair,
         name,
-        F.when(status == "pending", "pending")
-        .when(status.isNotNull(), "triaged")
+        F.when(F.coalesce(own, flag("pending")), "pending")
+        .when(own.isNotNull() | flag("listed"), "triaged")
         .when(flag("ui") & flag("hidden"), "hidden")
         .when(flag("ui") & is_init & flag("bslot"), "partly_built")
         .when(flag("ui"), "unhandled")
