@@ -282,6 +282,11 @@ def first_match(rules: list[tuple[Column, str]], default: str) -> Column:
     return F.lit(default) if out is None else out.otherwise(default)
 
 
+# The sentences of a summary that nothing else provides.
+DOMAIN_SENTENCE = ("Workspace repo aligned with the ", " domain.")
+NO_SUMMARY = "Workspace repository."
+
+
 def entity_summary(name: Column, description: Column, readme_line: Column, domain: Column) -> Column:
     """Description, else the first readme line unless it only repeats the name, else
     a sentence about the domain, else a constant."""
@@ -290,6 +295,6 @@ def entity_summary(name: Column, description: Column, readme_line: Column, domai
     return F.coalesce(
         blank_to_null(description),
         F.when((readme != "") & (F.lower(readme) != F.lower(name)), readme),
-        F.concat(F.lit("Workspace repo aligned with the "), blank_to_null(domain), F.lit(" domain.")),
-        F.lit("Workspace repository."),
+        F.concat(F.lit(DOMAIN_SENTENCE[0]), blank_to_null(domain), F.lit(DOMAIN_SENTENCE[1])),
+        F.lit(NO_SUMMARY),
     )

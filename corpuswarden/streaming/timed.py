@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +18,9 @@ from pyspark.sql.types import StructType
 from corpuswarden.session import apply_runtime, fresh_path
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 def file_stream(spark: SparkSession, folder: str, glob: str, schema: StructType) -> DataFrame:
     """Stream of the parquet files in a folder, new files as they arrive."""
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
@@ -32,16 +36,29 @@ def run_once(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame
     apply_runtime(spark)
     path = path or fresh_path(spark, "stream")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", path + "/state")
+    schema = StructType(list(stream.schema.fields))
     if mode == "append":
-        query = writer.format("parquet").option("path", path + "/out").start()
+        writer = writer.format("parquet").option("path", path + "/out")
     else:
+        schema = schema.add("batch_id", "long")
+
         def store(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
 
-        query = writer.foreachBatch(store).start()
-    query.awaitTermination()
-    schema = stream.schema if mode == "append" else StructType(list(stream.schema.fields)).add("batch_id", "long")
-    return spark.read.schema(schema).parquet(path + "/out")
+        writer = writer.foreachBatch(store)
+    # every state partition costs files in each batch: no more than two per core
+    configured = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(min(int(configured), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.set(PARTITIONS, configured)
+    try:
+        return spark.read.schema(schema).parquet(path + "/out")
+    except AnalysisException as missing:  # the source had nothing, so no batch ran
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def corpus_audit(docs: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
