@@ -9,7 +9,7 @@ each map-side partition to k rows per group before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from corpuswarden.session import materialize
@@ -17,61 +17,61 @@ from corpuswarden.session import materialize
 BLOCK = 16_384
 
 
-def _blocked(df: DataFrame, seq: str, block: int) -> DataFrame:
-    return df.withColumn("_blk", F.floor(F.col(seq) / F.lit(block)).cast("long"))
+def _blocked(df: DataFrame, keys: list[str], seq: str, value: Column, block: int) -> DataFrame:
+    """Rows with their key as one struct, their block and the value to scan.
 
+    A struct key is never null itself and equal where its fields are, null ones
+    too. So grouping, window and join all use the same plain key, and the rows
+    are shuffled and sorted once."""
+    return df.select(
+        "*",
+        F.struct(*keys).alias("_key"),
+        F.floor(F.col(seq) / F.lit(block)).cast("long").alias("_blk"),
+        value.alias("_v"),
+    )
+
+
+def _carry(summary: DataFrame, scan: Column) -> DataFrame:
+    """What the earlier blocks of a key hand on to each block."""
+    return summary.select(F.col("_key").alias("_k"), F.col("_blk").alias("_b"), scan.alias("_carry"))
+
+
+def _attach(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    return rows.join(carry, (F.col("_key") == F.col("_k")) & (F.col("_blk") == F.col("_b")), "left")
+
+
+def _before() -> WindowSpec:
+    return Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
 
-def _attach(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys that may be null, and on the block."""
-    right = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_blk").alias("_b"), "_carry")
-    cond = rows["_blk"] == right["_b"]
-    for k in keys:
-        cond = cond & rows[k].eqNullSafe(right[f"_k_{k}"])
-    return rows.join(right, cond, "left").drop("_b", *[f"_k_{k}" for k in keys])
+
+def _within(seq: str) -> WindowSpec:
+    return Window.partitionBy("_key", "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def running_last(
     df: DataFrame, keys: list[str], seq: str, value: Column, out: str, block: int = BLOCK
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row. ``(keys, seq)`` must be unique."""
-    rows = _blocked(df, seq, block).withColumn("_v", value)
+    rows = _blocked(df, keys, seq, value, block)
     # max_by skips null orderings: the tail is null where the block has no value
-    tails = rows.groupBy(*keys, "_blk").agg(
+    tails = rows.groupBy("_key", "_blk").agg(
         F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(seq))).alias("_tail")
     )
-    carry = tails.select(
-        *keys,
-        "_blk",
-        F.last("_tail", ignorenulls=True)
-        .over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_carry"),
-    )
-    inner = Window.partitionBy(*keys, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        _attach(rows, carry, keys)
-        .withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(inner), F.col("_carry")))
-        .drop("_blk", "_v", "_carry")
-    )
+    carry = _carry(tails, F.last("_tail", ignorenulls=True).over(_before()))
+    scanned = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(_within(seq)))
+    return _attach(scanned, carry).select(*df.columns, F.coalesce("_in", "_carry").alias(out))
 
 
 def running_sum(
     df: DataFrame, keys: list[str], seq: str, value: Column, out: str, block: int = BLOCK
 ) -> DataFrame:
     """Sum of ``value`` over all rows of the key up to and including each row."""
-    rows = _blocked(df, seq, block).withColumn("_v", value.cast("long"))
-    sums = rows.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_s"))
-    carry = sums.select(
-        *keys,
-        "_blk",
-        F.sum("_s")
-        .over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_carry"),
-    )
-    inner = Window.partitionBy(*keys, "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        _attach(rows, carry, keys)
-        .withColumn(out, F.sum("_v").over(inner) + F.coalesce(F.col("_carry"), F.lit(0)))
-        .drop("_blk", "_v", "_carry")
+    rows = _blocked(df, keys, seq, value.cast("long"), block)
+    sums = rows.groupBy("_key", "_blk").agg(F.sum("_v").alias("_s"))
+    carry = _carry(sums, F.sum("_s").over(_before()))
+    scanned = rows.withColumn("_in", F.sum("_v").over(_within(seq)))
+    return _attach(scanned, carry).select(
+        *df.columns, (F.col("_in") + F.coalesce("_carry", F.lit(0))).alias(out)
     )
 
 

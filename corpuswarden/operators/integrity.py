@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,16 +248,20 @@ def pair_resolution(names: DataFrame, a: DataFrame, b: DataFrame, name: str, suf
 
     ``a`` and ``b`` have (base, class, path); where a base or class repeats, the
     smallest path counts. A row with a side still empty has state FAIL."""
-    out = names.select(name).distinct()
     attempts = [("base", ""), ("base", suffixes[0]), ("class", ""), ("class", suffixes[1])]
+    tries = F.array(
+        *[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("by"), F.concat(F.col(name), F.lit(x)).alias("key")) for i, (c, x) in enumerate(attempts)]
+    )
     tables = {"a": a, "b": b}
-    for side, table in tables.items():
-        tries = []
-        for i, (column, suffix) in enumerate(attempts):
-            hit = table.groupBy(F.col(column).alias(f"_k{i}")).agg(F.min(F.struct("path", "class")).alias(f"_{side}{i}"))
-            out = out.join(hit, F.concat(F.col(name), F.lit(suffix)) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
-            tries.append(f"_{side}{i}")
-        out = out.withColumn(f"_{side}", F.coalesce(*tries)).drop(*tries)
+    file = F.struct("path", "class").alias("file")
+    lookup = reduce(
+        DataFrame.unionByName,
+        [t.select(F.lit(s).alias("side"), F.lit(c).alias("by"), F.col(c).alias("key"), file) for s, t in tables.items() for c in ("base", "class")],
+    ).groupBy("side", "by", "key").agg(F.min("file").alias("file"))
+    # all attempts on both sides in one join; the earliest that hits counts
+    hits = names.select(name).distinct().select(name, F.inline(tries)).join(lookup, ["by", "key"], "left")
+    best = lambda side: F.min(F.when(F.col("side") == side, F.struct("rank", "file")))["file"].alias(f"_{side}")
+    out = hits.groupBy(name).agg(best("a"), best("b"))
     for side, other in (("b", "a"), ("a", "b")):
         by_class = tables[side].groupBy(F.col("class").alias("_cls")).agg(F.min(F.struct("path", "class")).alias("_fill"))
         # rows that need nothing get a key of their own, or they would all meet in one task
