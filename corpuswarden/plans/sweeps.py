@@ -85,6 +85,107 @@ def resolved(links: DataFrame) -> DataFrame:
     )
 
 
+# Allowed entries of a documentation ledger, the form of its rows and of
+# the coverage rows, the forms of navigation line, open marker and indexed module.
+ROLES = ("landing", "guide", "reference", "meta")
+STATUSES = ("current", "needs-verify", "stub")
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+NO_DATE = ("—", "-")
+LEDGER_ROW = r"^\|\s*\[([^\]]+)\]\(([^)]+)\)\s*\|\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*([^|]*?)\s*\|\s*$"
+COVERAGE_ROW = r"^\|\s*`([^`]+)`\s*\|\s*(?:\[[^\]]+\]\(([^)]+)\)|(?:—|-))\s*\|\s*([^|]*?)\s*\|\s*$"
+NAV_LINE = r"^\*\*Nav\*\*:"
+OPEN_MARKER = r"(?i)<!--\s*DOC-TODO"
+INDEXED_MODULE = r"^### `([^`]+)`"
+LEDGER_CHECKS = ["ledger-fields", "ledger-sync", "nav", "todos", "sync", "coverage"]
+
+
+def ledger_tables(files: DataFrame, ledger_name: str) -> tuple[DataFrame, DataFrame]:
+    """Ledger rows and coverage rules out of the tables of each repo's ledger document."""
+    book = files.where(paths.base_name(F.col("path")) == ledger_name)
+    lines = scans.line_scan(book, "text", ["repo", "path"], "file")
+    title = F.when(F.startswith(F.col("line"), F.lit("## ")), F.lower(F.trim(F.substring("line", 4, 1_000))))
+    section = F.when(title.startswith("ledger"), "ledger").when(title.startswith("coverage"), "coverage").when(title.isNotNull(), "-")
+    placed = sequence.section_of_line(lines, ["repo", "path"], "line_no", section)
+    cell = lambda pattern, i: F.regexp_extract("line", pattern, i)
+    base = paths.dir_name(F.col("path"))
+    rows = placed.where((F.col("section") == "ledger") & F.col("line").rlike(LEDGER_ROW)).select(
+        "repo", "line_no",
+        filters.resolve_target(cell(LEDGER_ROW, 2), base).alias("doc"),
+        cell(LEDGER_ROW, 3).alias("role"), cell(LEDGER_ROW, 4).alias("status"), cell(LEDGER_ROW, 5).alias("verified"),
+    )
+    target = F.nullif(cell(COVERAGE_ROW, 2), F.lit(""))
+    rules = placed.where((F.col("section") == "coverage") & F.col("line").rlike(COVERAGE_ROW)).select(
+        "repo", "line_no",
+        F.concat_ws("/", "repo", F.trim(cell(COVERAGE_ROW, 1))).alias("rule"),
+        F.when(target.isNotNull(), filters.resolve_target(target, base)).alias("doc"),
+    )
+    return rows, rules
+
+
+def ledger_sweep(files: DataFrame, ledger_name: str = "DOCMAP.md", index_name: str = "API_INDEX.md") -> DataFrame:
+    """Findings over the documentation ledger of each repo (repo, path, text).
+
+    Fields of the ledger rows; rows against the documents beside the ledger;
+    navigation line, open markers and shared blocks of the ledgered documents;
+    modules of the index against the coverage rules. Repos without a ledger are
+    left out; without an index the coverage check only warns."""
+    rows, rules = ledger_tables(files, ledger_name)
+    books = files.where(paths.base_name(F.col("path")) == ledger_name).select("repo", F.col("path").alias("book")).distinct()
+    beside = (
+        files.join(books, "repo")
+        .where((paths.dir_name(F.col("path")) == paths.dir_name(F.col("book"))) & F.endswith("path", F.lit(".md")))
+        .where(F.col("path") != F.col("book"))
+        .select(F.col("path").alias("doc"))
+    )
+    dated = F.col("verified").rlike(ISO_DATE)
+    broken = filters.field_rules(
+        rows, ["repo", "doc", "line_no"],
+        {
+            "role": ~F.col("role").isin(*ROLES),
+            "status": ~F.col("status").isin(*STATUSES),
+            "current_needs_date": (F.col("status") == "current") & ~dated,
+            "verified": ~F.col("verified").isin(*NO_DATE) & ~dated,
+        },
+    )
+    # a ledger may list documents elsewhere: those that exist count as well
+    ledgered = rows.select(F.col("doc").alias("path")).distinct()
+    elsewhere = files.join(ledgered, "path", "left_semi").select(F.col("path").alias("doc"))
+    sync = integrity.ledger_sync(rows, beside.unionByName(elsewhere), rules, "doc", exempt_prefix="API_")
+
+    docs = files.join(rows.select(F.col("doc").alias("path"), "role", "status"), "path")
+    heads = scans.line_scan(docs.where("role <> 'landing'"), "text", ["path"], "file")
+    nav = sequence.header_in_first_n(heads, ["path"], "line_no", F.col("line").rlike(NAV_LINE))
+    markers = F.regexp_count(blank_out(unify_newlines(F.col("text")), FENCED), F.lit(OPEN_MARKER))
+    census = measure.marker_census(docs.select("path", markers.alias("n_markers")), docs, "path").where("finding <> 'OK'")
+    blocks = integrity.sync_blocks(docs.withColumn("id", F.struct("repo", "path")), "text", "id").select(
+        F.concat_ws(":", "id.repo", "name").alias("name"), F.col("id.path").alias("path"), "body"
+    )
+    apart = integrity.block_consistency(blocks, "name", "body", "path")
+
+    index = files.where(paths.base_name(F.col("path")) == index_name)
+    listed = scans.definition_scan(scans.line_scan(index, "text", ["repo"], "file"), ["repo"], INDEXED_MODULE)
+    modules = listed.join(books, "repo", "left_semi").select(F.concat_ws("/", "repo", "name").alias("module"))
+    ordered = rules.select("rule", F.col("line_no").alias("rule_order"))
+    best = integrity.longest_prefix_rule(modules, "module", ordered)
+    indexed = index.select("repo").distinct()
+    stale = integrity.stale_rules(best, rules.join(indexed, "repo", "left_semi"))
+    no_index = books.join(indexed, "repo", "left_anti")
+
+    return reduce(
+        DataFrame.unionByName,
+        [
+            findings(broken, "ledger-fields", "FAIL", F.col("doc"), F.col("rule")),
+            findings(sync, "ledger-sync", "FAIL", F.col("doc"), F.col("issue")),
+            findings(nav, "nav", "FAIL", F.col("path"), F.lit("no navigation line")),
+            findings(census, "todos", F.col("finding"), F.col("path"), F.col("n_markers")),
+            findings(apart, "sync", "FAIL", F.col("path"), F.col("name")),
+            findings(best.where(F.col("rule").isNull()), "coverage", "FAIL", F.col("module"), F.lit("untriaged")),
+            findings(stale, "coverage", "WARN", F.col("rule"), F.lit("matches no module")),
+            findings(no_index, "coverage", "WARN", F.col("book"), F.lit("no index, check skipped")),
+        ],
+    )
+
+
 CATALOG_CHECKS = ["removed", "changed", "added", "collisions"]
 
 

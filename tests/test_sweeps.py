@@ -72,3 +72,72 @@ def test_parity_sweep(frame, rows):
     assert rows(out, "pair", "n_untriaged", "n_pending", "n_hidden", "status") == [
         ("p", 1, 0, 1, "GAP"), ("q", 0, 1, 0, "open"), ("r", 0, 0, 0, "OK"), ("s", 0, 0, 0, "OK")
     ]
+
+
+BOOK = """# Map
+## Ledger
+| doc | role | status | verified | sources |
+|:--|:--|:--|:--|:--|
+| [a](a.md) | guide | current | 2024-01-01 | x |
+| [b](b.md) | landing | stub | — | |
+| [out](../TOP.md) | meta | needs-verify | - | |
+## Coverage rules
+| prefix | doc | note |
+| `core/` | [a](a.md) | |
+| `core/io.py` | — | internal |
+## Notes
+| [ignored](nowhere.md) | odd | odd | odd | |
+"""
+LEDGERED = {
+    "r/docs/DOCMAP.md": BOOK,
+    "r/docs/a.md": "**Nav**: x\n<!-- sync:s -->one<!-- /sync:s -->\n```\n<!-- DOC-TODO example -->\n```\n",
+    "r/docs/b.md": "landing <!-- doc-todo: write -->\n<!-- sync:s -->\none  \n<!-- /sync:s -->\n",
+    "r/TOP.md": "**Nav**: y\n",
+    "r/docs/API_X.md": "generated\n",
+    "r/API_INDEX.md": "### `core/io.py`\n### `core/x.py`\n",
+    "other/readme.md": "no ledger here\n",
+}
+
+
+def ledgered(frame, **changes):
+    docs = {**LEDGERED, **changes}
+    return frame("repo string, path string, text string", *[(p.split("/")[0], p, t) for p, t in docs.items() if t is not None])
+
+
+def test_clean_ledger_gives_no_findings(frame, rows):
+    assert rows(sweeps.ledger_sweep(ledgered(frame))) == []
+
+
+def test_ledger_defects_are_found(frame, rows):
+    book = (
+        BOOK.replace("| guide | current | 2024-01-01", "| guide | current | —").replace("| landing | stub | —", "| hub | stub | soon")
+        .replace("## Notes", "| `gone/` | [z](zz.md) | |\n## Notes").replace("## Coverage", "| [gone](gone.md) | guide | stub | - | |\n## Coverage")
+    )
+    files = ledgered(
+        frame,
+        **{
+            "r/docs/DOCMAP.md": book,
+            "r/docs/a.md": LEDGERED["r/docs/a.md"].replace("**Nav**", "Nav").replace("one", "two") + "<!-- DOC-TODO now -->\n",
+            "r/docs/b.md": LEDGERED["r/docs/b.md"].replace("doc-todo", "todo"),
+            "r/docs/new.md": "not in the ledger\n",
+            "r/API_INDEX.md": LEDGERED["r/API_INDEX.md"] + "### `misc.py`\n",
+            "noindex/docs/DOCMAP.md": "## Ledger\n",
+        },
+    )
+    assert [r for r in rows(sweeps.ledger_sweep(files), "check", "severity", "key", "detail")] == [
+        ("coverage", "FAIL", "r/misc.py", "untriaged"),
+        ("coverage", "WARN", "noindex/docs/DOCMAP.md", "no index, check skipped"),
+        ("coverage", "WARN", "r/gone/", "matches no module"),
+        ("ledger-fields", "FAIL", "r/docs/a.md", "current_needs_date"),
+        ("ledger-fields", "FAIL", "r/docs/b.md", "role"),
+        ("ledger-fields", "FAIL", "r/docs/b.md", "verified"),
+        ("ledger-sync", "FAIL", "r/docs/gone.md", "no_file"),
+        ("ledger-sync", "FAIL", "r/docs/new.md", "no_ledger_row"),
+        ("ledger-sync", "FAIL", "r/docs/zz.md", "rule_without_row"),
+        ("nav", "FAIL", "r/docs/a.md", "no navigation line"),
+        ("nav", "FAIL", "r/docs/b.md", "no navigation line"),
+        ("sync", "FAIL", "r/docs/a.md", "r:s"),
+        ("sync", "FAIL", "r/docs/b.md", "r:s"),
+        ("todos", "FAIL", "r/docs/a.md", "1"),
+        ("todos", "WARN", "r/docs/b.md", "0"),
+    ]
