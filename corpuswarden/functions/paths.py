@@ -14,10 +14,11 @@ def glob_to_regex(pattern: str) -> str:
     """Anchored regex of a shell glob. ``*`` also crosses ``/``, as in fnmatch."""
     out, rest = [], pattern
     while rest:
-        bracket = re.match(r"\[(!?)(\]?[^\]]*)\]", rest)
+        # a closing bracket right after the opening one is a member, not the end
+        bracket = re.match(r"\[(!?+)(\][^\]]*|[^\]]+)\]", rest)
         if bracket:
             negate, chars = bracket.groups()
-            chars = chars.replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]").replace("^", "\\^")
+            chars = re.sub(r"[\\\[\]^&]", r"\\\g<0>", chars)
             out.append(f"[{'^' if negate else ''}{chars}]")
             rest = rest[bracket.end():]
             continue
