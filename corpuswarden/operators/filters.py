@@ -91,8 +91,8 @@ def allowlist_filter(df: DataFrame, allow: DataFrame, path: str, function: str)
 
 def glob_hit(name: Column, path: Column, patterns: list[str]) -> Column:
     """Does any glob match the base name or the whole relative path?"""
-    regexes = [paths.glob_to_regex(p) for p in patterns]
-    return any_of([name.rlike(r) | path.rlike(r) for r in regexes])
+    either = "|".join(f"(?:{paths.glob_to_regex(p)})" for p in patterns)
+    return name.rlike(either) | path.rlike(either)
 
 
 def glob_match(df: DataFrame, path: str, excludes: list[str]) -> DataFrame:
