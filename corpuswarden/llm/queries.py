@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
+from corpuswarden.llm.token_files import checksums, write_tokens
+from corpuswarden.session import fresh_path
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -42,3 +45,9 @@ def op8(t: Tables):
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op10_token_files")
+def op10(t: Tables):
+    path = fresh_path(t.spark, "token-files")
+    return checksums(write_tokens(t.documents, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True))
