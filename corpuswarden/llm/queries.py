@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from corpuswarden.llm.decontaminate import decontaminate
+from corpuswarden.llm.fingerprints import fingerprint_pairs
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
 from corpuswarden.llm.token_files import checksums, write_tokens
 from corpuswarden.session import fresh_path
@@ -34,6 +35,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+@query("op3_fingerprints")
+def op3(t: Tables):
+    return fingerprint_pairs(t.documents)
+
+
 @query("op8_decontaminate", DECONTAMINATE_SQL)
 def op8(t: Tables):
     found = decontaminate(t.documents, t.benchmark)
