@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.fingerprints import fingerprint_pairs
+from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
 from corpuswarden.llm.token_files import checksums, write_tokens
 from corpuswarden.session import fresh_path
@@ -40,6 +41,22 @@ def op3(t: Tables):
     return fingerprint_pairs(t.documents)
 
 
+def _spans_text(spans):
+    """``kind:start:end`` of all spans, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+@query("op7_pii")
+def op7(t: Tables):
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return find_pii(t.documents).select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(_spans_text(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        _spans_text("spans").alias("spans"),
+    )
+
+
 @query("op8_decontaminate", DECONTAMINATE_SQL)
 def op8(t: Tables):
     found = decontaminate(t.documents, t.benchmark)
