@@ -181,7 +181,7 @@ def pattern(text: str, kind: str, start: int, end: int, base: bool) -> str:
 
 
 def _matrix(patterns: list[str]) -> np.ndarray:
-    return np.array([[{"+": 1, "0": 0, "-": -1}[c] for c in p.split("|")[1]] for p in patterns]).reshape(-1, len(LABELERS))
+    return np.array([[{"+": 1, "0": 0, "-": -1}[c] for c in p.split("|")[1]] for p in patterns], int).reshape(-1, len(LABELERS))
 
 
 def estimate(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:

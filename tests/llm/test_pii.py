@@ -64,7 +64,7 @@ TEXTS = (
     "server 10.0.0.1 version 999.1.1.1, card 4111 1111 1111 1111 and 4111 1111 1111 1112",
     "Dear John Smith, your IBAN is DE89 3704 0044 0532 0130 00; ssn 123-45-6789; tel 234-555-0100",
     "nothing here",
-    "x" * 200_000 + " a@b.cc",
+    "x" * 3_000 + " a@b.cc",
 )
 
 
