@@ -9,6 +9,7 @@ from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.fingerprints import fingerprint_pairs
 from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
+from corpuswarden.llm.secrets import find_secrets
 from corpuswarden.llm.token_files import checksums, write_tokens
 from corpuswarden.session import fresh_path
 
@@ -36,16 +37,29 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-@query("op3_fingerprints")
-def op3(t: Tables):
-    return fingerprint_pairs(t.documents)
-
-
 def _spans_text(spans):
     """``kind:start:end`` of all spans, comma-joined."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
+@query("op1_secrets")
+def op1(t: Tables):
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return find_secrets(t.documents).select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(_spans_text(base), 256).alias("base_sha256"),
+        _spans_text("spans").alias("spans"),
+        count("random").alias("n_random"),
+    )
+
+
+@query("op3_fingerprints")
+def op3(t: Tables):
+    return fingerprint_pairs(t.documents)
+
+
 @query("op7_pii")
 def op7(t: Tables):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
