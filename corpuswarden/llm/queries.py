@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.fingerprints import fingerprint_pairs
+from corpuswarden.llm.ngram_join import ngram_join
 from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
 from corpuswarden.llm.secrets import find_secrets
@@ -60,6 +61,11 @@ def op3(t: Tables):
     return fingerprint_pairs(t.documents)
 
 
+@query("op5_ngram_join")
+def op5(t: Tables):
+    return ngram_join(t.documents, words=4, threshold=(85, 100))
+
+
 @query("op7_pii")
 def op7(t: Tables):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
