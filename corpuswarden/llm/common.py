@@ -129,6 +129,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Gaps of words of ASCII letters, digits and all characters beyond ASCII.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,21 +145,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit number for each word ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased.
+def word_hashes(text: str, gap: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit number for each word of a text, A-Z lower-cased.
 
-    Equal words have equal numbers. A prefix sum of byte values times powers of
-    the base gives every word's number by one difference."""
+    Words are what stands between the UTF-8 bytes marked in ``gap``, which are
+    ``\\x20\\x09-\\x0D`` unless given. Equal words have equal numbers. A prefix sum of
+    byte values times powers of the base gives every word's number by one
+    difference. For each size in ``prefixes`` the numbers of the first so many
+    bytes of all longer words follow."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64)
-    inside = ~_SPACE[raw]
+    inside = ~gap[raw]
     edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[raw]] * up[:-1], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    out = [mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))]
+    for size in prefixes:
+        at = start[end - start > size]
+        out.append(mix64((total[at + size] - total[at]) * down[at] + np.uint64(size << 32)))
+    return np.concatenate(out) if prefixes else out[0]
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

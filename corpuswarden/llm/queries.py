@@ -12,6 +12,8 @@ from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
 from corpuswarden.llm.secrets import find_secrets
 from corpuswarden.llm.token_files import checksums, write_tokens
+from corpuswarden.llm.toxicity import fit as fit_toxicity
+from corpuswarden.llm.toxicity import held_out, score
 from corpuswarden.session import fresh_path
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -66,6 +68,15 @@ def op5(t: Tables):
     return ngram_join(t.documents, words=4, threshold=(85, 100))
 
 
+@query("op6_toxicity")
+def op6(t: Tables):
+    model = fit_toxicity(t.documents, t.labels.where(~held_out()))
+    nearest = F.transform(F.slice("neighbours", 1, 3), lambda n: F.concat_ws(":", n["doc_id"], n["label"], F.round(n["cosine"], 4)))
+    return score(t.documents, model).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted", F.concat_ws(",", nearest).alias("evidence")
+    )
+
+
 @query("op7_pii")
 def op7(t: Tables):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
