@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import io
 import os
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,7 +34,9 @@ from corpuswarden.llm.common import map_texts, mix64, ordered_parts, part_of, pr
 #: Keys in one index bucket, so that a bucket is built and held in some 20 MB.
 BUCKET_KEYS = 250_000
 #: Words a Python worker remembers the ids of, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS = 600_000, 40
+MARKS = frozenset(".,;:!?")
+SEPARATOR = "\x01"
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -130,8 +133,9 @@ def find(index: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encoder(path: str, end_id: int | None, by_word: bool) -> Callable[[], Callable[[list[str]], list]]:
     """Ids of texts as bytes of two or four per id, and their number.
 
-    ``by_word``: the tokenizer drops blanks and line feeds and never joins what
-    stands on both sides of them, so that a word has the same ids everywhere."""
+    ``by_word``: the tokenizer lower-cases, drops blanks and line feeds, and never
+    joins what stands on both sides of them, nor a letter and a mark after it. So
+    a word has the same ids everywhere, and each is encoded once."""
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,11 +143,26 @@ def encoder(path: str, end_id: int | None, by_word: bool) -> Callable[[], Callab
 
         tokenizer = Tokenizer.from_file(path)
         kind = id_type(tokenizer.get_vocab_size(), end_id)
-        width, known = np.dtype(kind).itemsize, {}
+        width, known, letter = np.dtype(kind).itemsize, {}, "H" if kind == "<u2" else "I"
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
         def ids(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [struct.pack(f"<{len(e.ids)}{letter}", *e.ids) for e in encoded]
+
+        def ids_of_words(words: list[str]) -> list[bytes]:
+            """As ``ids``, all words as one text between marks that none of them holds."""
+            text = f" {SEPARATOR} ".join(words)
+            mark = tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+            if len(mark) != 1 or text.count(SEPARATOR) != len(words) - 1:
+                return ids(words)
+            found = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+            ends = (np.append(np.flatnonzero(found == mark[0]), len(found)) * width).tolist()
+            raw, start, out = found.tobytes(), 0, []
+            for end in ends:
+                out.append(raw[start:end])
+                start = end + width
+            return out
 
         def work(texts: list[str]) -> list:
             if not by_word:
@@ -152,14 +171,13 @@ def encoder(path: str, end_id: int | None, by_word: bool) -> Callable[[], Callab
                 split = [t.replace("\n", " ").split(" ") for t in texts]
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                new = list(set().union(*split).difference(known)) if split else []
-                own = dict(zip(new, ids(new)))
-                known.update((w, x) for w, x in own.items() if len(w) <= CACHE_CHARS)
-                long = {w: x for w, x in own.items() if len(w) > CACHE_CHARS}
-                if long:
-                    out = [b"".join([known[w] if w in known else long[w] for w in words]) + end for words in split]
-                else:
-                    out = [b"".join(map(known.__getitem__, words)) + end for words in split]
+                new = {w: core(w) for w in set().union(*split).difference(known)}
+                fresh = list({part for pair in new.values() for part in pair}.difference(known))
+                known.update(zip(fresh, ids_of_words(fresh), strict=True))
+                known.update((w, known[word] + known[mark]) for w, (word, mark) in new.items())
+                out = [b"".join(map(known.__getitem__, words)) + end for words in split]
+                for w in {w for w in (*new, *fresh) if len(w) > CACHE_CHARS}:
+                    del known[w]
             return [out, [len(x) // width for x in out]]
 
         return work
@@ -167,6 +185,14 @@ def encoder(path: str, end_id: int | None, by_word: bool) -> Callable[[], Callab
     return make
 
 
+def core(word: str) -> tuple[str, str]:
+    """A word without the mark at its end, in lower case if it is plain, and the mark."""
+    mark = ""
+    if word[-1:] in MARKS and word[-2:-1].isalpha():
+        word, mark = word[:-1], word[-1]
+    return word.lower() if word.isascii() and word.isalpha() else word, mark
+
+
 def id_type(vocabulary: int, end_id: int | None) -> str:
     return "<u2" if max(vocabulary - 1, end_id or 0) < 65536 else "<u4"
 

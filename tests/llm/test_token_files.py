@@ -14,7 +14,7 @@ from corpuswarden.llm.token_files import PerfectHash, checksums, find, pack_inde
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 STRANGE = (
     "Ünïcode  two\tblanks\n\nlines\r\n\x85 \xa0   \x1c ΣΑΣ ΟΔΟΣ İ é ́x don't I'LL <|endoftext|>x 漢字 😀😀 12345 "
-    + "x" * 100 + " don 't 're a\x0bb 　 |---| $$$%%% ﬁ Å ½"
+    + "x" * 100 + " don 't 're a\x0bb 　 |---| $$$%%% ﬁ Å ½ The the. THE, Été, été. o'T.  <|ENDOFTEXT|> x., ..a 漢. \x01 a\x01b ١, ª. ǅ! a\u0301. \u0301."
 )
 
 
@@ -34,7 +34,7 @@ def test_perfect_hash_is_minimal_and_finds_no_strangers():
 def test_files_equal_direct_encoding(spark, tmp_path, tokenizer, by_word):
     rng = random.Random(3)
     own = STRANGE.split(" ")
-    texts = [None, "", " ", STRANGE, "a" * 50_000] + [" \n"[k % 2].join(rng.choices(own, k=9)) for k in range(60)]
+    texts = [None, "", " ", STRANGE, STRANGE.replace("\x01", "?"), "a" * 50_000] + [" \n"[k % 2].join(rng.choices(own, k=9)) for k in range(60)]
     rows = [(k * 3 % 65, t, "x", 1) for k, t in enumerate(texts)] + [(5, "twice", "x", 1), (5, "twice", "x", 1), (None, "no id", "x", 1)]
     made = spark.createDataFrame(rows, "doc_id long, text string, ids string, shard int")
     files = write_tokens(made, str(tmp_path / "t"), tokenizer, 2, by_word, parts=5)
