@@ -11,6 +11,7 @@ from corpuswarden.llm.ngram_join import ngram_join
 from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
 from corpuswarden.llm.secrets import find_secrets
+from corpuswarden.llm.sentence_pieces import decode, encode
 from corpuswarden.llm.token_files import checksums, write_tokens
 from corpuswarden.llm.toxicity import fit as fit_toxicity
 from corpuswarden.llm.toxicity import held_out, score
@@ -58,6 +59,18 @@ def op1(t: Tables):
     )
 
 
+@query("op2_sentence_pieces")
+def op2(t: Tables):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = decode(encode(t.documents, path), path)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op3_fingerprints")
 def op3(t: Tables):
     return fingerprint_pairs(t.documents)
