@@ -33,7 +33,7 @@ from corpuswarden.session import materialize
 #: Characters of a chunk; texts of more are encoded by chunks.
 CHUNK = 1 << 16
 #: Segments a Python worker remembers, and the longest of them.
-CACHE, CACHE_CHARS = 300_000, 40
+CACHE, CACHE_CHARS = 600_000, 40
 #: Scores are natural logarithms times this.
 SCALE = 1 << 20
 NONE = -(1 << 60)
@@ -62,16 +62,13 @@ class Pieces:
         self.unknown = min(s for _, s in own.values()) - 10 * SCALE
         self.longest = max(map(len, own))
         # every beginning of a piece is a key, so that a search ends early
-        self.pieces = {name[:k]: (-1, 0) for name in own for k in range(1, len(name))} | own
+        self.pieces = {name[:k]: () for name in own for k in range(1, len(name))} | own
         self.bytes = [b""] * size
         for name, (i, _) in own.items():
             self.bytes[i] = name.encode()
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
-        # no piece crosses the begin of a segment: before a blank after something else, or beside an unknown character
-        known = "".join(re.escape(c) for c in sorted({c for name in own for c in name} - {" "}))
-        crossing = any(" " in name.lstrip(" ") for name in own)
-        self.segment = re.compile("(?s).+" if crossing or not known else f" *[{known}]+| +|[^{known} ]")
+        self.segment = re.compile(_segments(own))
         self.cache: dict[str, tuple[int, tuple[int, ...]]] = {}
 
     def forward(self, s: str, begin: int, n: int) -> tuple[list, list]:
@@ -79,22 +76,21 @@ class Pieces:
         begin of the last piece, and its id (-1: unknown character)."""
         best, back = [NONE] * (len(s) + 1), [None] * (len(s) + 1)
         best[begin] = 0
-        pieces, size = self.pieces, len(s)
+        find, size, unknown = self.pieces.get, len(s), self.unknown
         for p in range(begin, n):
             here = best[p]
             if here == NONE:
                 continue
-            single = False
-            for end in range(p + 1, min(p + self.longest, size) + 1):
-                entry = pieces.get(s[p:end])
-                if entry is None:
+            for end in range(p + 1, size + 1):
+                entry = find(s[p:end])
+                if entry:
+                    total = here + entry[1]
+                    if total > best[end]:
+                        best[end], back[end] = total, (p, entry[0])
+                elif entry is None:
                     break
-                if entry[0] >= 0:
-                    single = single or end == p + 1
-                    if here + entry[1] > best[end]:
-                        best[end], back[end] = here + entry[1], (p, entry[0])
-            if not single and here + self.unknown > best[p + 1]:
-                best[p + 1], back[p + 1] = here + self.unknown, (p, -1)
+            if here + unknown > best[p + 1] and not find(s[p]):
+                best[p + 1], back[p + 1] = here + unknown, (p, -1)
         return best, back
 
     def trace(self, s: str, back: list, begin: int, end: int) -> tuple[list[int], list[int]]:
@@ -111,8 +107,12 @@ class Pieces:
         """Sum and ids of one segment, remembered if short."""
         found = self.cache.get(s)
         if found is None:
-            best, back = self.forward(s, 0, len(s))
-            found = best[len(s)], tuple(self.trace(s, back, 0, len(s))[0])
+            entry = self.pieces.get(s)
+            if entry and len(s) == 1:
+                found = entry[1], entry[:1]
+            else:
+                best, back = self.forward(s, 0, len(s))
+                found = best[len(s)], tuple(self.trace(s, back, 0, len(s))[0])
             if len(s) <= CACHE_CHARS:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
@@ -124,7 +124,8 @@ class Pieces:
             return []
         out: list[int] = []
         whole, cache = self.whole, self.cache
-        for s in self.segment.findall(" " + text):
+        for m in self.segment.finditer(" " + text):
+            s = m[0]
             found = cache.get(s) or whole(s)
             out += found[1]
         return out
@@ -179,6 +180,34 @@ class Pieces:
         return out + self.trace(rest, self.forward(rest, 0, n - last)[1], 0, n - last + leave)[0]
 
 
+def _segments(names) -> str:
+    """Pattern of segments, whose begins no piece crosses.
+
+    Characters that stand side by side in some piece are of one group; blanks go with
+    what follows. A segment is blanks and characters of one group, or an unknown character."""
+    if any(" " in name.lstrip(" ") for name in names):
+        return "(?s).+"
+    group: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while group.setdefault(c, c) != c:
+            c = group[c]
+        return c
+
+    for name in names:
+        chars = name.lstrip(" ")
+        for c in chars:
+            group[root(c)] = root(chars[0])
+    members: dict[str, list[str]] = {}
+    for c in sorted(group):
+        members.setdefault(root(c), []).append(re.escape(c))
+    alone = "".join(m[0] for m in members.values() if len(m) == 1)
+    classes = [f" *[{''.join(m)}]+" for m in sorted(members.values(), key=len, reverse=True) if len(m) > 1]
+    # a group of one character may still repeat within a piece
+    classes += [f" *([{alone}])\\1*"] if alone else []
+    return "|".join([*classes, " +", f"[^{''.join(map(re.escape, sorted(group)))} ]"])
+
+
 def combine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Transfer over two neighbouring stretches from those of each; the operation is associative."""
     (x, px), (y, py) = a, b

@@ -32,10 +32,10 @@ def test_best_sum_by_enumeration(pieces):
         if not s:
             yield 0, ()
         for k in range(1, len(s) + 1):
-            entry = pieces.pieces.get(s[-k:], (-1, 0))
-            if entry[0] >= 0 or k == 1:
+            entry = pieces.pieces.get(s[-k:])
+            if entry or k == 1:
                 for total, begins in cuts(s[:-k]):
-                    yield total + (entry[1] if entry[0] >= 0 else pieces.unknown), (len(s) - k, *begins)
+                    yield total + (entry[1] if entry else pieces.unknown), (len(s) - k, *begins)
 
     for text in ["aaaa", "the cat", "hello", "a  b", "x▁y", "inginga"]:
         s = " " + text
