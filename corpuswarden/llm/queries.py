@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.fingerprints import fingerprint_pairs
+from corpuswarden.llm.license_scan import scan_licenses
 from corpuswarden.llm.ngram_join import ngram_join
 from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
@@ -114,6 +115,18 @@ def op8(t: Tables):
     )
 
 
+@query("op9_license_scan")
+def op9(t: Tables):
+    text = F.transform("spans", lambda s: F.concat_ws(":", s["license"], s["start"], s["end"], F.round(s["coverage"], 4)))
+    return scan_licenses(t.documents).select(
+        "doc_id",
+        "n_words",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_covered"),
+        F.concat_ws(",", text).alias("spans"),
+    )
+
+
 @query("op10_token_files")
 def op10(t: Tables):
     path = fresh_path(t.spark, "token-files")
