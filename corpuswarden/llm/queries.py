@@ -13,6 +13,7 @@ from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
 from corpuswarden.llm.secrets import find_secrets
 from corpuswarden.llm.sentence_pieces import decode, encode
+from corpuswarden.llm.substrings import repeated_passages
 from corpuswarden.llm.token_files import checksums, write_tokens
 from corpuswarden.llm.toxicity import fit as fit_toxicity
 from corpuswarden.llm.toxicity import held_out, score
@@ -77,6 +78,14 @@ def op3(t: Tables):
     return fingerprint_pairs(t.documents)
 
 
+@query("op4_substrings")
+def op4(t: Tables):
+    text = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["partner"]))
+    return repeated_passages(t.documents).select(
+        "doc_id", "n_words", "n_repeated", "class_id", "copies", F.size("spans").cast("long").alias("n_spans"), F.concat_ws(",", text).alias("spans")
+    )
+
+
 @query("op5_ngram_join")
 def op5(t: Tables):
     return ngram_join(t.documents, words=4, threshold=(85, 100))
