@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STRICT = r"^\d{1,9}([.]\d{1,9}){1,3}$"
+_STRICT = r"^\d{1,18}([.]\d{1,18}){1,3}$"
 
 
 def version_parts(version: Column) -> Column:
-    """``array<int>`` of a dotted version, null if it is not one."""
-    return F.when(version.rlike(_STRICT), F.split(version, "[.]").cast("array<int>"))
+    """``array<bigint>`` of a dotted version, null if it is not one."""
+    return F.when(version.rlike(_STRICT), F.split(version, "[.]").cast("array<bigint>"))
 
 
 def read_version(text: Column, variable: str = "__version__") -> Column:

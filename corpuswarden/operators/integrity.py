@@ -223,7 +223,7 @@ def block_consistency(blocks: DataFrame, name: str, body: str, doc: str) -> Data
     return slim.join(versions, name).select(name, doc, "n_versions")
 
 
-SYNC_BLOCK = r"(?s)<!--\s*sync:([\w-]+)\s*-->(.*?)<!--\s*/sync:"
+SYNC_BLOCK = r"(?s)<!--\s*sync:([\w-]+)\s*-->(.*?)<!--\s*/sync:\1\s*-->"
 
 
 def sync_blocks(df: DataFrame, text: str, doc: str) -> DataFrame:

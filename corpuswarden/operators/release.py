@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from corpuswarden.functions.versions import is_lower, version_parts
 from corpuswarden.session import Stages, materialize
 
 
-def dependency_cascade(edges: DataFrame, selection: DataFrame, name: str, max_levels: int = 1_000) -> DataFrame:
+def dependency_cascade(edges: DataFrame, selection: DataFrame, name: str) -> DataFrame:
     """Selection plus all its downstream dependents, each once, marked.
 
     ``edges(upstream, downstream)``. Goes level by level; each level joins only
@@ -21,7 +23,7 @@ def dependency_cascade(edges: DataFrame, selection: DataFrame, name: str, max_le
     )
     reached = Stages(edges.sparkSession, "levels")
     frontier, _ = reached.add(selection.select(name).distinct().withColumn("level", F.lit(0)))
-    for level in range(1, max_levels + 1):
+    for level in count(1):
         step = (
             links.join(frontier.select(F.col(name).alias("upstream")), "upstream", "left_semi")
             .select(F.col("downstream").alias(name))
@@ -115,8 +117,9 @@ def freshness_guard(artifacts: DataFrame, inputs: DataFrame, key: str, generated
 
 def run_verdict(keys: DataFrame, runs: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Verdict over the runs (status, conclusion) of each key: norun, pending while any
-    is unfinished, else the latest failure's conclusion, else success."""
-    failed = (F.col("status") == "completed") & (F.col("conclusion") != "success")
+    is unfinished, else the latest failure's conclusion, else success. A run without a
+    conclusion is no failure."""
+    failed = (F.col("status") == "completed") & ~F.col("conclusion").isin("success", "")
     agg = runs.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.count_if(F.col("status") != "completed").alias("n_pending"),

@@ -54,9 +54,7 @@ def enclosing_scope(lines: DataFrame, keys: list[str], seq: str, definition: Col
     return running_last(lines, keys, seq, definition, "scope").where(hit)
 
 
-def first_definition_wins(
-    owners: DataFrame, bases: DataFrame, members: DataFrame, max_levels: int = 1_000
-) -> DataFrame:
+def first_definition_wins(owners: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame:
     """Members of each owner, its own and those inherited through private bases.
 
     ``owners(owner)``, ``bases(owner, base, pos, private)``, ``members(owner,
@@ -74,7 +72,7 @@ def first_definition_wins(
     start = owners.select("owner").distinct().select("owner", F.col("owner").alias("class"), root.alias("path"))
     reached = Stages(owners.sparkSession, "classes")
     frontier, _ = reached.add(start)
-    for _ in range(max_levels):
+    while True:
         step = (
             frontier.join(edges, F.col("class") == F.col("_from"))
             .groupBy("owner", F.col("_to").alias("class"))

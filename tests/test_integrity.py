@@ -118,3 +118,8 @@ def test_pair_resolution(frame, rows):
         ("solo", "a/solo.py", None, "FAIL"),
         ("tool", "a/tool.py", "b/tool_slots.py", "OK"),
     ]
+
+
+def test_sync_blocks_end_at_their_own_name(frame, rows):
+    text = "<!-- sync:a -->x<!-- sync:b -->y<!-- /sync:b -->z<!-- /sync:a -->"
+    assert rows(ops.sync_blocks(frame("d string, t string", ("d", text)), "t", "d"), "name", "body") == [("a", "x<!-- sync:b -->y<!-- /sync:b -->z")]

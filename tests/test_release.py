@@ -109,3 +109,16 @@ def test_bump_message_is_anchored(frame, rows):
         ("c", 1, "update Dependencies & bump version to 2"), ("d", 1, "please bump version to 3"),
     )
     assert rows(ops.latest_is_bump(log, "r", "m", ["t"]), "r", "is_bump") == [("a", True), ("b", False), ("c", True), ("d", False)]
+
+
+def test_versions_of_many_digits(frame, rows):
+    from corpuswarden.functions.versions import is_lower
+
+    df = frame("a string, b string", ("2000000000.1.0", "2000000001.0"), ("20261201123456.1", "1.0"))
+    assert rows(df.select("a", is_lower(F.col("a"), F.col("b")).alias("low"))) == [("2000000000.1.0", True), ("20261201123456.1", False)]
+
+
+def test_a_run_without_conclusion_is_no_failure(frame, rows):
+    runs = frame("k string, status string, conclusion string, ts int", ("a", "completed", "", 2), ("b", "completed", "", 1), ("b", "completed", "failure", 0))
+    out = ops.run_verdict(frame("k string", ("a",), ("b",)), runs, "k", ["ts"])
+    assert rows(out, "k", "verdict") == [("a", "success"), ("b", "failure")]
