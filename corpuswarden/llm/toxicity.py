@@ -11,15 +11,17 @@ itself, turns votes into probabilities.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from corpuswarden.llm.common import MARKS, map_texts, prepare, word_hashes
+from corpuswarden.session import materialize
 
 #: Labelled documents of each class that are learned from, at most.
 EXAMPLES = 2_000
@@ -117,24 +119,40 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def build(examples: list[tuple], share: float) -> ToxicityModel:
-    """Model from examples (name, label, terms, counts) where ``share`` of all labels are 1."""
+def _dependence(seen: np.ndarray | Column, bad: np.ndarray | Column, n: float, ones: float) -> np.ndarray | Column:
+    """Chi-squared of terms that ``seen`` of ``n`` examples hold, ``bad`` of them among the ``ones`` of label 1."""
+    apart = bad * n - seen * ones
+    return apart * apart * n / (seen * (n - seen) * (ones * (n - ones)))
+
+
+def choose_terms(examples: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the terms of greatest dependence, ties by number, and how many examples hold each."""
+    label = np.array([e[1] for e in examples], float)
+    rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+    every, inverse = np.unique(np.concatenate([e[2] for e in examples]).view(np.int64), return_inverse=True)
+    seen = np.bincount(inverse, minlength=len(every)).astype(float)
+    bad = np.bincount(inverse, weights=label[rows], minlength=len(every))
+    some = (seen > 1) & (seen < len(label))
+    every, seen = every[some], seen[some]
+    chi = _dependence(seen, bad[some], float(len(label)), label.sum())
+    chosen = np.lexsort((every, -chi))[:TERMS]
+    chosen = chosen[chi[chosen] >= LEAST_CHI]
+    return every[chosen].view(np.uint64), seen[chosen]
+
+
+def build(examples: list[tuple], share: float, terms: tuple[np.ndarray, np.ndarray] | None = None) -> ToxicityModel:
+    """Model from examples (name, label, terms, counts) where ``share`` of all labels are 1.
+
+    ``terms`` are those to be kept, as of ``choose_terms``, if they are known already."""
     model = ToxicityModel()
     label = np.array([e[1] for e in examples], float)
     if not len(examples) or label.min() == label.max():
         model.steps = (np.array([-1.0]), np.array([float(label[0]) if len(examples) else 0.0]))
         return model
-    rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-    every, inverse = np.unique(np.concatenate([e[2] for e in examples]), return_inverse=True)
-    seen = np.bincount(inverse, minlength=len(every))
-    bad = np.bincount(inverse, weights=label[rows], minlength=len(every))
     n, ones = len(label), label.sum()
-    spread = seen * (n - seen) * ones * (n - ones)
-    chi = np.where(spread > 0, (bad * n - seen * ones) ** 2 * n / np.maximum(spread, 1), 0)
-    # the terms of greatest dependence, ties by number
-    chosen = np.lexsort((every, -chi))[:TERMS]
-    chosen = np.sort(chosen[(chi[chosen] >= LEAST_CHI) & (seen[chosen] > 1)])
-    model.vocabulary, model.idf = every[chosen], np.log((n + 1) / (seen[chosen] + 1)) + 1
+    chosen, seen = choose_terms(examples) if terms is None else terms
+    by_number = np.argsort(chosen)
+    model.vocabulary, model.idf = chosen[by_number], np.log((n + 1) / (seen[by_number] + 1)) + 1
     queries = [model.query(e[2], e[3]) for e in examples]
     # like documents stand together, so that blocks differ in what they hold
     strongest = [int(at[np.argmax(w)]) if len(at) else -1 for at, w in queries]
@@ -183,14 +201,54 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Toxicit
     def make() -> Callable[[list[str]], list]:
         def work(texts: list[str]) -> list:
             terms = [terms_of(t) for t in texts]
-            return [[t.view(np.int64) for t, _ in terms], [c for _, c in terms]]
+            return [[t.tobytes() for t, _ in terms], [c.tobytes() for _, c in terms]]
 
         return work
 
-    fields = [StructField("terms", ArrayType(LongType())), StructField("counts", ArrayType(LongType()))]
-    rows = map_texts(chosen, make, fields, carry=True).select("doc_id", "_row._label", "terms", "counts").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    return build([(r["doc_id"], r["_label"], np.array(r["terms"], np.int64).view(np.uint64), np.array(r["counts"])) for r in rows], share)
+    fields = [StructField("terms", BinaryType()), StructField("counts", BinaryType())]
+    made = map_texts(chosen, make, fields, carry=True).select("doc_id", F.col("_row._label").alias("label"), "terms", "counts")
+    table, n = materialize(made, "toxicity")
+    terms = _frequent_terms(table, n)
+    rows = sorted(_restricted(table, terms[0]).collect(), key=lambda r: (r["doc_id"], r["terms"]))
+    return build([(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in rows], share, terms)
+
+
+def _frequent_terms(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``choose_terms``, over a table of examples; TERMS rows at most reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), label, np.int32))], ["term", "label"])
+
+    ones = table.agg(F.sum("label")).first()[0] or 0
+    if ones in (0, n):
+        return np.empty(0, np.uint64), np.empty(0)
+    counted = table.select("label", "terms").mapInArrow(run, "term long, label int").groupBy("term").agg(
+        F.count("*").cast("double").alias("seen"), F.sum("label").cast("double").alias("bad")
+    )
+    some = counted.where((F.col("seen") > 1) & (F.col("seen") < n))
+    some = some.withColumn("chi", _dependence(F.col("seen"), F.col("bad"), float(n), float(ones)))
+    rows = some.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS).select("term", "seen").collect()
+    return np.array([r["term"] for r in rows], np.int64).view(np.uint64), np.array([r["seen"] for r in rows])
+
+
+def _restricted(table: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The examples with no terms but the given ones."""
+    terms = np.sort(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, counts = [], []
+            for raw, count in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                own = np.frombuffer(raw, np.uint64)
+                here = np.isin(own, terms, assume_unique=True)
+                kept.append(own[here].tobytes())
+                counts.append(np.frombuffer(count, np.int64)[here].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(counts, pa.binary())], batch.schema.names)
+
+    return table.mapInArrow(run, table.schema)
 
 
 def score(docs: DataFrame, model: ToxicityModel, carry: bool = False) -> DataFrame:
