@@ -33,8 +33,9 @@ from corpuswarden.llm.common import map_texts, mix64, ordered_parts, part_of, pr
 
 #: Keys in one index bucket, so that a bucket is built and held in some 20 MB.
 BUCKET_KEYS = 250_000
-#: Words a Python worker remembers the ids of, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 600_000, 40
+#: Words a Python worker remembers the ids of from task to task, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 1_200_000, 40
+_LOADED: dict[str, tuple] = {}
 MARKS = frozenset(".,;:!?")
 SEPARATOR = "\x01"
 
@@ -130,6 +131,17 @@ def find(index: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, (at >= 0) & (row["check"] == (mix64(keys) >> np.uint64(32)).astype(np.uint32))
 
 
+def _load(path: str) -> tuple:
+    """Tokenizer of a file, and for each type of ids the words remembered with theirs."""
+    if path not in _LOADED:  # once per Python worker
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _LOADED.clear()
+        _LOADED[path] = Tokenizer.from_file(path), {}
+    return _LOADED[path]
+
+
 def encoder(path: str, end_id: int | None, by_word: bool) -> Callable[[], Callable[[list[str]], list]]:
     """Ids of texts as bytes of two or four per id, and their number.
 
@@ -138,12 +150,10 @@ def encoder(path: str, end_id: int | None, by_word: bool) -> Callable[[], Callab
     a word has the same ids everywhere, and each is encoded once."""
 
     def make():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer, remembered = _load(path)
         kind = id_type(tokenizer.get_vocab_size(), end_id)
-        width, known, letter = np.dtype(kind).itemsize, {}, "H" if kind == "<u2" else "I"
+        known = remembered.setdefault(kind, {})
+        width, letter = np.dtype(kind).itemsize, "H" if kind == "<u2" else "I"
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
         def ids(texts: list[str]) -> list[bytes]:
