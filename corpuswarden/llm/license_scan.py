@@ -4,11 +4,14 @@ Pairs of neighbouring words that occur in a template mark where it may stand. Th
 words that occur once in the passage and once in the template are anchors; the
 longest increasing run of them is kept, and the gaps between are aligned
 in the same way. Gaps without such words are aligned by their longest common blocks.
+Standard licences are looked for where a phrase stands that tells them from their
+siblings, and are aligned on both sides of it.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
@@ -17,25 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from corpuswarden.llm.common import MARKS, map_texts, mix64, word_hashes
+from corpuswarden.llm.license_texts import SENTENCES, standard
 
 #: Least share of a template's words that a passage has, and least share of a passage's
 #: words that are the template's.
 COVERAGE, DENSITY = 0.8, 0.7
 
-# The notices by which texts state their licence.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-]
+#: Notices that name their licence; the query scans for all of ``license_texts.standard``.
+TEMPLATES = SENTENCES
 SPANS = ArrayType(
     StructType(
         [
@@ -111,28 +103,49 @@ def _pair_hashes(words: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Templates as word numbers, with the places of their word pairs."""
+    """Templates as word numbers, with the places of their word pairs, or of their keys if they have any."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]]):
-        self.names = [name for name, _ in templates]
-        self.words = [word_hashes(text or "", MARKS) for _, text in templates]
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
+    def __init__(self, templates: Sequence[tuple]):
+        self.names = [t[0] for t in templates]
+        self.words = [word_hashes(t[1] or "", MARKS) for t in templates]
+        self.lists = [w.tolist() for w in self.words]
+        self.known_words = [np.unique(w) for w in self.words]
+        # pair, or word of a template of one word: (template, place, words of the key or 0)
+        self.seeds: dict[int, list[tuple[int, int, int]]] = {}
+        self.single = False
         for k, words in enumerate(self.words):
-            # a template of one word is its own seed
-            for i, pair in enumerate(_pair_hashes(words).tolist() if len(words) > 1 else words.tolist()):
-                self.seeds.setdefault(pair, []).append((k, i))
+            pairs = (_pair_hashes(words) if len(words) > 1 else words).tolist()
+            keys = [word_hashes(key, MARKS).tolist() for key in (templates[k][2] if len(templates[k]) > 2 else ())]
+            self.single |= len(words) == 1 or any(len(key) == 1 for key in keys)
+            for key in keys:
+                at = [i for i in range(len(words) - len(key) + 1) if self.lists[k][i : i + len(key)] == key]
+                if not key or not at:
+                    raise ValueError(f"a key of {self.names[k]} is not in its text")
+                for i in at:
+                    self.seeds.setdefault(pairs[i] if len(key) > 1 else key[0], []).append((k, i, len(key)))
+            if not keys:
+                for i, pair in enumerate(pairs):
+                    self.seeds.setdefault(pair, []).append((k, i, 0))
         self.known = np.array(sorted(self.seeds), np.uint64)
-        self.lists = [w.tolist() for w in self.words]
-        self.single = any(len(w) == 1 for w in self.words)
 
     def scan(self, words: np.ndarray, coverage: float, density: float) -> list[tuple[str, int, int, float]]:
         """Passages (licence, start, end, coverage) by words, none overlapping; the best first choice wins."""
         starts: dict[int, list[int]] = {}
+        keyed: dict[int, list[tuple[int, int, int]]] = {}
         for hashes in (_pair_hashes(words), *([words] if self.single else [])):
             for p in np.flatnonzero(np.isin(hashes, self.known)).tolist():
-                for k, i in self.seeds[int(hashes[p])]:
-                    starts.setdefault(k, []).append(p - i)
+                for k, i, size in self.seeds[int(hashes[p])]:
+                    if not size:
+                        starts.setdefault(k, []).append(p - i)
+                    elif words[p : p + size].tolist() == self.lists[k][i : i + size]:
+                        keyed.setdefault(k, []).append((p, i, size))
         found = []
+
+        def add(k: int, low: int, pairs: list[tuple[int, int]]) -> None:
+            template = self.lists[k]
+            if pairs and len(pairs) >= coverage * len(template) and len(pairs) >= density * (pairs[-1][0] - pairs[0][0] + 1):
+                found.append((-len(pairs), -len(pairs) / len(template), low + pairs[0][0], low + pairs[-1][0] + 1, self.names[k]))
+
         for k, guesses in starts.items():
             template = self.lists[k]
             slack, margin = len(template) // 4, len(template) // 2
@@ -143,10 +156,19 @@ class Templates:
                     group.append(g)
                     continue
                 low, high = max(0, group[0] - margin), min(len(words), group[-1] + len(template) + margin)
-                pairs = densest(align(words[low:high].tolist(), template))
-                if pairs and len(pairs) >= coverage * len(template) and len(pairs) >= density * (pairs[-1][0] - pairs[0][0] + 1):
-                    found.append((-len(pairs), -len(pairs) / len(template), low + pairs[0][0], low + pairs[-1][0] + 1, self.names[k]))
+                add(k, low, densest(align(words[low:high].tolist(), template)))
                 group = [g]
+        for k, hits in keyed.items():
+            template, margin, done = self.lists[k], len(self.lists[k]) // 2, set()
+            for p, i, size in sorted(hits):
+                low, high = max(0, p - i - margin), min(len(words), p - i + len(template) + margin)
+                # no passage where fewer of the template's words stand than it needs
+                if (p, i) in done or np.count_nonzero(np.isin(words[low:high], self.known_words[k])) < coverage * len(template):
+                    continue
+                pairs = densest([(x - low, y) for x, y in self._around(words, k, p, i, size, low, high)])
+                done.update((low + x, y) for x, y in pairs)
+                if {(p - low + j, i + j) for j in range(size)} <= set(pairs):
+                    add(k, low, pairs)
         chosen: list[tuple[str, int, int, float]] = []
         for _, share, start, end, name in sorted(set(found)):
             at = bisect.bisect(chosen, start, key=lambda c: c[1])
@@ -155,10 +177,23 @@ class Templates:
             chosen.insert(at, (name, start, end, -share))
         return chosen
 
+    def _around(self, words: np.ndarray, k: int, p: int, i: int, size: int, low: int, high: int) -> list[tuple[int, int]]:
+        """Alignment of the words from ``low`` to ``high`` in which the key at ``p`` stands at ``i`` of the template."""
+        template = self.lists[k]
+        left = align(words[low:p].tolist(), template[:i])
+        right = align(words[p + size : high].tolist(), template[i + size :])
+        return [*((low + x, y) for x, y in left), *((p + j, i + j) for j in range(size)), *((p + size + x, i + size + y) for x, y in right)]
+
+
+@functools.lru_cache(maxsize=2)
+def _kept(templates: tuple) -> Templates:
+    """A Python worker keeps its templates from task to task."""
+    return Templates(templates)
+
 
 def scan_licenses(
     docs: DataFrame,
-    templates: Sequence[tuple[str, str]] = tuple(TEMPLATES),
+    templates: Sequence[tuple] | None = None,
     coverage: float = COVERAGE,
     density: float = DENSITY,
     carry: bool = False,
@@ -169,16 +204,18 @@ def scan_licenses(
     ``coverage``, the share of the template's words found in order. Words are runs
     of letters and digits (and of all characters beyond ASCII), A-Z lower-cased. Of
     overlapping passages the one with more words found stays, then the one of greater
-    coverage, then the earlier, then the one first by name. ``templates`` are broadcast
-    with the code: a few texts, not a table that grows.
+    coverage, then the earlier, then the one first by name. ``templates`` (all of
+    ``license_texts.standard`` unless given) are broadcast with the code: a few hundred
+    KB, not a table that grows. Of a template with keys, phrases as its third item, one
+    must stand in the passage unbroken.
 
     Null and empty texts have no words and no spans, like a null or empty template.
     Repeated rows get a row each; other columns are ignored, or follow as struct
     ``_row`` with ``carry``; an empty table gives no rows."""
-    templates = list(templates)
+    templates = tuple(map(tuple, standard() if templates is None else templates))
 
     def make() -> Callable[[list[str]], list]:
-        own = Templates(templates)
+        own = _kept(templates)
 
         def work(texts: list[str]) -> list:
             words = [word_hashes(t, MARKS) for t in texts]

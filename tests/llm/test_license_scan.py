@@ -4,6 +4,7 @@ import itertools
 import random
 
 from corpuswarden.llm import license_scan as ls
+from corpuswarden.llm import license_texts as lt
 
 
 def test_increasing_is_longest():
@@ -57,3 +58,33 @@ def test_edges(spark, docs, clashing):
     assert ls.scan_licenses(docs(apache), [("N", None), ("E", "")]).first()["spans"] == []
     rows = ls.scan_licenses(clashing(apache, None), carry=True).collect()
     assert sorted((r["_row"]["kind"] is None, len(r["spans"])) for r in rows) == [(True, 0), (True, 1)]
+
+
+def test_whole_texts_and_siblings(spark, docs):
+    rng = random.Random(4)
+    named = [(n, t) for n, t, _ in lt.bodies()]
+    edited = [" ".join("changed" if rng.random() < 0.03 else w for w in dict(named)[n].split()) for n in ("Apache-2.0", "CC0-1.0", "BSD-3-Clause")]
+    notices = {
+        "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY-NC-SA 3.0": ["CC-BY-NC-SA-3.0"],
+        "Licensed under CC BY 9.0": [],
+        "This work is licensed under the GNU Lesser General Public License, version 3": ["LGPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 2": ["GPL-2.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3": ["AGPL-3.0"],
+        "This work is licensed under the GNU Other General Public License, version 3": [],
+    }
+    # a sibling whose text is not at hand
+    other = dict(named)["GPL-3.0"].replace("GENERAL PUBLIC", "OTHER GENERAL PUBLIC").replace("GNU General", "GNU Other General")
+    texts = [f"before {t} after" for _, t in named] + edited + list(notices) + [other]
+    found = {r["doc_id"]: r["spans"] for r in ls.scan_licenses(docs(*texts)).collect()}
+    expected = [[n] for n, _ in named] + [["Apache-2.0"], ["CC0-1.0"], ["BSD-3-Clause"], *notices.values(), []]
+    assert [[s["license"] for s in found[i]] for i in range(len(texts))] == expected
+    for i in range(len(named)):
+        words = len(ls.word_hashes(texts[i], ls.MARKS))
+        assert [(s["start"], s["end"], s["coverage"]) for s in found[i]] == [(1, words - 1, 1.0)]
+
+
+def test_every_standard_template_finds_its_licence():
+    own = ls.Templates(lt.standard())
+    for name, text, _ in lt.standard():
+        assert [s[0] for s in own.scan(ls.word_hashes(text, ls.MARKS), ls.COVERAGE, ls.DENSITY)] == [name], text[:80]
