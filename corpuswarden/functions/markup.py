@@ -34,10 +34,11 @@ def markup_balance(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
 def markup_state(html: Column) -> Column:
     """malformed, ok or skipped; a text without any markup is skipped.
 
-    Named entities and void elements, where html is laxer than xml, are
-    normalized before the text is parsed."""
-    probe = F.regexp_replace(html, r"&(?!(?:amp|lt|gt|quot|apos);)[a-zA-Z#0-9]+;", "&amp;")
-    probe = F.regexp_replace(probe, r"(?i)<(br|hr|img|meta|link|input)\b([^>/]*)/?>", "<$1$2/>")
+    Named entities, void elements, the document type and what scripts and styles hold,
+    where html is laxer than xml, are normalized before the text is parsed."""
+    probe = F.regexp_replace(strip_invisible(html), r"(?i)<!doctype[^>]*>", "")
+    probe = F.regexp_replace(probe, r"&(?!(?:amp|lt|gt|quot|apos);)[a-zA-Z#0-9]+;", "&amp;")
+    probe = F.regexp_replace(probe, rf"(?i)<({'|'.join(VOID)})\b((?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*+)/?>", "<$1$2/>")
     parsed = F.from_xml(
         F.concat(F.lit("<root>"), probe, F.lit("</root>")),
         "_corrupt_record string",

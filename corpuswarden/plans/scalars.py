@@ -68,10 +68,8 @@ def _markup_balance(t: Tables):
 
 @query("markup_well_formed")
 def _markup_well_formed(t: Tables):
-    """Exact parse of each block of each page; SQL has no counterpart."""
-    block = r"(?s)<(?:nav|h1|p|footer|table)>.*?</(?:nav|h1|p|footer|table)>"
-    blocks = each_numbered(t.pages, ["page_id"], F.regexp_extract_all("html", F.lit(block), F.lit(0)), "seq", "html")
-    return blocks.select("page_id", "seq", markup.markup_state(F.col("html")).alias("state"))
+    """Exact parse of each whole page; SQL has no counterpart."""
+    return t.pages.select("page_id", markup.markup_state(F.col("html")).alias("state"))
 
 
 @query(

@@ -134,3 +134,18 @@ def test_markup(frame, rows):
     state = dict(rows(pages.select("i", markup.markup_state(F.col("h")))))
     assert state == {1: "ok", 2: "malformed", 3: "malformed", 4: "malformed", 5: "ok", 6: "skipped", 7: "ok"}
     assert rows(markup.markup_balance(pages, "h", ["i"])) == [(3, "placeholder", 1), (4, "p", 1)]
+
+
+def test_markup_state_of_whole_pages(frame, rows):
+    page = """<!DOCTYPE html><html><head><meta charset="utf-8"><link rel="x" href="/a/b.css"><script>var t="</p>";if(a<b){}</script>
+    <style>p>a{}</style></head><body><!-- <p> --><p>a &copy; b<br>c<br/><img src='/i>j.png' alt="/"><wbr></p></body></html>"""
+    pages = frame("i long, h string", (1, page), (2, page.replace("</body></html>", "")), (3, page.replace("</p></body>", "</body>")))
+    assert dict(rows(pages.select("i", markup.markup_state(F.col("h"))))) == {1: "ok", 2: "malformed", 3: "malformed"}
+
+
+def test_markup_well_formed_judges_each_page_once(spark, tmp_path):
+    from corpuswarden.plans import QUERIES
+
+    page = "<html><body><div><p>a</p></body></html>"  # every block is well-formed, the page is not
+    spark.createDataFrame([(1, page), (2, page.replace("<div>", ""))], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(tuple(r) for r in QUERIES["markup_well_formed"](spark, str(tmp_path)).collect()) == [(1, "malformed"), (2, "ok")]
