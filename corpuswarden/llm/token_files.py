@@ -19,6 +19,7 @@ from __future__ import annotations
 import io
 import os
 import struct
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -198,11 +199,21 @@ def encoder(path: str, end_id: int | None, by_word: bool) -> Callable[[], Callab
 def core(word: str) -> tuple[str, str]:
     """A word without the mark at its end, in lower case if it is plain, and the mark."""
     mark = ""
-    if word[-1:] in MARKS and word[-2:-1].isalpha():
+    if word[-1:] in MARKS and _ends_in_letter(word[:-1]):
         word, mark = word[:-1], word[-1]
     return word.lower() if word.isascii() and word.isalpha() else word, mark
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether the last character is a letter, also once composed and in lower case.
+
+    Some letters turn into a letter and a combining mark then, which joins a mark after it."""
+    last = word[-1:]
+    if last.isascii():
+        return last.isalpha()
+    return last.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", last).lower())[-1].isalpha()
+
+
 def id_type(vocabulary: int, end_id: int | None) -> str:
     return "<u2" if max(vocabulary - 1, end_id or 0) < 65536 else "<u4"
 

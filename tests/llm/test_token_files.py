@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corpuswarden.llm.token_files import PerfectHash, checksums, find, pack_index, write_tokens
+from corpuswarden.llm.token_files import PerfectHash, checksums, encoder, find, pack_index, write_tokens
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 STRANGE = (
@@ -53,6 +53,15 @@ def test_files_equal_direct_encoding(spark, tmp_path, tokenizer, by_word):
     assert read[77_777] is None and np.frombuffer(read[3], "<u4").tolist() == dict(encoded)[3]
 
 
+def test_every_letter_before_a_mark():
+    texts = [f"x{chr(c)}." for c in range(0x80, 0x110000) if chr(c).isalpha()] + ["TÜRKİYE BİRLİĞİ. ANKARALİ!"]
+    direct, work = Tokenizer.from_file(WORDS), encoder(WORDS, None, True)()
+    for k in range(0, len(texts), 4_000):
+        part = texts[k : k + 4_000]
+        expected = [e.ids for e in direct.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in work(part)[0]] == expected
+
+
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert checksums(write_tokens(empty, str(tmp_path / "t"), WORDS, by_word=True)).count() == 0
