@@ -10,6 +10,7 @@ the four base kinds are kept whatever it decides.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -96,7 +97,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             for i in range(0, len(parts) - 3, 4):
                 # a first part belongs to no other match, so groups of four follow one another
                 size = sum(map(len, parts[i : i + 4])) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[i : i + 4]):
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in parts[i : i + 4])):
                     found["ip"].append(("ip", place, place + size))
                 place += size + 1
         for match in _CARD.finditer(text, low, high):
@@ -113,12 +114,19 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Base spans and further candidates, which do not overlap those; by kind, then start."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
-    taken = sorted((s, e) for _, s, e in base)
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
 
     def offer(kind: str, start: int, end: int) -> None:
-        if not any(s < end and start < e for s, e in taken):
-            out.append((kind, start, end, False))
-            taken.append((start, end))
+        at = bisect.bisect_left(taken, (start, end))
+        if (at and start < taken[at - 1][1]) or (at < len(taken) and taken[at][0] < end):
+            return
+        out.append((kind, start, end, False))
+        taken.insert(at, (start, end))
 
     for zone in _ZONE.finditer(text):
         low, high = zone.span()

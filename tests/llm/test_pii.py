@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -42,6 +43,26 @@ def test_base_spans_equal_plain_expressions():
         pii.candidates(long)
 
 
+def test_long_digit_runs_and_many_names():
+    for text in ("0" * 5_000 + ".1.2.3", "9" * 5_000 + ".1.2.3", "1.2.3." + "0" * 5_000 + "7"):
+        zeros = re.sub(r"0{100,}", "0", text)
+        assert len(pii.base_spans(text)) == len(brute(zeros[:200]) if "9" * 99 not in text else [])
+    began = time.process_time()
+    found = pii.candidates("Maria Rossi and " * 100_000)
+    assert len(found) <= 100_000 and time.process_time() - began < 30
+
+
+def test_candidates_overlap_nothing():
+    rng = random.Random(8)
+    parts = ["Maria Rossi", " ", "123-45-6789", "+1 (234) 555-0000", "4111 1111 1111 1111", "(234) 555-0000", "10.0.0.1", "x@y.zz", "DE89370400440532013000", "born "]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        spans = pii.candidates(text)
+        base, more = [s for s in spans if s[3]], [s for s in spans if not s[3]]
+        for i, (_, s, e, _) in enumerate(more):
+            assert not any(s < e2 and s2 < e for _, s2, e2, _ in base + more[:i]), text
+
+
 def test_estimation_finds_the_reliable_labelers():
     rng = np.random.default_rng(1)
     truth = rng.random(5_000) < 0.4
