@@ -9,6 +9,7 @@ from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.fingerprints import fingerprint_pairs
 from corpuswarden.llm.license_scan import scan_licenses
 from corpuswarden.llm.ngram_join import ngram_join
+from corpuswarden.llm.packing import pack
 from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
 from corpuswarden.llm.secrets import find_secrets
@@ -140,3 +141,9 @@ def op9(t: Tables):
 def op10(t: Tables):
     path = fresh_path(t.spark, "token-files")
     return checksums(write_tokens(t.documents, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True))
+
+
+@query("op11_packing")
+def op11(t: Tables):
+    packed = pack(t.documents, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, by_word=True)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
