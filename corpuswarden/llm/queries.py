@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from corpuswarden.llm.conversations import audit_conversations
 from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.fingerprints import fingerprint_pairs
 from corpuswarden.llm.license_scan import scan_licenses
@@ -147,3 +148,8 @@ def op10(t: Tables):
 def op11(t: Tables):
     packed = pack(t.documents, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, by_word=True)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query("op13_conversations")
+def op13(t: Tables):
+    return audit_conversations(t.conversations)
