@@ -15,6 +15,7 @@ from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
 from corpuswarden.llm.secrets import find_secrets
 from corpuswarden.llm.sentence_pieces import decode, encode
+from corpuswarden.llm.spelling import spelling_variants
 from corpuswarden.llm.substrings import repeated_passages
 from corpuswarden.llm.token_files import checksums, write_tokens
 from corpuswarden.llm.toxicity import fit as fit_toxicity
@@ -150,6 +151,11 @@ def op11(t: Tables):
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+@query("op12_spelling")
+def op12(t: Tables):
+    return spelling_variants(t.documents)
+
+
 @query("op13_conversations")
 def op13(t: Tables):
     return audit_conversations(t.conversations)
