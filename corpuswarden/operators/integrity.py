@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuswarden.functions import paths
 from corpuswarden.functions.ordered import top_k
 from corpuswarden.functions.rows import each
+from corpuswarden.sources.scans import line_count, line_reference_scan, line_scan
 
 
 def broken_links(links: DataFrame, catalog: DataFrame, target: str, key: str) -> DataFrame:
@@ -43,6 +44,15 @@ def line_ref_range(refs: DataFrame, lengths: DataFrame, target: str) -> DataFram
     )
 
 
+def line_ref_audit(docs: DataFrame, files: DataFrame, path: str, text: str) -> DataFrame:
+    """References of documents to lines of files that are not there, from the texts of both.
+
+    Texts are split where they are read; references and line counts meet by path."""
+    refs = line_reference_scan(line_scan(docs, text, [path], "file"), path)
+    lengths = files.select(F.col(path).alias("target"), line_count(F.col(text), "file").alias("n_lines"))
+    return line_ref_range(refs, lengths, "target")
+
+
 def orphans(
     catalog: DataFrame, edges: DataFrame, key: str, generated: Column | None = None, exempt: Column | None = None
 ) -> DataFrame:

@@ -54,14 +54,14 @@ def _anchor_check(t: Tables):
 
 
 @query(
-    "line_ref_range",
+    "line_ref_bounds",
     """WITH n AS (SELECT l_orderkey AS k, count(*) AS n_lines FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
     SELECT l_orderkey AS target, l_linenumber AS start, CASE WHEN l_linestatus = 'O' THEN l_linenumber + 2 END AS "end",
       CASE WHEN n_lines IS NULL THEN 'not_found' ELSE 'out_of_range' END AS issue,
       CASE WHEN n_lines IS NULL THEN NULL WHEN l_linenumber > n_lines THEN l_linenumber ELSE l_linenumber + CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END END AS bad_line, n_lines
     FROM lineitem LEFT JOIN n ON l_orderkey = k WHERE n_lines IS NULL OR l_linenumber + CASE WHEN l_linestatus = 'O' THEN 2 ELSE 0 END > n_lines""",
 )
-def _line_ref_range(t: Tables):
+def _line_ref_bounds(t: Tables):
     refs = t.lineitem.select(
         F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("start"),
         F.when(F.col("l_linestatus") == "O", F.col("l_linenumber") + 2).alias("end"),
@@ -70,6 +70,35 @@ def _line_ref_range(t: Tables):
     return ops.line_ref_range(refs, lengths, "target")
 
 
+@query(
+    "line_ref_range",
+    r"""WITH n AS (SELECT 'lib/m' || doc_id % 7 || '/d' || doc_id || '.py' AS target, CASE WHEN text = '' THEN 0 ELSE len(p) - CASE WHEN p[len(p)] = '' THEN 1 ELSE 0 END END AS n_lines
+            FROM (SELECT doc_id, text, string_split_regex(text, '
+||
+') AS p FROM documents)),
+    r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line_no, l_linenumber AS k, l_partkey AS part, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+    x AS (SELECT *, CASE WHEN k % 4 = 1 THEN './../m' WHEN k % 4 = 2 THEN 'sub/.././../m' WHEN k % 4 = 3 THEN '../../../m' ELSE '../m' END || part % 7 || '/d' || part || '.py' AS raw,
+            'lib/m' || part % 7 || '/d' || part || '.py' AS target, CASE WHEN k % 2 = 0 THEN q + k END AS z FROM r),
+    f AS (SELECT *, '[part](' || raw || '#L' || q || CASE WHEN z IS NULL THEN '' ELSE '-L' || z END || ')' AS reference FROM x)
+    SELECT 'lib/notes/o' || l_orderkey || '.md' AS doc, CAST(line_no AS BIGINT) AS line_no, length('Item ' || k || ' of [x](https://a.b/c.py#L1): ') + 1 AS "offset", reference, target, q AS start, z AS "end",
+      CASE WHEN n_lines IS NULL THEN 'not_found' ELSE 'out_of_range' END AS issue, CASE WHEN n_lines IS NULL THEN NULL WHEN q > n_lines THEN q ELSE coalesce(z, q) END AS bad_line, CAST(n_lines AS BIGINT) AS n_lines
+    FROM f LEFT JOIN n USING (target) WHERE k % 4 <> 3 AND (n_lines IS NULL OR greatest(q, coalesce(z, q)) > n_lines)""",
+)
+def _line_ref_range(t: Tables):
+    """A note per order, a line per item that refers to lines of a document."""
+    k, part, q = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity").cast("long")
+    up = F.when(k % 4 == 1, "./../m").when(k % 4 == 2, "sub/.././../m").when(k % 4 == 3, "../../../m").otherwise("../m")
+    line = F.concat(
+        F.lit("Item "), k.cast("string"), F.lit(" of [x](https://a.b/c.py#L1): [part]("), up, (part % 7).cast("string"), F.lit("/d"), part.cast("string"),
+        F.lit(".py#L"), q.cast("string"), F.when(k % 2 == 0, F.concat(F.lit("-L"), (q + k).cast("string"))).otherwise(""), F.lit(") end"),
+    )
+    notes = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("l"))
+    notes = notes.select(F.concat(F.lit("lib/notes/o"), F.col("l_orderkey").cast("string"), F.lit(".md")).alias("doc"), F.array_join(F.col("l.line"), "\n").alias("text"))
+    key = F.col("doc_id")
+    files = t.documents.select(F.concat(F.lit("lib/m"), (key % 7).cast("string"), F.lit("/d"), key.cast("string"), F.lit(".py")).alias("doc"), "text")
+    return ops.line_ref_audit(notes, files, "doc", "text")
+
+
 @query(
     "orphans",
     """SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal > 0 AND c_custkey NOT IN

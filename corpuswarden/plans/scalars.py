@@ -144,14 +144,14 @@ def _definition_scan(t: Tables):
 
 
 @query(
-    "aliased_call_scan",
+    "aliased_call_join",
     r"""WITH w AS (SELECT conv_id, turn, role, string_split_regex(text, '[ \n]+') AS ws FROM conversations),
     a AS (SELECT DISTINCT conv_id, regexp_replace(lower(ws[1]), '[.,]', '', 'g') AS alias, 'f' || length(regexp_replace(ws[1], '[.,]', '', 'g')) AS fn FROM w WHERE role = 'user'),
     x AS (SELECT conv_id, turn, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w WHERE role <> 'user'),
     c AS (SELECT conv_id, turn, pos, regexp_replace(lower(word), '[.,]', '', 'g') AS alias, ends_with(word, ',') AS kw FROM x)
     SELECT conv_id, turn, pos, alias, fn AS function FROM c JOIN a USING (conv_id, alias) WHERE fn NOT IN ('f2', 'f3') OR kw""",
 )
-def _aliased_call_scan(t: Tables):
+def _aliased_call_join(t: Tables):
     words = t.conversations.select("conv_id", "turn", "role", F.split("text", "[ \n]+").alias("ws"))
     bare = lambda c: F.regexp_replace(c, "[.,]", "")
     first = F.get("ws", F.lit(0))
@@ -161,5 +161,42 @@ def _aliased_call_scan(t: Tables):
     calls = each_numbered(words.where("role <> 'user'"), ["conv_id", "turn"], F.col("ws"), "pos", "word").select(
         "conv_id", "turn", "pos", bare(F.lower("word")).alias("alias"), F.endswith("word", F.lit(",")).alias("has_keyword")
     )
-    hits = scans.aliased_call_scan(aliases, calls, "conv_id", "alias", keyword_needed=["f2", "f3"])
+    hits = scans.alias_hits(aliases, calls, "conv_id", "alias", keyword_needed=["f2", "f3"])
     return hits.select("conv_id", "turn", "pos", "alias", "function")
+
+
+def source_texts(t: Tables):
+    """One source text per conversation: a statement per turn, some over several lines."""
+    size, pad = F.char_length("text"), F.repeat(F.lit("    "), F.pmod(F.col("turn"), F.lit(3)).cast("int"))
+    turn = F.col("turn").cast("string")
+    system = F.when(size % 3 == 0, "import os, tempfile as tf").when(size % 3 == 1, "from tempfile import (mkdtemp as mk,\n    NamedTemporaryFile)").otherwise("import tempfile")
+    user = F.concat(pad, F.lit("def f"), turn, F.lit("(a, b=(1, 2)):"))
+    said = (
+        F.when(size % 6 == 0, "p = tf.mkdtemp()")
+        .when(size % 6 == 1, "q = NamedTemporaryFile(delete=False)")
+        .when(size % 6 == 2, "q = NamedTemporaryFile(\n  mode='(',\ndelete=True)")
+        .when(size % 6 == 3, "r = mk()  # tf.mkdtemp()")
+        .when(size % 6 == 4, "s = 'tf.mkdtemp()'; t = tempfile.mkstemp()")
+        .otherwise("q = tempfile.NamedTemporaryFile(\n  mode='w',\n  delete = flag)")
+    )
+    line = F.when(F.col("turn") == 0, system).when(F.col("role") == "user", user).otherwise(F.concat(pad, F.lit("    "), said))
+    texts = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    return texts.select("conv_id", F.array_join(F.col("l.line"), "\n").alias("text"))
+
+
+@query(
+    "aliased_call_scan",
+    """WITH s AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN turn = 0 THEN 0 WHEN role = 'user' THEN 4 * (turn % 3) ELSE 4 * (turn % 3) + 4 END AS ind,
+        CASE WHEN turn = 0 THEN CASE WHEN length(text) % 3 = 1 THEN 2 ELSE 1 END WHEN role <> 'user' AND length(text) % 6 IN (2, 5) THEN 3 ELSE 1 END AS size FROM conversations),
+    p AS (SELECT *, CAST(1 + coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no FROM s),
+    i AS (SELECT conv_id, bool_or(n % 3 = 0) AS tf, bool_or(n % 3 = 1) AS fn, bool_or(n % 3 = 2) AS tm FROM p WHERE turn = 0 GROUP BY 1),
+    c AS (SELECT conv_id, turn, line_no, ind, CASE n % 6 WHEN 0 THEN 'tf.mkdtemp' WHEN 1 THEN 'NamedTemporaryFile' WHEN 3 THEN 'mk' WHEN 4 THEN 'tempfile.mkstemp' WHEN 5 THEN 'tempfile.NamedTemporaryFile' END AS label,
+            CASE n % 6 WHEN 0 THEN 'mkdtemp' WHEN 1 THEN 'NamedTemporaryFile' WHEN 3 THEN 'mkdtemp' WHEN 4 THEN 'mkstemp' WHEN 5 THEN 'NamedTemporaryFile' END AS function
+          FROM p JOIN i USING (conv_id) WHERE turn > 0 AND role <> 'user' AND CASE n % 6 WHEN 0 THEN tf WHEN 1 THEN fn WHEN 2 THEN false WHEN 3 THEN fn ELSE tm END),
+    d AS (SELECT c.conv_id, c.line_no, max(u.turn) AS t FROM c JOIN p u ON u.conv_id = c.conv_id AND u.turn > 0 AND u.role = 'user' AND u.turn < c.turn AND u.ind < c.ind
+          AND NOT EXISTS (SELECT 1 FROM p x WHERE x.conv_id = u.conv_id AND x.turn > u.turn AND x.turn < c.turn AND x.ind <= u.ind) GROUP BY 1, 2)
+    SELECT conv_id, line_no, label, function, 'f' || t AS scope FROM c LEFT JOIN d USING (conv_id, line_no)""",
+)
+def _aliased_call_scan(t: Tables):
+    lines = scans.line_scan(source_texts(t), "text", ["conv_id"], "file")
+    return scans.aliased_call_scan(lines, ["conv_id"], "tempfile", ["mkstemp", "mkdtemp"], {"NamedTemporaryFile": ("delete", ["True", "1"])})

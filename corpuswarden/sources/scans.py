@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuswarden.functions import paths
-from corpuswarden.functions.ordered import running_last
+from corpuswarden.functions.ordered import running_last, running_sum
 from corpuswarden.functions.rows import each, each_numbered, each_struct
 from corpuswarden.functions.text import NOT_BLANK, requirement_name, split_lines
 
@@ -309,7 +309,112 @@ def definition_scan(lines: DataFrame, keys: list[str], pattern: str) -> DataFram
     )
 
 
-def aliased_call_scan(
+# Fixed patterns: a reference to lines of a source file in a document, and what a
+# source line may hold. Strings and comments are blanked before calls are looked for.
+LINE_REFERENCE = r"\[([^\]]*)\]\(([^)#?]+\.py)#L(\d+)(?:-L(\d+))?\)"
+QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+IMPORT = r"^\s*import\s+([^#;]+)"
+IMPORT_FROM = r"^\s*from\s+([\w.]+)\s+import\s+\(?([^#;)]+)"
+IMPORTED = r"^([\w.]+)(?:\s+as\s+(\w+))?$"
+CALL = r"(?<![\w.])(?:(\w+)\s*\.\s*)?(\w+)\s*\("
+KEYWORD = r"(?<![\w.])(\w+)\s*=\s*([^=,()\s][^,()]*)"
+DEFINITION = r"^\s*(?:async\s+)?def\s+(\w+)"
+
+
+def _number(digits: Column) -> Column:
+    """A line number; of more than 18 digits, 10**18, which no text reaches."""
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(F.char_length(bare) > 18, F.lit(10**18)).otherwise(F.substring(bare, 1, 18).cast("long"))
+
+
+def line_reference_scan(lines: DataFrame, doc: str) -> DataFrame:
+    """References to lines of source files out of document lines: ``doc``, ``line_no``, ``offset``
+    (characters, from 1), ``reference``, ``target`` (folded below the document's own
+    folder), ``start``, ``end``.
+
+    Addresses of other hosts, absolute paths and paths that climb above the root
+    are no references into the corpus."""
+    found = F.regexp_extract_all("line", F.lit(LINE_REFERENCE), F.lit(0))
+    start = F.struct(F.array().cast("array<struct<reference:string,offset:int>>").alias("out"), F.lit(1).alias("at"))
+
+    def step(acc: Column, text: Column) -> Column:
+        # the first place at or after the end of the one before; an earlier one would be a match itself
+        at = F.position(text, F.col("line"), acc["at"])
+        hit = F.array(F.struct(text.alias("reference"), at.alias("offset")))
+        return F.struct(F.concat(acc["out"], hit).alias("out"), (at + F.char_length(text)).alias("at"))
+
+    placed = each_struct(lines.where(F.contains("line", F.lit(".py#L"))), [doc, "line_no", "line"], F.aggregate(found, start, step, lambda acc: acc["out"]), "reference")
+    part = lambda i: F.regexp_extract("reference", LINE_REFERENCE, i)
+    raw = part(2)
+    own = F.when(F.contains(F.col(doc), F.lit("/")), F.concat(paths.dir_name(F.col(doc)), F.lit("/"))).otherwise("")
+    rows = placed.where(~raw.startswith("http://") & ~raw.startswith("https://") & ~raw.startswith("/")).select(
+        doc,
+        "line_no",
+        F.col("offset").cast("long").alias("offset"),
+        "reference",
+        paths.fold_path(F.concat(own, raw)).alias("target"),
+        _number(part(3)).alias("start"),
+        F.when(part(4) != "", _number(part(4))).alias("end"),
+    )
+    return rows.where(F.col("target").isNotNull())
+
+
+def logical_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Source lines as ``code`` (strings and comments blanked) with facts of the statement that they
+    belong to, which goes on while a bracket is open: the number ``first`` of its first
+    line, its ``indent``, the function it ``defines`` and the module whose names it ``takes``.
+
+    Lines without code are left out."""
+    code = F.regexp_replace(F.regexp_replace("line", QUOTED, "''"), "#.*$", "")
+    rows = lines.select(*keys, "line_no", code.alias("code")).where(F.trim("code") != "")
+    opened = F.char_length(F.regexp_replace("code", r"[^(\[{]", "")) - F.char_length(F.regexp_replace("code", r"[^)\]}]", ""))
+    deep = running_sum(rows.withColumn("_d", opened), keys, "line_no", F.col("_d"), "_after")
+    word = lambda pattern: F.nullif(F.regexp_extract("code", pattern, 1), F.lit(""))
+    facts = F.struct(F.col("line_no").alias("first"), _indent().alias("indent"), word(DEFINITION).alias("defines"), word(IMPORT_FROM).alias("takes"))
+    told = running_last(deep, keys, "line_no", F.when(F.col("_after") - F.col("_d") <= 0, facts), "_b")
+    return told.select(*keys, "line_no", "code", "_b.*").where("first IS NOT NULL")
+
+
+def _indent() -> Column:
+    return F.char_length(F.regexp_extract(F.regexp_replace("code", "\t", "        "), "^( *)", 1))
+
+
+def import_scan(code: DataFrame, keys: list[str], module: str) -> DataFrame:
+    """Names that a file gives a module or its functions: ``alias`` and ``function``, null for the module."""
+    named = lambda i: F.regexp_extract(F.trim("_e"), IMPORTED, i)
+    alias = F.when(named(2) != "", named(2)).otherwise(named(1))
+    parts = each(code, [*keys], F.split("code", ";"), "code")
+    plain = each(parts.where(F.col("code").rlike(IMPORT)), keys, F.split(F.regexp_extract("code", IMPORT, 1), ","), "_e")
+    whole = plain.where(named(1) == module).select(*keys, alias.alias("alias"), F.lit(None).cast("string").alias("function"))
+    # on its first line the names follow the word import, on further ones they stand alone
+    names = F.when(F.col("line_no") == F.col("first"), F.regexp_extract("code", IMPORT_FROM, 2)).otherwise(F.regexp_replace("code", "[()]|;.*$", ""))
+    taken = each(code.where(F.col("takes") == module), keys, F.split(names, ","), "_e")
+    return whole.unionByName(taken.where(named(1) != "").select(*keys, alias.alias("alias"), named(1).alias("function"))).distinct()
+
+
+def call_scan(code: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls: ``line_no``, ``first``, ``indent`` (that of a body where the statement defines a function),
+    ``label`` as written, ``head`` (what stands before the point, or the name) and
+    ``member`` (the name after the point, else null)."""
+    body = F.regexp_replace("code", DEFINITION + r"\s*", "")
+    inside = (F.col("indent") + F.col("defines").isNotNull().cast("int")).alias("indent")
+    calls = each(code, [*keys, "line_no", "first", inside], F.regexp_extract_all(body, F.lit(CALL), F.lit(0)), "_e")
+    head, name = (F.regexp_extract("_e", CALL, i) for i in (1, 2))
+    return calls.select(
+        *keys, "line_no", "first", "indent",
+        F.when(head != "", F.concat(head, F.lit("."), name)).otherwise(name).alias("label"),
+        F.when(head != "", head).otherwise(name).alias("head"),
+        F.when(head != "", name).alias("member"),
+    )
+
+
+def keyword_scan(code: DataFrame, keys: list[str]) -> DataFrame:
+    """Keyword arguments of each statement: ``first``, ``keyword``, ``value``."""
+    found = each(code, [*keys, "first"], F.regexp_extract_all("code", F.lit(KEYWORD), F.lit(0)), "_e")
+    return found.select(*keys, "first", F.regexp_extract("_e", KEYWORD, 1).alias("keyword"), F.trim(F.regexp_extract("_e", KEYWORD, 2)).alias("value"))
+
+
+def alias_hits(
     aliases: DataFrame, calls: DataFrame, file: str, alias: str, keyword_needed: list[str] | None = None
 ) -> DataFrame:
     """Calls that go through an import alias of a flagged function of the same file.
@@ -322,3 +427,53 @@ def aliased_call_scan(
     if keyword_needed:
         hits = hits.where(~F.col("function").isin(*keyword_needed) | F.col("has_keyword"))
     return hits
+
+
+def aliased_call_scan(
+    lines: DataFrame, keys: list[str], module: str, always: list[str], unless: dict[str, tuple[str, list[str]]] | None = None
+) -> DataFrame:
+    """Calls of a module's functions in source lines, by whatever name the file imports them:
+    ``line_no``, ``label``, ``function``, ``scope`` (the innermost enclosing definition, null at top).
+
+    Those of ``always`` count wherever they are called; of ``unless`` (function to
+    keyword and values) only if the statement gives that keyword another value.
+    Imports, calls, keywords and scopes are rows of their own that meet in
+    equi-joins; a statement may go over several lines."""
+    unless = unless or {}
+    code = logical_lines(lines, keys)
+    known = import_scan(code, keys, module).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("alias").alias("_alias"), F.col("function").alias("_function"))
+    calls = call_scan(code, keys)
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    # a member needs the module's own name, a plain name that of a function
+    hits = calls.join(known, [*same, F.col("head") == F.col("_alias"), F.col("member").isNull() == F.col("_function").isNotNull()])
+    hits = hits.select(*calls.columns, F.coalesce("_function", "member").alias("function")).where(F.col("function").isin(*always, *unless))
+    if unless:
+        wanted = F.lit(False)
+        for function, (keyword, values) in unless.items():
+            wanted = wanted | ((F.col("function") == function) & (F.col("_keyword") == keyword) & ~F.col("_value").isin(*values))
+        given = keyword_scan(code, keys).where(F.col("keyword").isin(*{k for k, _ in unless.values()})).distinct()
+        given = given.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("first").alias("_first"), F.col("keyword").alias("_keyword"), F.col("value").alias("_value"))
+        opted = hits.where(F.col("function").isin(*unless)).join(given, [*same, F.col("first") == F.col("_first"), wanted], "left_semi")
+        hits = hits.where(F.col("function").isin(*always)).unionByName(opted)
+    return innermost_scope(code, hits, keys).select(*keys, "line_no", "label", "function", "scope")
+
+
+def innermost_scope(code: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """``hits`` with the name of the innermost definition around them as ``scope``, null at top.
+
+    A definition spans the statements after it up to the next one that is not
+    indented more: nested intervals. For each indent that a file defines something
+    at, the last statement not indented more decides: if it is a definition of just
+    that indent, it spans the hit. The deepest one that does is the scope."""
+    starts = code.where("line_no = first").select(*keys, "first", "indent", F.col("defines").alias("_name"))
+    levels = starts.where("_name IS NOT NULL").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("indent").alias("_level")).distinct()
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    spans = F.struct(F.when(F.col("indent") == F.col("_level"), F.col("_name")).alias("name"))
+    bound = starts.join(levels, [*same, F.col("indent") <= F.col("_level")]).select(*keys, "_level", (F.col("first") * 2).alias("_seq"), spans.alias("_span"))
+    asked = hits.select(*keys, "first", "indent").distinct()
+    asked = asked.join(levels, [*same, F.col("indent") > F.col("_level")]).select(*keys, "_level", (F.col("first") * 2 + 1).alias("_seq"))
+    both = bound.unionByName(asked, allowMissingColumns=True)
+    # a statement and a hit in it have different numbers, so that these are unique
+    told = running_last(both, [*keys, "_level"], "_seq", F.col("_span"), "_in").where("_seq % 2 = 1 AND _in.name IS NOT NULL")
+    best = told.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.floor(F.col("_seq") / 2).alias("_first")).agg(F.max_by("_in.name", "_level").alias("scope"))
+    return hits.join(best, [*same, F.col("first") == F.col("_first")], "left").drop("_first", *[f"_{k}" for k in keys])

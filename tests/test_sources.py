@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from corpuswarden.session import fresh_path
+from corpuswarden.operators import integrity
 from corpuswarden.sources import scans, sinks
 
 
@@ -75,7 +76,7 @@ def test_receipts_fold_and_scan_back(frame, rows):
 def test_aliased_calls(frame, rows):
     aliases = frame("f string, alias string, function string", ("a", "t", "mkdtemp"), ("a", "t", "mkdtemp"), ("b", "n", "named"))
     calls = frame("f string, alias string, line int, has_keyword boolean", ("a", "t", 1, False), ("b", "t", 2, False), ("b", "n", 3, False), ("b", "n", 4, True))
-    out = scans.aliased_call_scan(aliases, calls, "f", "alias", keyword_needed=["named"])
+    out = scans.alias_hits(aliases, calls, "f", "alias", keyword_needed=["named"])
     assert rows(out, "f", "line") == [("a", 1), ("b", 4)]
 
 
@@ -119,3 +120,58 @@ def test_report_and_run_log(spark, frame, rows):
     for run in ("r1", "r2"):
         sinks.run_log_append(found, log, run, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     assert rows(sinks.read_run_log(spark, log), "run_id", "check") == [("r1", "c"), ("r2", "c")]
+
+
+SOURCE = """import os, tempfile as tf; import json
+from tempfile import (
+    mkdtemp as mk,  # one
+    NamedTemporaryFile,
+)
+x = tf.mkdtemp()
+class A:
+    def one(self, a=mk()):
+        "tf.mkdtemp()"
+        def two():
+            return mk(
+                suffix=")",
+            )
+        # mk()
+        y = NamedTemporaryFile(
+            mode="w",
+            delete=False)
+        z = NamedTemporaryFile(delete=True) + NamedTemporaryFile()
+    async def three(self): return tf.mkstemp()
+    w = other.tf.mkdtemp(), mkdtemp(), tf.gettempdir()
+"""
+
+
+def test_calls_are_resolved_by_import_and_scope(spark, frame, rows):
+    texts = frame("f string, text string", ("a.py", SOURCE), ("b.py", "def f():\n\tx = mk()\n\ty = tf.mkdtemp()\n"), ("c.py", "import tempfile\ntempfile.mkdtemp()"), ("d.py", ""), (None, None))
+    lines = scans.line_scan(texts, "text", ["f"], "file")
+    out = scans.aliased_call_scan(lines, ["f"], "tempfile", ["mkdtemp", "mkstemp"], {"NamedTemporaryFile": ("delete", ["True", "1"])})
+    assert sorted(rows(out, "f", "line_no", "label", "function", "scope"), key=lambda r: r[:2]) == [
+        ("a.py", 6, "tf.mkdtemp", "mkdtemp", None),
+        ("a.py", 8, "mk", "mkdtemp", "one"),
+        ("a.py", 11, "mk", "mkdtemp", "two"),
+        ("a.py", 15, "NamedTemporaryFile", "NamedTemporaryFile", "one"),
+        ("a.py", 19, "tf.mkstemp", "mkstemp", "three"),
+        ("c.py", 2, "tempfile.mkdtemp", "mkdtemp", None),
+    ]
+
+
+def test_line_references_out_of_text(spark, frame, rows):
+    text = (
+        "[a](b.py#L1) and [é b](../x/./c.py#L2-L30), [a](b.py#L1)\n[u](https://h/b.py#L9) [abs](/b.py#L9) [up](../../b.py#L9)\n"
+        "[q](b.py?x#L1) [no](b.md#L1) [big](b.py#L99999999999999999999) [zero](b.py#L0007-L0003)"
+    )
+    docs = frame("path string, text string", ("d/n.md", text), ("n.md", "[r](d/b.py#L4)"), ("e.md", None), ("f.md", ""))
+    refs = scans.line_reference_scan(scans.line_scan(docs, "text", ["path"], "file"), "path")
+    assert sorted(rows(refs, "path", "line_no", "offset", "target", "start", "end")) == sorted([
+        ("d/n.md", 1, 1, "d/b.py", 1, None), ("d/n.md", 1, 18, "x/c.py", 2, 30), ("d/n.md", 1, 45, "d/b.py", 1, None),
+        ("d/n.md", 3, 30, "d/b.py", 10**18, None), ("d/n.md", 3, 64, "d/b.py", 7, 3), ("n.md", 1, 1, "d/b.py", 4, None),
+    ])
+    files = frame("path string, text string", ("d/b.py", "1\n2\n3\n4\n"), ("z.py", None))
+    out = integrity.line_ref_audit(docs, files, "path", "text")
+    assert sorted(rows(out, "path", "target", "issue", "bad_line", "n_lines"), key=repr) == sorted([
+        ("d/n.md", "x/c.py", "not_found", None, None), ("d/n.md", "d/b.py", "out_of_range", 10**18, 4), ("d/n.md", "d/b.py", "out_of_range", 7, 4),
+    ], key=repr)
