@@ -2,39 +2,74 @@
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswarden.functions.text import days_between
 from corpuswarden.functions.versions import is_lower, version_parts
-from corpuswarden.session import Stages, materialize
+from corpuswarden.session import materialize
+
+
+#: Links followed in one round of an iterative operator.
+HOPS = 3
+
+
+def _chains(links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``node``, ``top``, ``dist`` of every node with one upstream, not chosen itself: the first node up
+    its chain that is chosen or has several upstreams or none, by pointer doubling.
+
+    Each round reads the one before only and doubles the links that a pointer spans.
+    Nodes below a ring of such nodes, which nothing enters, are left out."""
+    one = links.groupBy(F.col("downstream").alias("node")).agg(F.count("*").alias("n"), F.min("upstream").alias("top")).where("n = 1")
+    start = one.join(chosen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
+    pointers, n = materialize(start.select("node", "top", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("open")), "chains")
+    span = 1
+    while span <= n:
+        above = pointers.select(F.col("node").alias("_node"), F.col("top").alias("_top"), F.col("dist").alias("_dist"))
+        joined = pointers.join(above, F.col("top") == F.col("_node"), "left")
+        moved = joined.select(
+            "node", F.coalesce("_top", "top").alias("top"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_top").isNotNull().alias("open")
+        )
+        pointers, n_open = materialize(moved, "chains", F.col("open"))
+        span *= 2
+        if not n_open:
+            break
+    return pointers.where(~F.col("open")).drop("open") if n else pointers.drop("open")
 
 
 def dependency_cascade(edges: DataFrame, selection: DataFrame, name: str) -> DataFrame:
-    """Selection plus all its downstream dependents, each once, marked.
+    """Selection plus all its downstream dependents, each once, marked, with its least distance.
 
-    ``edges(upstream, downstream)``. Goes level by level; each level joins only
-    the rows that are new and is written to the shared folder, so cycles and
-    diamonds end and the plan does not grow. As many rounds as the graph is deep."""
+    ``edges(upstream, downstream)``. Chains of nodes with a single upstream are
+    contracted first, in as many rounds as the logarithm of their length. What
+    is left, nodes where several ways meet, is relaxed from the selection on,
+    ``HOPS`` links a round; a round reads the last levels, one row per node, and
+    the links of the nodes that got nearer. So loops and diamonds end."""
     links, _ = materialize(
         edges.select("upstream", "downstream").where(F.col("upstream") != F.col("downstream")).distinct(), "edges"
     )
-    reached = Stages(edges.sparkSession, "levels")
-    frontier, _ = reached.add(selection.select(name).distinct().withColumn("level", F.lit(0)))
-    for level in count(1):
-        step = (
-            links.join(frontier.select(F.col(name).alias("upstream")), "upstream", "left_semi")
-            .select(F.col("downstream").alias(name))
-            .distinct()
-            .join(reached.all().select(name), name, "left_anti")
-        )
-        frontier, n_new = reached.add(step.withColumn("level", F.lit(level)))
-        if not n_new:
-            break
-    return reached.all().select(
-        name, F.when(F.col("level") == 0, "selected").otherwise("added").alias("mark"), F.col("level").cast("long").alias("level")
+    chosen = selection.select(F.col(name).alias("node")).distinct()
+    chains = _chains(links, chosen)
+    fixed = chosen.unionByName(chains.select("node")).select(F.col("node").alias("_n"))
+    over = chains.select(F.col("node").alias("_node"), "top", "dist")
+    meets = links.join(fixed, F.col("downstream") == F.col("_n"), "left_anti").join(over, F.col("upstream") == F.col("_node"), "left")
+    steps = meets.groupBy(F.coalesce("top", "upstream").alias("up"), F.col("downstream").alias("down")).agg(F.min(F.coalesce("dist", F.lit(0)) + 1).alias("step"))
+    steps, n = materialize(steps, "meets")
+    levels, _ = materialize(chosen.select("node", F.lit(0).cast("long").alias("level"), F.lit(True).alias("nearer")), "levels")
+    while n:
+        front, found = levels.where("nearer").select("node", "level"), []
+        for _ in range(HOPS):
+            front = steps.join(front, F.col("up") == F.col("node")).groupBy(F.col("down").alias("node")).agg(F.min(F.col("level") + F.col("step")).alias("level"))
+            found.append(front)
+        both = reduce(DataFrame.unionByName, [f.withColumn("old", F.lit(None).cast("long")) for f in found], levels.select("node", "level", F.col("level").alias("old")))
+        best = both.groupBy("node").agg(F.min("level").alias("level"), F.min("old").alias("old"))
+        marked = best.select("node", "level", (F.col("old").isNull() | (F.col("level") < F.col("old"))).alias("nearer"))
+        levels, n = materialize(marked, "levels", F.col("nearer"))
+    below = over.join(levels, F.col("top") == F.col("node")).select(F.col("_node").alias("node"), (F.col("level") + F.col("dist")).alias("level"))
+    return levels.select("node", "level").unionByName(below).select(
+        F.col("node").alias(name), F.when(F.col("level") == 0, "selected").otherwise("added").alias("mark"), "level"
     )
 
 

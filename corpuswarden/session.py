@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,13 +77,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """Write ``df`` below the shared folder and read it back, with its row count.
+def materialize(df: DataFrame, label: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """Write ``df`` below the shared folder and read it back, with its row count, or the
+    number of rows that hold ``counted``, told by the same job.
 
     Cuts the lineage like a checkpoint, but computes the plan only once. The
     files survive the loss of any executor."""
     stages = Stages(df.sparkSession, label)
-    return stages.add(df)
+    return stages.add(df, counted)
 
 
 class Stages:
@@ -93,10 +94,10 @@ class Stages:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.paths, self.schema = spark, fresh_path(spark, label), [], None
 
-    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """Write one round; returns it as read back, and its row count."""
+    def add(self, df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
+        """Write one round; returns it as read back, and its row count or that of ``counted``."""
         path, seen = f"{self.root}/{len(self.paths)}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        df.observe(seen, F.count(F.lit(1) if counted is None else F.when(counted, 1)).alias("n")).write.parquet(path)
         self.paths.append(path)
         self.schema = df.schema
         return self.spark.read.schema(self.schema).parquet(path), seen.get["n"]

@@ -130,6 +130,26 @@ def test_loops_and_diamonds_end_without_repeats(frame, rows):
     assert [r for r in got if r[0] == "D"] == [("D", "t", "_Top", 2)]
 
 
+def test_inheritance_equals_a_depth_first_walk(frame, rows):
+    rng = random.Random(6)
+    names = [f"c{k}" for k in range(14)]
+    bases = [(o, b, i, rng.random() < 0.9) for o in names for i, b in enumerate(rng.sample(names, rng.choice([0, 1, 1, 2, 3])))]
+    members = [(o, m, i) for o in names for i, m in enumerate(rng.sample("pqrstu", rng.choice([0, 1, 2])))]
+
+    def walk(at, path, seen, found):
+        seen.add(at)
+        for o, m, _ in members:
+            if o == at:
+                found.setdefault(m, (at, len(path)))
+        for o, b, i, private in sorted(bases, key=lambda x: x[2]):
+            if o == at and private and b not in seen:
+                walk(b, [*path, i], seen, found)
+        return found
+
+    expected = sorted((o, m, *w) for o in names for m, w in walk(o, [], set(), {}).items())
+    assert sorted(rows(inheritance(frame, bases, members), "owner", "member", "from_class", "depth")) == expected
+
+
 def test_orders_are_what_they_say(frame, rows):
     df = frame("n string, s int", ("b", 1), ("A", 2), ("a", 3), ("C", 4))
     got = sequence.canonical_order(df, "n", ["C", "a"], ["s"])

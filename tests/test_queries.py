@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from corpuswarden import plans
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -37,10 +38,10 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - EAGER))
 def test_plan_has_no_python_and_no_cross_join(spark, name):
-    plan = physical(QUERIES[name](spark, FOLDER))
-    for node in ("PythonUDF", "EvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEval", "MapInPandas"):
+    plan = physical(plans.QUERIES[name](spark, FOLDER))
+    for node in ("PythonUDF", "EvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEval", "MapInPandas", "MapInArrow", "FlatMapGroups"):
         assert node not in plan, plan
 
 

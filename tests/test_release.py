@@ -1,5 +1,7 @@
 """Release decisions, with their boundaries."""
 
+import random
+from collections import deque
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -20,6 +22,31 @@ def test_cascade_through_chains_diamonds_and_loops(frame, rows):
     assert rows(ops.dependency_cascade(edges, frame("n string", ("y",)), "n")) == [("y", "selected", 0)]
 
 
+def test_cascade_over_any_graph_equals_a_plain_search(frame, rows):
+    rng = random.Random(4)
+    for n, m, ring in ((30, 25, 0), (40, 60, 5), (12, 40, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(100 + k, 100 + (k + 1) % ring) for k in range(ring)]
+        chosen = rng.sample(range(n), 3)
+        level, todo = dict.fromkeys(chosen, 0), deque(chosen)
+        while todo:
+            at = todo.popleft()
+            for u, d in edges:
+                if u == at and d not in level:
+                    level[d] = level[at] + 1
+                    todo.append(d)
+        out = ops.dependency_cascade(frame("upstream int, downstream int", *edges), frame("n int", *[(c,) for c in chosen]), "n")
+        assert {r[0]: r[2] for r in rows(out)} == level
+
+
+def test_long_chain_takes_few_rounds(frame, rows, monkeypatch):
+    rounds = []
+    plain = ops.materialize
+    monkeypatch.setattr(ops, "materialize", lambda df, label, *counted: rounds.append(label) or plain(df, label, *counted))
+    edges = [(k, k + 1) for k in range(1_200)] + [(5_000, 700)]
+    out = ops.dependency_cascade(frame("upstream int, downstream int", *edges), frame("n int", (0,)), "n")
+    assert {r[0]: r[2] for r in rows(out)} == {k: k for k in range(1_201)} and len(rounds) <= 20
+
+
 def test_receipt_age_limit_is_inclusive(frame, rows):
     required = frame("k string, c string", *[(f"p@{i}", "tests") for i in range(4)], ("p@0", "review"))
     ts = [NOW - timedelta(days=7), NOW - timedelta(days=7, microseconds=1), NOW]
