@@ -258,7 +258,7 @@ def element_property_violations(
 HANDLER_PATTERNS = {
     "widget": r"^[a-z]+\d{3}(_init)?$",
     "audit": r"^(tb|b|chk|cmb|list|s|d|i|w)\d+$",
-    "domain": r"^[a-z]+\d+$",
+    "domain": r"^(tb|b|chk|cmb|s|list|txt)\d",
 }
 
 

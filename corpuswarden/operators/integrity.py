@@ -152,12 +152,30 @@ def undeclared_files(
         F.col(package).alias("_pkg"), F.col("subtree").alias("_sub"), glob_like(F.col("glob")).alias("_like")
     ).distinct()
     candidates = files.where(~loaded).join(rules.select(F.col("_pkg").alias(package)).distinct(), package, "left_semi")
-    hit = (
-        (F.col(package) == F.col("_pkg"))
-        & ((F.col("_sub") == "") | F.startswith(F.col(rel_path), F.concat(F.col("_sub"), F.lit("/"))))
-        & F.like(name, F.col("_like"))
-    )
-    return candidates.join(rules, hit, "left_anti")
+    # every folder a file lies in, the package itself as the empty one: rules meet by package and folder
+    parts = F.split(rel_path, "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    placed = each(candidates.select(package, rel_path).distinct(), [package, rel_path], folders, "_folder")
+    met = (F.col(package) == F.col("_pkg")) & (F.col("_folder") == F.col("_sub")) & F.like(paths.base_name(F.col(rel_path)), F.col("_like"))
+    shipped = placed.join(rules, met, "left_semi").select(package, rel_path).distinct()
+    return candidates.join(shipped, [package, rel_path], "left_anti")
+
+
+def stray_files(
+    files: DataFrame,
+    root_files: DataFrame,
+    declared: DataFrame,
+    package: str,
+    rel_path: str,
+    loaded_suffixes: tuple[str, ...],
+    loaded_names: tuple[str, ...] = (),
+    sentinels: tuple[str, ...] = (),
+) -> DataFrame:
+    """Files of packages that nothing loads or ships, and unknown ones without extension at a
+    repo's root, with the ``reason``."""
+    inside = undeclared_files(files, declared, package, rel_path, loaded_suffixes, loaded_names)
+    outside = root_strays(root_files, rel_path, sentinels)
+    return inside.withColumn("reason", F.lit("undeclared")).unionByName(outside.withColumn("reason", F.lit("root")))
 
 
 def glob_like(glob: Column) -> Column:

@@ -100,16 +100,19 @@ def name_coverage(a: DataFrame, b: DataFrame, module: str, name: str) -> DataFra
     """Per module, and in total over unique names: names of A and B, shared, percent of A.
 
     The total counts a name once, however many modules have it, so it is not the
-    sum of the rows. ``absent`` marks modules B has nothing of."""
+    sum of the rows; ``is_total`` tells it from a module of that name. ``absent`` marks
+    modules B has nothing of."""
     def side(df: DataFrame, label: str) -> DataFrame:
-        return df.select(F.explode(F.array(F.col(module).cast("string"), F.lit(TOTAL))).alias(module), F.col(name), F.lit(label).alias("_s"))
+        own = F.struct(F.col(module).cast("string").alias(module), F.lit(False).alias("is_total"))
+        total = F.struct(F.lit(TOTAL).alias(module), F.lit(True).alias("is_total"))
+        return df.select(F.inline(F.array(own, total)), F.col(name).alias("_n"), F.lit(label).alias("_s"))
 
     flags = (
         side(a, "a").unionByName(side(b, "b"))
-        .groupBy(module, name)
+        .groupBy(module, "is_total", "_n")
         .agg(F.bool_or(F.col("_s") == "a").alias("_a"), F.bool_or(F.col("_s") == "b").alias("_b"))
     )
-    counted = flags.groupBy(module).agg(
+    counted = flags.groupBy(module, "is_total").agg(
         F.count_if("_a").alias("n_a"), F.count_if("_b").alias("n_b"), F.count_if(F.col("_a") & F.col("_b")).alias("n_shared")
     )
     return counted.withColumn("pct", percent(F.col("n_shared"), F.col("n_a"))).withColumn(

@@ -86,14 +86,14 @@ def _cross_group_collisions(t: Tables):
 
 @query(
     "name_coverage",
-    """WITH s AS (SELECT l_returnflag AS m, l_partkey, s_nationkey < 12 AS a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount > 0.06 AND NOT (l_returnflag = 'N' AND s_nationkey >= 12)),
-    x AS (SELECT m, l_partkey, a FROM s UNION ALL SELECT 'TOTAL', l_partkey, a FROM s), f AS (SELECT m, l_partkey, bool_or(a) AS a, bool_or(NOT a) AS b FROM x GROUP BY 1, 2),
-    c AS (SELECT m AS l_returnflag, count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE b) AS n_b, count(*) FILTER (WHERE a AND b) AS n_shared FROM f GROUP BY 1)
+    """WITH s AS (SELECT l_returnflag AS m, l_partkey, s_nationkey < 12 AS a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE NOT (l_returnflag = 'N' AND s_nationkey >= 12)),
+    x AS (SELECT m, false AS is_total, l_partkey, a FROM s UNION ALL SELECT 'TOTAL', true, l_partkey, a FROM s), f AS (SELECT m, is_total, l_partkey, bool_or(a) AS a, bool_or(NOT a) AS b FROM x GROUP BY 1, 2, 3),
+    c AS (SELECT m AS l_returnflag, is_total, count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE b) AS n_b, count(*) FILTER (WHERE a AND b) AS n_shared FROM f GROUP BY 1, 2)
     SELECT *, CAST(round_even(100.0::DOUBLE * n_shared / nullif(n_a, 0), 0) AS BIGINT) AS pct, n_a > 0 AND n_b = 0 AS absent FROM c""",
 )
 def _name_coverage(t: Tables):
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    sold = t.lineitem.where("l_discount > 0.06").select("l_returnflag", "l_partkey", "l_suppkey").join(s, "l_suppkey")
+    sold = t.lineitem.select("l_returnflag", "l_partkey", "l_suppkey").join(s, "l_suppkey")
     return measure.name_coverage(
         sold.where("s_nationkey < 12"), sold.where("s_nationkey >= 12 AND l_returnflag <> 'N'"), "l_returnflag", "l_partkey"
     )

@@ -193,16 +193,16 @@ def _element_property_violations(t: Tables):
 
 @query(
     "name_class",
-    r"""WITH n AS (SELECT p_partkey, lower(replace(p_type, 'STANDARD', 'tb')) || CASE WHEN p_size < 10 THEN '' ELSE lpad(CAST(p_size AS VARCHAR), CASE WHEN p_size < 30 THEN 3 ELSE 2 END, '0') END
+    r"""WITH n AS (SELECT p_partkey, lower(replace(replace(p_type, 'STANDARD', 'tb'), 'PROMO', 'txt')) || CASE WHEN p_size < 10 THEN '' ELSE lpad(CAST(p_size AS VARCHAR), CASE WHEN p_size < 30 THEN 3 ELSE 2 END, '0') END
              || CASE WHEN p_brand = 'Brand#7' THEN '_init' ELSE '' END AS name FROM part)
     SELECT p_partkey, name, regexp_replace(name, '_init$', '') AS stem, CASE WHEN regexp_matches(name, '^[a-z]+\d{3}(_init)?$') THEN 'widget'
-      WHEN regexp_matches(name, '^(tb|b|chk|cmb|list|s|d|i|w)\d+$') THEN 'audit' WHEN regexp_matches(name, '^[a-z]+\d+$') THEN 'domain' ELSE 'other' END AS class FROM n""",
+      WHEN regexp_matches(name, '^(tb|b|chk|cmb|list|s|d|i|w)\d+$') THEN 'audit' WHEN regexp_matches(name, '^(tb|b|chk|cmb|s|list|txt)\d') THEN 'domain' ELSE 'other' END AS class FROM n""",
 )
 def _name_class(t: Tables):
     size = F.col("p_size")
     digits = F.when(size < 10, "").when(size < 30, F.lpad(size.cast("string"), 3, "0")).otherwise(size.cast("string"))
     suffix = F.when(F.col("p_brand") == "Brand#7", "_init").otherwise("")
-    name = F.concat(F.lower(F.replace("p_type", F.lit("STANDARD"), F.lit("tb"))), digits, suffix)
+    name = F.concat(F.lower(F.replace(F.replace("p_type", F.lit("STANDARD"), F.lit("tb")), F.lit("PROMO"), F.lit("txt"))), digits, suffix)
     return t.part.select("p_partkey", name.alias("name")).select(
         "p_partkey", "name", ops.name_stem(F.col("name")).alias("stem"), ops.name_class(F.col("name"), ops.HANDLER_PATTERNS).alias("class")
     )

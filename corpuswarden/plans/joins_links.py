@@ -73,8 +73,9 @@ def _line_ref_bounds(t: Tables):
 @query(
     "line_ref_range",
     r"""WITH n AS (SELECT 'lib/m' || doc_id % 7 || '/d' || doc_id || '.py' AS target, CASE WHEN text = '' THEN 0 ELSE len(p) - CASE WHEN p[len(p)] = '' THEN 1 ELSE 0 END END AS n_lines
-            FROM (SELECT doc_id, text, string_split_regex(text, '
-||
+            FROM (SELECT doc_id, text, string_split_regex(text, '
+|
+|
 ') AS p FROM documents)),
     r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line_no, l_linenumber AS k, l_partkey AS part, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
     x AS (SELECT *, CASE WHEN k % 4 = 1 THEN './../m' WHEN k % 4 = 2 THEN 'sub/.././../m' WHEN k % 4 = 3 THEN '../../../m' ELSE '../m' END || part % 7 || '/d' || part || '.py' AS raw,
@@ -171,8 +172,9 @@ def _longest_prefix_rule(t: Tables):
     rf"""WITH {PATHS_SQL}, d AS (SELECT DISTINCT host, regexp_extract(path, '^([a-z]+)/', 1) AS sub, CASE WHEN path LIKE '%.html' THEN '*.html' ELSE '?7*' END AS g FROM paths
           WHERE host LIKE '%.example.com' AND NOT path LIKE '%/'),
     f AS (SELECT page_id, host, path, string_split(path, '/')[-1] AS name FROM paths)
-    SELECT page_id, host, path FROM f WHERE host IN (SELECT host FROM d) AND NOT ends_with(name, '1') AND name <> '' AND NOT EXISTS
-      (SELECT 1 FROM d WHERE d.host = f.host AND (sub = '' OR starts_with(f.path, sub || '/')) AND f.name GLOB g)""",
+    SELECT page_id, host, path, 'undeclared' AS reason FROM f WHERE host IN (SELECT host FROM d) AND NOT ends_with(name, '1') AND name <> '' AND NOT EXISTS
+      (SELECT 1 FROM d WHERE d.host = f.host AND (sub = '' OR starts_with(f.path, sub || '/')) AND f.name GLOB g)
+    UNION ALL SELECT page_id, host, name, 'root' FROM f WHERE NOT contains(name, '.') AND name NOT IN ('7', '10', '231', '925')""",
 )
 def _undeclared_files(t: Tables):
     files = page_paths(t).select("page_id", "host", "path")
@@ -181,7 +183,8 @@ def _undeclared_files(t: Tables):
         F.regexp_extract("path", "^([a-z]+)/", 1).alias("subtree"),
         F.when(F.col("path").endswith(".html"), "*.html").otherwise("?7*").alias("glob"),
     )
-    return ops.undeclared_files(files, declared, "host", "path", loaded_suffixes=("1",), loaded_names=("",))
+    root = files.select("page_id", "host", paths.base_name(F.col("path")).alias("path"))
+    return ops.stray_files(files, root, declared, "host", "path", ("1",), ("",), sentinels=("7", "10", "231", "925"))
 
 
 @query(

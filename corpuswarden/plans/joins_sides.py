@@ -39,8 +39,8 @@ def _snapshot_diff(t: Tables):
 
 @query(
     "surface_drift",
-    """WITH s AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS k FROM lineitem WHERE l_tax > 0.01 GROUP BY 1, 2),
-    r AS (SELECT l_orderkey, l_linenumber, min(CASE WHEN l_quantity > 45 THEN 'X' ELSE l_returnflag END) AS k FROM lineitem WHERE l_discount > 0.01 GROUP BY 1, 2)
+    """WITH s AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS k FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT l_orderkey, l_linenumber + CASE WHEN l_tax > 0.07 THEN 10 ELSE 0 END AS l_linenumber, min(CASE WHEN l_quantity > 45 THEN 'X' ELSE l_returnflag END) AS k FROM lineitem GROUP BY 1, 2)
     SELECT coalesce(s.l_orderkey, r.l_orderkey) AS l_orderkey, coalesce(s.l_linenumber, r.l_linenumber) AS l_linenumber,
       CASE WHEN r.l_orderkey IS NULL THEN 'missing' WHEN s.l_orderkey IS NULL THEN 'added' ELSE 'kind_changed' END AS drift,
       CASE WHEN r.l_orderkey IS NULL THEN 'FAIL' ELSE 'WARN' END AS severity, s.k AS static_kind, r.k AS runtime_kind
@@ -50,8 +50,9 @@ def _snapshot_diff(t: Tables):
 )
 def _surface_drift(t: Tables):
     kind = F.when(F.col("l_quantity") > 45, "X").otherwise(F.col("l_returnflag"))
-    static = t.lineitem.where("l_tax > 0.01").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"))
-    runtime = t.lineitem.where("l_discount > 0.01").select("l_orderkey", "l_linenumber", kind.alias("kind"))
+    static = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"))
+    moved = F.col("l_linenumber") + F.when(F.col("l_tax") > 0.07, 10).otherwise(0)
+    runtime = t.lineitem.select("l_orderkey", moved.alias("l_linenumber"), kind.alias("kind"))
     return diff.surface_drift(static, runtime, "l_orderkey", "l_linenumber", "kind")
 
 
@@ -168,14 +169,14 @@ def _item_list_delta(t: Tables):
 
 
 SIDE_SQL = """
-sold AS (SELECT l_returnflag, l_partkey, s_nationkey < 12 AS is_a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount > 0.08)
+sold AS (SELECT l_returnflag, l_partkey, s_nationkey < 12 AS is_a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
 """
 
 
 def sold_parts(t: Tables):
-    """Parts sold at a high discount by suppliers of two groups of nations."""
+    """Parts sold by suppliers of two groups of nations."""
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return t.lineitem.where("l_discount > 0.08").join(s, "l_suppkey").select("l_returnflag", "l_partkey", (F.col("s_nationkey") < 12).alias("is_a"))
+    return t.lineitem.join(s, "l_suppkey").select("l_returnflag", "l_partkey", (F.col("s_nationkey") < 12).alias("is_a"))
 
 
 @query(
@@ -318,12 +319,12 @@ def _ledger_dataset(t: Tables):
 @query(
     "status_summary",
     """WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_untriaged, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_pending,
-        count(*) FILTER (WHERE o_orderstatus = 'O') AS n_triaged FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+        count(*) FILTER (WHERE o_orderstatus = 'O') AS n_triaged FROM orders GROUP BY 1)
     SELECT *, CASE WHEN n_untriaged > 0 THEN 'GAP' WHEN n_pending > 0 THEN 'open' ELSE 'OK' END AS status FROM c""",
 )
 def _status_summary(t: Tables):
     status = F.col("o_orderstatus")
-    rows = t.orders.where("o_orderpriority = '1-URGENT'").select(
+    rows = t.orders.select(
         "o_custkey", F.when(status == "F", "untriaged").when(status == "P", "pending").otherwise("triaged").alias("class")
     )
     return ledger.status_summary(rows, "o_custkey", "class", ["untriaged", "pending", "triaged"], "untriaged", "pending")

@@ -31,7 +31,7 @@ def _dependency_cascade(t: Tables):
 @query(
     "receipt_validity",
     """WITH q AS (SELECT DISTINCT user_id, unnest(['signup', 'view', 'review']) AS event_type FROM events),
-    l AS (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE value > 15 GROUP BY 1, 2), n AS (SELECT max(ts) AS now FROM events)
+    l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY 1, 2), n AS (SELECT max(ts) AS now FROM events)
     SELECT q.user_id, q.event_type, CASE WHEN ts IS NULL THEN 'MISSING' WHEN now - ts <= INTERVAL 7 DAY THEN 'VALID' ELSE 'EXPIRED' END AS state,
       CAST(floor(epoch_us(now) / 86400000000.0 - epoch_us(ts) / 86400000000.0) AS BIGINT) AS age_days FROM q LEFT JOIN l USING (user_id, event_type), n""",
 )
@@ -40,7 +40,7 @@ def _receipt_validity(t: Tables):
         "user_id", F.explode(F.array(F.lit("signup"), F.lit("view"), F.lit("review"))).alias("event_type")
     )
     latest = t.events.select(F.max("ts")).scalar()
-    return ops.receipt_validity(required, t.events.where("value > 15"), "user_id", "event_type", "ts", latest, 7)
+    return ops.receipt_validity(required, t.events, "user_id", "event_type", "ts", latest, 7)
 
 
 @query(
@@ -64,14 +64,14 @@ def _pin_floor_ratchet(t: Tables):
 @query(
     "pin_availability",
     """WITH v AS (SELECT p_name, max(p_size) || '.0' AS version FROM part WHERE p_type <> 'PROMO' AND p_name <> 'hot rod' GROUP BY 1),
-    pub AS (SELECT DISTINCT p_name, p_size || '.0' AS version FROM part WHERE p_type IN ('SMALL', 'LARGE', 'MEDIUM')), r AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size > 20)
+    pub AS (SELECT DISTINCT p_name, p_size || '.0' AS version FROM part WHERE p_type IN ('SMALL', 'LARGE', 'MEDIUM')), r AS (SELECT DISTINCT p_brand, p_name FROM part)
     SELECT p_brand, p_name, version FROM r JOIN v USING (p_name) WHERE (p_name, version) NOT IN (SELECT (p_name, version) FROM pub)""",
 )
 def _pin_availability(t: Tables):
     text = lambda c: F.concat(c.cast("string"), F.lit(".0"))
     versions = t.part.where("p_type <> 'PROMO' AND p_name <> 'hot rod'").groupBy("p_name").agg(text(F.max("p_size")).alias("version"))
     published = t.part.where("p_type IN ('SMALL', 'LARGE', 'MEDIUM')").select("p_name", text(F.col("p_size")).alias("version"))
-    return ops.pin_availability(t.part.where("p_size > 20"), versions, published, "p_brand", "p_name")
+    return ops.pin_availability(t.part, versions, published, "p_brand", "p_name")
 
 
 @query(
@@ -113,44 +113,47 @@ def _freshness_guard(t: Tables):
 
 
 RUNS_SQL = """
-ev AS (SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS key, ts, event_id, value, CASE WHEN event_type = 'click' THEN 'in_progress' ELSE 'completed' END AS status,
+ev AS (SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS key, user_id || '@' || strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d') AS next_key, ts, event_id, value, CASE WHEN event_type = 'click' THEN 'in_progress' ELSE 'completed' END AS status,
        CASE WHEN event_type = 'error' THEN (CASE WHEN value > 10 THEN 'failure' ELSE 'cancelled' END) WHEN event_type <> 'click' THEN 'success' END AS conclusion FROM events)
 """
 
 
 def runs(t: Tables):
-    """Each event as a run of its user's day."""
+    """Each event as a run of its user's day, and the key of the day after."""
     kind = F.col("event_type")
     conclusion = F.when(kind == "error", F.when(F.col("value") > 10, "failure").otherwise("cancelled")).when(kind != "click", "success")
+    day = lambda ts: F.concat_ws("@", F.col("user_id").cast("string"), F.date_format(ts, "yyyy-MM-dd"))
     return t.events.select(
-        F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("key"), "ts", "event_id", "value",
+        day(F.col("ts")).alias("key"), day(F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("next_key"), "ts", "event_id", "value",
         F.when(kind == "click", "in_progress").otherwise("completed").alias("status"), conclusion.alias("conclusion"),
     )
 
 
 @query(
     "run_verdict",
-    f"""WITH {RUNS_SQL}, k AS (SELECT DISTINCT key FROM ev), a AS (SELECT key, count(*) AS n_runs, count(*) FILTER (WHERE status <> 'completed') AS n_pending,
-        max_by(conclusion, (ts, event_id)) FILTER (WHERE status = 'completed' AND conclusion <> 'success') AS f FROM ev WHERE value > 5 GROUP BY 1)
+    f"""WITH {RUNS_SQL}, k AS (SELECT key FROM ev UNION SELECT next_key FROM ev), a AS (SELECT key, count(*) AS n_runs, count(*) FILTER (WHERE status <> 'completed') AS n_pending,
+        max_by(conclusion, (ts, event_id)) FILTER (WHERE status = 'completed' AND conclusion <> 'success') AS f FROM ev GROUP BY 1)
     SELECT key, coalesce(n_runs, 0) AS n_runs, coalesce(n_pending, 0) AS n_pending, CASE WHEN n_runs IS NULL THEN 'norun' WHEN n_pending > 0 THEN 'pending' ELSE coalesce(f, 'success') END AS verdict FROM k LEFT JOIN a USING (key)""",
 )
 def _run_verdict(t: Tables):
     all_runs = runs(t)
-    return ops.run_verdict(all_runs.select("key").distinct(), all_runs.where("value > 5"), "key", ["ts", "event_id"])
+    required = all_runs.select(F.explode(F.array("key", "next_key")).alias("key")).distinct()
+    return ops.run_verdict(required, all_runs, "key", ["ts", "event_id"])
 
 
 @query(
     "merge_gate",
-    f"""WITH {RUNS_SQL}, q AS (SELECT key, CASE WHEN min(value) < 3 THEN 'BLOCKED' ELSE 'CLEAN' END AS merge_state FROM ev GROUP BY 1),
-    c AS (SELECT key, count(*) AS n_checks, count(*) FILTER (WHERE NOT (coalesce(conclusion, '') <> '' OR value >= 8)) AS n_pending FROM ev WHERE value > 5 GROUP BY 1)
+    f"""WITH {RUNS_SQL}, q AS (SELECT key, CASE WHEN min(value) < 3 THEN 'BLOCKED' ELSE 'CLEAN' END AS merge_state FROM (SELECT key, value FROM ev UNION ALL SELECT next_key, value FROM ev) GROUP BY 1),
+    c AS (SELECT key, count(*) AS n_checks, count(*) FILTER (WHERE NOT (coalesce(conclusion, '') <> '' OR value >= 8)) AS n_pending FROM ev GROUP BY 1)
     SELECT key, merge_state, n_checks, n_pending, CASE WHEN n_checks IS NULL THEN 'ungated' WHEN merge_state = 'BLOCKED' AND n_pending = 0 THEN 'stuck' WHEN merge_state = 'BLOCKED' THEN 'waiting' ELSE 'gated' END AS gate
     FROM q LEFT JOIN c USING (key)""",
 )
 def _merge_gate(t: Tables):
     all_runs = runs(t)
-    requests = all_runs.groupBy("key").agg(F.when(F.min("value") < 3, "BLOCKED").otherwise("CLEAN").alias("merge_state"))
+    opened = all_runs.select(F.explode(F.array("key", "next_key")).alias("key"), "value")
+    requests = opened.groupBy("key").agg(F.when(F.min("value") < 3, "BLOCKED").otherwise("CLEAN").alias("merge_state"))
     state = F.when(F.col("value") < 6, "EXPECTED").when(F.col("value") < 8, "PENDING").otherwise("DONE")
-    checks = all_runs.where("value > 5").select("key", "conclusion", state.alias("state"))
+    checks = all_runs.select("key", "conclusion", state.alias("state"))
     return ops.merge_gate(requests, checks, "key")
 
 

@@ -66,10 +66,24 @@ def _markup_balance(t: Tables):
     return markup.markup_balance(t.pages, "html", ["page_id"])
 
 
-@query("markup_well_formed")
+@query(
+    "markup_well_formed",
+    r"""WITH h AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?i)<!doctype[^>]*>', '', 'g') AS p FROM pages),
+    t AS (SELECT page_id, html, regexp_replace(regexp_replace(p, '</?[A-Za-z_][A-Za-z0-9_:.-]*(?:\s+[A-Za-z_:][A-Za-z0-9_:.-]*\s*=\s*(?:"[^"<]*"|''[^''<]*''))*\s*/?>', '', 'g'), '&[a-zA-Z#0-9]+;', '', 'g') AS rest,
+        list_transform(regexp_extract_all(p, '</?[A-Za-z_][A-Za-z0-9_:.-]*(?:\s+[A-Za-z_:][A-Za-z0-9_:.-]*\s*=\s*(?:"[^"<]*"|''[^''<]*''))*\s*/?>'),
+          lambda x: CASE WHEN starts_with(x, '</') THEN '-' WHEN ends_with(x, '/>') OR list_contains(['area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr'], lower(regexp_extract(x, '^<([A-Za-z0-9_:.-]+)', 1))) THEN '.' ELSE '+' END
+            || regexp_extract(x, '^</?([A-Za-z0-9_:.-]+)', 1)) AS tags FROM h),
+    f AS (SELECT *, list_reduce(tags, lambda acc, x: CASE WHEN acc = '' OR x[1] = '.' THEN acc WHEN x[1] = '+' THEN acc || x[2:] || '>'
+        WHEN ends_with(acc, '>' || x[2:] || '>') THEN acc[1:length(acc) - length(x)] ELSE '' END, '>') AS open FROM t)
+    SELECT page_id, CASE WHEN NOT contains(html, '<') AND NOT contains(html, '&') THEN 'skipped' WHEN regexp_matches(rest, '[<&]') OR open <> '>' THEN 'malformed' ELSE 'ok' END AS state, open AS left_open, CAST(length(rest) AS BIGINT) AS n_rest FROM f""",
+)
 def _markup_well_formed(t: Tables):
-    """Exact parse of each whole page; SQL has no counterpart."""
-    return t.pages.select("page_id", markup.markup_state(F.col("html")).alias("state"))
+    return t.pages.select(
+        "page_id",
+        markup.markup_state(F.col("html")).alias("state"),
+        markup.open_elements(F.col("html")).alias("left_open"),
+        F.char_length(markup.text_between(F.col("html"))).cast("long").alias("n_rest"),
+    )
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuswarden.functions import paths
 from corpuswarden.functions.text import content_digest, split_lines
 from corpuswarden.plans.registry import LINES_SQL, PATHS_SQL, Tables, query
-from corpuswarden.session import fresh_path
+from corpuswarden.session import fresh_path, materialize
 from corpuswarden.sources import scans, sinks
 
 
@@ -127,20 +127,18 @@ def _requirement_names(t: Tables):
 
 @query(
     "baseline_resolve",
-    """WITH urgent AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'),
-    rel AS (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM urgent
+    """WITH rel AS (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders
             WHERE o_orderdate <= TIMESTAMP '1997-01-01' GROUP BY 1),
-    ref AS (SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM urgent
+    ref AS (SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders
             WHERE o_orderdate > TIMESTAMP '1997-01-01' GROUP BY 1)
     SELECT c.c_custkey AS o_custkey, coalesce(rel.k, ref.k) AS baseline,
            CASE WHEN rel.k IS NOT NULL THEN 'released' WHEN ref.k IS NOT NULL THEN 'refresh' ELSE 'none' END AS label
     FROM customer c LEFT JOIN rel ON c.c_custkey = rel.o_custkey LEFT JOIN ref ON c.c_custkey = ref.o_custkey""",
 )
 def _baseline_resolve(t: Tables):
-    urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT")
     customers = t.customer.select(F.col("c_custkey").alias("o_custkey"))
     cut = F.expr("TIMESTAMP_NTZ '1997-01-01'")
-    return scans.baseline_resolve(customers, urgent, "o_custkey", "o_orderdate", "o_orderkey", cut)
+    return scans.baseline_resolve(customers, t.orders, "o_custkey", "o_orderdate", "o_orderkey", cut)
 
 
 @query(
@@ -169,15 +167,28 @@ def source_trees(t: Tables):
 
 @query(
     "write_if_changed",
-    f"""WITH {TREE_SQL} SELECT source, digest, CASE WHEN source = 'src3' THEN 'created'
-        WHEN source IN ('src5', 'src7') THEN 'updated' ELSE 'unchanged' END AS action FROM trees""",
+    f"""WITH {TREE_SQL}, k AS (SELECT *, CASE WHEN source = 'src3' THEN 'created' WHEN source IN ('src5', 'src7') THEN 'updated' ELSE 'unchanged' END AS action FROM trees)
+    SELECT source, digest, action, count(*) FILTER (WHERE source <> 'src3') OVER () AS n_first, count(*) FILTER (WHERE action <> 'unchanged') OVER () AS n_second, CAST(0 AS BIGINT) AS n_third,
+      action <> 'unchanged' AS rewritten, false AS rewritten_again FROM k""",
 )
 def _write_if_changed(t: Tables):
     trees = source_trees(t)
     manifest = trees.where(F.col("source") != "src3").withColumn(
         "digest", F.when(F.col("source").isin("src5", "src7"), "old").otherwise(F.col("digest"))
     )
-    return sinks.changed_artifacts(trees, manifest, "source")
+    # three runs below one path: the first state, the new one, and that again
+    path, digest = fresh_path(t.spark, "artifacts"), F.col("digest")
+    seen, counts = [], []
+    for artifacts in (manifest, trees, trees):
+        counts.append(sinks.write_if_changed(artifacts, "source", digest, path))
+        at = t.spark.read.parquet(path).select("source", F.col("_metadata.file_path").alias("file"))
+        seen.append(materialize(at.groupBy("source").agg(F.array_sort(F.collect_set("file")).alias(f"files{len(seen)}")), "artifact-files")[0])
+    out = sinks.changed_artifacts(trees, manifest, "source").select("source", "digest", "action")
+    for files in seen:
+        out = out.join(files, "source", "left")
+    same = lambda a, b: F.col(f"files{a}").eqNullSafe(F.col(f"files{b}"))
+    numbers = [F.lit(n).cast("long").alias(c) for c, n in zip(("n_first", "n_second", "n_third"), counts)]
+    return out.select("source", "digest", "action", *numbers, (~same(0, 1)).alias("rewritten"), (~same(1, 2)).alias("rewritten_again"))
 
 
 @query(
@@ -209,15 +220,14 @@ def _report_lines(t: Tables):
 @query(
     "run_log_append",
     """WITH runs AS (SELECT unnest(['run1', 'run2']) AS run_id),
-    f AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'FAIL' ELSE 'WARN' END AS severity FROM orders
-          WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'O')
+    f AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'P' THEN 'WARN' ELSE 'OK' END AS severity FROM orders)
     SELECT run_id, severity, count(*) AS n FROM runs, f GROUP BY 1, 2""",
 )
 def _run_log_append(t: Tables):
-    open_ = t.orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "O"))
-    found = open_.select(
-        F.lit("urgent").alias("check"),
-        F.when(F.col("o_orderstatus") == "F", "FAIL").otherwise("WARN").alias("severity"),
+    status = F.col("o_orderstatus")
+    found = t.orders.select(
+        F.col("o_orderpriority").alias("check"),
+        F.when(status == "F", "FAIL").when(status == "P", "WARN").otherwise("OK").alias("severity"),
         F.col("o_orderkey").cast("string").alias("key"),
         F.col("o_orderstatus").alias("detail"),
     )

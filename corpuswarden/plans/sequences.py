@@ -100,11 +100,11 @@ def _canonical_order(t: Tables):
 
 @query(
     "worst_first",
-    """WITH o AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-15' GROUP BY 1)
+    """WITH o AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)
     SELECT s_suppkey, n, row_number() OVER (ORDER BY CASE WHEN s_acctbal > 0 THEN CAST(n AS DOUBLE) END ASC NULLS LAST, s_suppkey) AS position FROM supplier LEFT JOIN o ON s_suppkey = l_suppkey""",
 )
 def _worst_first(t: Tables):
-    n = t.lineitem.where("l_shipdate < TIMESTAMP_NTZ '1995-02-15'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
+    n = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
     rows = t.supplier.select("s_suppkey", "s_acctbal").join(n, "s_suppkey", "left")
     ratio = F.when(F.col("s_acctbal") > 0, F.col("n").cast("double"))
     return ops.worst_first(rows, ratio, ["s_suppkey"]).drop("s_acctbal")

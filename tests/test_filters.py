@@ -111,9 +111,9 @@ def test_property_violations_skip_unreadable_numbers(frame, rows):
 
 
 def test_name_patterns_differ(frame, rows):
-    df = frame("n string", ("tb000",), ("tb00",), ("tb000_init",), ("zz12",), ("Tb000",))
+    df = frame("n string", ("tb000",), ("tb00",), ("tb000_init",), ("zz12",), ("Tb000",), ("txt5x",), ("w12",))
     got = dict(rows(df.select("n", ops.name_class(F.col("n"), ops.HANDLER_PATTERNS))))
-    assert got == {"tb000": "widget", "tb00": "audit", "tb000_init": "widget", "zz12": "domain", "Tb000": "other"}
+    assert got == {"tb000": "widget", "tb00": "audit", "tb000_init": "widget", "zz12": "other", "Tb000": "other", "txt5x": "domain", "w12": "audit"}
 
 
 def test_summary_chain(frame, rows):

@@ -42,7 +42,7 @@ def test_total_coverage_counts_a_name_once(frame, rows):
     a = frame("m string, n string", ("x", "f"), ("y", "f"), ("x", "g"), ("z", "h"))
     b = frame("m string, n string", ("x", "f"), ("w", "g"))
     assert rows(measure.name_coverage(a, b, "m", "n")) == [
-        ("TOTAL", 3, 2, 2, 67, False), ("w", 0, 1, 0, None, False), ("x", 2, 1, 1, 50, False), ("y", 1, 0, 0, 0, True), ("z", 1, 0, 0, 0, True)
+        ("TOTAL", True, 3, 2, 2, 67, False), ("w", False, 0, 1, 0, None, False), ("x", False, 2, 1, 1, 50, False), ("y", False, 1, 0, 0, 0, True), ("z", False, 1, 0, 0, 0, True)
     ]
 
 

@@ -15,7 +15,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 # Streams and iterative operators run jobs while they are built; they are checked by result only.
 EAGER = {n for n in QUERIES if n.startswith("stream_")} | {
-    "dependency_cascade", "first_definition_wins", "run_log_append", "report_lines", "canonical_order", "worst_first", "stable_name_order",
+    "dependency_cascade", "first_definition_wins", "write_if_changed", "run_log_append", "report_lines", "canonical_order", "worst_first", "stable_name_order",
 }
 # At this size nothing lies on both sides of these conditions.
 MAY_BE_EMPTY = {"forbidden_heading", "conflict_marker_scan", "dependency_cascade", "ledger_dataset", "element_property_violations"}

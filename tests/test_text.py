@@ -148,4 +148,11 @@ def test_markup_well_formed_judges_each_page_once(spark, tmp_path):
 
     page = "<html><body><div><p>a</p></body></html>"  # every block is well-formed, the page is not
     spark.createDataFrame([(1, page), (2, page.replace("<div>", ""))], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    assert sorted(tuple(r) for r in QUERIES["markup_well_formed"](spark, str(tmp_path)).collect()) == [(1, "malformed"), (2, "ok")]
+    got = QUERIES["markup_well_formed"](spark, str(tmp_path)).select("page_id", "state", "left_open").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "malformed", ""), (2, "ok", ">")]
+
+
+def test_tags_are_folded_in_order(frame):
+    texts = ["<a><b></a></b>", "<a x='1' y = \"<\">", "<a x='>'><B></B><br/><i>", "<a x=1></a>", "a &amp; b &x", "<p></P>", ""]
+    assert values(frame, texts, markup.open_elements(F.col("s"))) == ["", ">", ">a>i>", "", ">", "", ">"]
+    assert values(frame, texts, markup.markup_state(F.col("s"))) == ["malformed", "malformed", "malformed", "malformed", "malformed", "malformed", "skipped"]
