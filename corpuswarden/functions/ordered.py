@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from corpuswarden.session import materialize
 
 BLOCK = 16_384
+#: Bits of a row id that count the rows of a partition.
+LOW_BITS = 33
 
 
 def _blocked(df: DataFrame, keys: list[str], seq: str, value: Column, block: int) -> DataFrame:
@@ -87,39 +89,31 @@ def positions(
 ) -> DataFrame:
     """1-based rank of each row in a total order, per group or over the whole table.
 
-    The rows are range-partitioned by group and order and written to the
-    shared folder once, so that partition numbers stay what they are. Each
-    partition ranks its own rows; the offsets of earlier partitions come from
-    one count per partition and group. ``order`` must be total, or ties split
-    freely between neighbours.
+    The rows are range-partitioned by group and order, once, sorted and written to the
+    shared folder with a row id that holds the partition's number in its high
+    bits and the place within it in its low ones. Rows of earlier partitions
+    come from one count per partition and group. Over the whole table that is
+    one row per partition, which is sent to all tasks, so nothing is shuffled
+    again. ``order`` must be total, or ties split freely between neighbours.
     """
     spark = df.sparkSession
     group = group or []
     names = [f"_o{i}" for i in range(len(order))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(_plain(order), names)])
-    sort = [_directed(c, n) for c, n in zip(order, names)]
+    sort = [*[F.col(g) for g in group], *[_directed(c, n) for c, n in zip(order, names)]]
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = tagged.repartitionByRange(parts, *[F.col(g) for g in group], *sort)
-    fixed, _ = materialize(ranged.withColumn("_pid", F.spark_partition_id()), "positions")
-    counts = fixed.groupBy(*group, "_pid").count()
-    before = Window.orderBy("_pid") if not group else Window.partitionBy(*group).orderBy("_pid")
-    offsets = counts.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group],
-        F.col("_pid").alias("_p"),
-        F.coalesce(
-            F.sum("count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )
-    cond = F.col("_pid") == F.col("_p")
+    ranged = tagged.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).drop(*names)
+    fixed, _ = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "positions")
+    part, place = F.shiftright("_at", LOW_BITS), F.col("_at").bitwiseAND(F.lit(2**LOW_BITS - 1))
+    counts = fixed.groupBy(*group, part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
+    before = Window.orderBy("_p") if not group else Window.partitionBy(*group).orderBy("_p")
+    earlier = F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_p", (earlier - F.col("_first") + 1).alias("_off"))
+    cond = part == F.col("_p")
     for g in group:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    local = F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*sort))
-    return (
-        fixed.withColumn("_r", local)
-        .join(offsets, cond)
-        .withColumn(out, (F.col("_r") + F.col("_off")).cast("long"))
-        .drop("_pid", "_p", "_r", "_off", *names, *[f"_g_{g}" for g in group])
-    )
+    joined = fixed.join(offsets if group else F.broadcast(offsets), cond)
+    return joined.withColumn(out, (place + F.col("_off")).cast("long")).drop("_at", "_p", "_off", *[f"_g_{g}" for g in group])
 
 
 class Order:

@@ -103,6 +103,20 @@ def test_nearest_definition_encloses(frame, rows):
     assert rows(got, "f", "n", "scope") == [("a", 1, None), ("a", 3, "f"), ("a", 4, "g"), ("b", 1, None)]
 
 
+def test_ranks_over_a_table_shuffle_its_rows_once(spark, frame, rows):
+    df = spark.range(0, 5_000, 1, 7).select(F.col("id"), ((F.col("id") * 7919) % 5_003).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    ranked = positions(df, [F.col("k")])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+    got = ranked.orderBy("k").select("position").collect()
+    assert [r[0] for r in got] == list(range(1, 5_001))
+    grouped = positions(df, [Order(F.col("k"), descending=True)], ["g"])
+    expected = {}
+    for i, k, g in sorted(rows(df), key=lambda r: -r[1]):
+        expected.setdefault(g, []).append(i)
+    assert {(r.g, r.position): r.id for r in grouped.collect()} == {(g, n): i for g, ids in expected.items() for n, i in enumerate(ids, 1)}
+
+
 def inheritance(frame, bases, members):
     owners = sorted({o for o, *_ in bases} | {o for o, *_ in members})
     return sequence.first_definition_wins(
