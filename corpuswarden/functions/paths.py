@@ -36,6 +36,12 @@ def dir_name(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def with_folders(path: Column) -> Column:
+    """The path and every folder above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def fold_path(path: Column) -> Column:
     """Path with ``.`` and ``..`` segments folded, null once it climbs above the root."""
     empty = F.array().cast("array<string>")

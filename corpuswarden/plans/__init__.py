@@ -2,6 +2,7 @@
 
 from corpuswarden.plans import (  # noqa: F401  (importing registers the queries)
     aggregates,
+    audits,
     filters,
     joins_links,
     joins_sides,

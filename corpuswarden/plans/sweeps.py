@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuswarden.functions import paths
+from corpuswarden.functions.rows import each
 from corpuswarden.functions.text import FENCED, blank_out, lintable, unify_newlines
 from corpuswarden.operators import diff, filters, integrity, ledger, measure, sequence
 from corpuswarden.operators.gate import findings
@@ -24,32 +25,53 @@ NEXT_TO_EMPTY = 20
 DOC_CHECKS = ["links", "anchors", "orphans", "changelog", "tracked", "empty"]
 
 
-def docs_sweep(files: DataFrame, tracked: DataFrame | None = None, generated: tuple[str, ...] = ()) -> DataFrame:
+def docs_sweep(
+    files: DataFrame,
+    tracked: DataFrame | None = None,
+    generated: tuple[str, ...] = (),
+    catalog: DataFrame | None = None,
+    pruned: tuple[str, ...] = (),
+    vendored: tuple[str, ...] = (),
+    generated_paths: tuple[str, ...] = (),
+    orphan_exempt: tuple[str, ...] = ORPHAN_EXEMPT,
+    link_exempt: tuple[str, ...] = LINKCHECK_EXEMPT,
+) -> DataFrame:
     """Findings over a tree of documents (repo, path, text).
 
     Broken links and anchors with their lines, orphans, untracked but linked
     documents, a banned changelog heading, next to empty documents. Generated
-    documents are sources of links and are not checked themselves."""
-    is_generated = paths.base_name(F.col("path")).isin(*generated) if generated else F.lit(False)
-    docs = files.select("repo", "path", "text", is_generated.alias("gen"))
+    documents, by name or by path, are sources of links and are not checked
+    themselves. Documents in ``pruned`` folders, of whatever depth, and below the
+    ``vendored`` paths (repo and folder) are not part of the tree. A link is
+    broken if nothing lies where it leads: no document, none of the other files of
+    ``catalog`` (path), and no folder above any of them."""
+    kept = scans.corpus_scan(files, "path", prune_segments=list(pruned))
+    for prefix in vendored:
+        kept = kept.where(~F.startswith("path", F.lit(prefix.rstrip("/") + "/")))
+    is_generated = paths.base_name(F.col("path")).isin(*generated) | F.col("path").isin(*generated_paths)
+    docs = kept.select("repo", "path", "text", is_generated.alias("gen"))
     name = F.lower(paths.base_name(F.col("path")))
+    exempt = (
+        name.isin(*orphan_exempt) | F.contains(name, F.lit("license")) | F.contains(name, F.lit("copying"))
+        | F.array_contains(F.split("path", "/"), F.lit(".github"))
+    )
 
-    body = docs.where(~F.col("gen") & ~name.isin(*LINKCHECK_EXEMPT)).select("path", lintable(F.col("text")).alias("text"))
+    body = docs.where(~F.col("gen") & ~name.isin(*link_exempt)).select("path", lintable(F.col("text")).alias("text"))
     lines = scans.line_scan(body, "text", ["path"], "file")
     links = resolved(scans.link_scan(lines, "line", ["path", "line_no"], scans.MARKDOWN_LINK))
-    catalog = docs.select(F.col("path").alias("dest"))
-    known_dirs = catalog.select(paths.dir_name(F.col("dest")).alias("dest")).distinct()
-    broken = integrity.broken_links(links, catalog.unionByName(known_dirs), "dest", "dest")
+    everything = files.select("path") if catalog is None else files.select("path").unionByName(catalog.select("path"))
+    known = each(everything.distinct(), [], paths.with_folders(F.col("path")), "dest")
+    broken = integrity.broken_links(links, known, "dest", "dest")
 
     heads = scans.line_scan(docs.select("path", blank_out(unify_newlines(F.col("text")), FENCED).alias("text")), "text", ["path"], "file")
     titled = heads.withColumn("heading", F.regexp_extract("line", HEADING, 1)).where(F.col("heading") != "")
     anchors = sequence.slug_dedupe(titled, ["path"], "line_no", "heading").select(F.col("path").alias("doc"), "anchor")
-    to_docs = links.where(F.endswith("dest", F.lit(".md"))).join(catalog.distinct(), "dest", "left_semi")
+    to_docs = links.where(F.endswith("dest", F.lit(".md"))).join(docs.select(F.col("path").alias("dest")).distinct(), "dest", "left_semi")
     lost = integrity.anchor_check(to_docs, anchors, "dest", "fragment")
 
     raw = resolved(scans.link_scan(docs, "text", ["path"], r"\]\(([^)#\s]+\.md(?:#[^)\s]*)?)\)"))
     edges = raw.select(F.col("path").alias("src"), F.col("dest").alias("dst"))
-    alone = integrity.orphans(docs, edges, "path", F.col("gen"), name.isin(*ORPHAN_EXEMPT))
+    alone = integrity.orphans(docs, edges, "path", F.col("gen"), exempt)
 
     where = lambda extra: F.concat_ws(" ", F.concat(F.lit("line "), F.col("line_no").cast("string")), extra)
     parts = [
@@ -103,7 +125,7 @@ def ledger_tables(files: DataFrame, ledger_name: str) -> tuple[DataFrame, DataFr
     """Ledger rows and coverage rules out of the tables of each repo's ledger document."""
     book = files.where(paths.base_name(F.col("path")) == ledger_name)
     lines = scans.line_scan(book, "text", ["repo", "path"], "file")
-    title = F.when(F.startswith(F.col("line"), F.lit("## ")), F.lower(F.trim(F.substring("line", 4, 1_000))))
+    title = F.when(F.startswith(F.col("line"), F.lit("## ")), F.lower(F.trim(F.right("line", F.char_length("line") - 3))))
     section = F.when(title.startswith("ledger"), "ledger").when(title.startswith("coverage"), "coverage").when(title.isNotNull(), "-")
     placed = sequence.section_of_line(lines, ["repo", "path"], "line_no", section)
     cell = lambda pattern, i: F.regexp_extract("line", pattern, i)
@@ -131,9 +153,12 @@ def ledger_sweep(files: DataFrame, ledger_name: str = "DOCMAP.md", index_name: s
     left out; without an index the coverage check only warns."""
     rows, rules = ledger_tables(files, ledger_name)
     books = files.where(paths.base_name(F.col("path")) == ledger_name).select("repo", F.col("path").alias("book")).distinct()
+    # by repo and folder: a repo may hold far more files than the folder of its ledger
+    folders = books.select("repo", "book", paths.dir_name(F.col("book")).alias("folder"))
     beside = (
-        files.join(books, "repo")
-        .where((paths.dir_name(F.col("path")) == paths.dir_name(F.col("book"))) & F.endswith("path", F.lit(".md")))
+        files.where(F.endswith("path", F.lit(".md")))
+        .select("repo", "path", paths.dir_name(F.col("path")).alias("folder"))
+        .join(folders, ["repo", "folder"])
         .where(F.col("path") != F.col("book"))
         .select(F.col("path").alias("doc"))
     )

@@ -50,6 +50,26 @@ def test_each_seeded_defect_is_found(frame, rows):
     assert report["ALL"] == "FAIL" and report["empty"] == "WARN"
 
 
+def test_options_of_the_documents_audit(frame, rows):
+    files = tree(
+        frame,
+        **{
+            "repo/docs/b.md": "# B is long enough\n[code](../src/x/y.py) [dir](../src/x) [pic](../src/x/z.png) [old](../build/o.md)\n",
+            "repo/build/o.md": "[x](nowhere.md) pruned\n",
+            "repo/lib/v.md": "[x](nowhere.md) vendored\n",
+            "repo/docs/gen.md": "[x](nowhere.md) generated\n",
+            "repo/LICENSE-notes.md": "nobody links to a licence\n",
+            "repo/.github/how.md": "nobody links to these rules\n",
+            "repo/docs/own.md": "exempt by the caller's list\n",
+        },
+    )
+    everything = frame("path string", ("repo/src/x/y.py",), ("repo/src/x/deep/q.py",))
+    out = sweeps.docs_sweep(
+        files, None, ("INDEX.md",), everything, ("build",), ("repo/lib",), ("repo/docs/gen.md",), (*sweeps.ORPHAN_EXEMPT, "own.md")
+    )
+    assert rows(out, "check", "key", "detail") == [("links", "repo/docs/b.md", "line 2 ../src/x/z.png")]
+
+
 def catalog(frame, **packages):
     docs = [json.dumps({"name": p, "modules": [{"relpath": "m.py", "functions": [{"name": n, "signature": s} for n, s in fns.items()]}]}) for p, fns in packages.items()]
     return scans.registry_scan(frame("j string", *[(d,) for d in docs]), "j")
