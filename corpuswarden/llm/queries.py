@@ -10,6 +10,7 @@ from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.fingerprints import fingerprint_pairs
 from corpuswarden.llm.license_scan import scan_licenses
 from corpuswarden.llm.ngram_join import ngram_join
+from corpuswarden.llm.oracles import CONVERSATIONS_SQL, SPELLING_SQL
 from corpuswarden.llm.packing import pack
 from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
@@ -151,11 +152,11 @@ def op11(t: Tables):
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-@query("op12_spelling")
+@query("op12_spelling", SPELLING_SQL)
 def op12(t: Tables):
     return spelling_variants(t.documents)
 
 
-@query("op13_conversations")
+@query("op13_conversations", CONVERSATIONS_SQL)
 def op13(t: Tables):
     return audit_conversations(t.conversations)
