@@ -47,7 +47,7 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.items: dict[int, set] = {}  # state -> items that have its run of window words
-        self.short: dict[int, list] = {}  # state -> (words, item) of short items that end there
+        self.short: dict[int, dict[int, set]] = {}  # state -> words -> short items that end there
         sequences = []
         for key, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text or "")]
@@ -60,13 +60,14 @@ class Automaton:
             for i, c in enumerate(ids):
                 v = self.next[v][c]
                 if i + 1 >= window:
-                    self.items.setdefault(self._of_length(v, window), set()).add(key)
+                    v = self._of_length(v, window)
+                    self.items.setdefault(v, set()).add(key)
             if len(ids) < window:
-                self.short.setdefault(v, []).append((len(ids), key))
-        # short items that end in a state or in one of its suffixes, shortest states first
-        for v in sorted(range(len(self.link)), key=self.length.__getitem__):
-            if v and (above := self.short.get(self.link[v])):
-                self.short[v] = self.short.get(v, []) + above
+                self.short.setdefault(v, {}).setdefault(len(ids), set()).add(key)
+        # of each state the nearest of its suffixes, itself first, that a short item ends in; shortest states first
+        self.nearest = [0] * len(self.link)
+        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            self.nearest[v] = v if v in self.short else self.nearest[self.link[v]]
 
     def _insert(self, ids: list[int]) -> None:
         last = 0
@@ -100,7 +101,8 @@ class Automaton:
         return len(self.link) - 1
 
     def _of_length(self, v: int, n: int) -> int:
-        """The suffix of v's runs that has n words."""
+        """The suffix of v's runs that has n words. Streams go on from there, so that the
+        steps up are no more than the words."""
         while self.length[self.link[v]] >= n:
             v = self.link[v]
         return v
@@ -129,12 +131,16 @@ class Automaton:
             n = n + 1 if v else 0
             covered = 0
             if n >= self.window:
-                covered = self.window
-                found |= self.items[self._of_length(v, self.window)]
-            for size, key in self.short.get(v, ()):
-                if size <= n:
-                    covered = max(covered, size)
-                    found.add(key)
+                covered = n = self.window
+                v = self._of_length(v, n)
+                found |= self.items[v]
+            short = self.nearest[v]
+            while short:
+                for size, keys in self.short[short].items():
+                    if size <= n:
+                        covered = max(covered, size)
+                        found |= keys
+                short = self.nearest[self.link[short]]
             if covered:
                 start = i - covered
                 while spans and spans[-1][1] >= start:
@@ -195,7 +201,9 @@ def decontaminate(
         found = _pass(docs, chosen, window, fields, carry)
     else:
         # number the rows, so that what the passes found meets again row by row
-        numbered, _ = materialize(docs.withColumn("_n", F.monotonically_increasing_id()), "decontaminate")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)
+        rows = docs.select("doc_id", "text", *([row] if carry else []), F.monotonically_increasing_id().alias("_n"))
+        numbered, _ = materialize(rows, "decontaminate")
         keys = numbered.select(F.col("_n").alias("doc_id"), "text")
         parts = []
         for shard in range(shards):
@@ -209,9 +217,7 @@ def decontaminate(
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         ).withColumn("spans", _merged("spans"))
-        found = numbered.select(
-            F.col("_n"), "doc_id", *([F.struct(*docs.columns).alias(ROW)] if carry else [])
-        ).join(merged.withColumnRenamed("doc_id", "_m"), F.col("_n") == F.col("_m")).drop("_n", "_m")
+        found = numbered.drop("text").join(merged.withColumnRenamed("doc_id", "_m"), F.col("_n") == F.col("_m")).drop("_n", "_m")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.withColumn("n_hit", hit).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share[1] >= F.col("n_words") * share[0])

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from corpuswarden.llm.decontaminate import Automaton, decontaminate, without_spans, words_of
 
@@ -52,6 +53,22 @@ def test_edge_cases(spark, docs, frame, clashing):
     assert not any(r["n_hit"] for r in decontaminate(docs(*texts), items.limit(0)).collect())
 
 
+def test_repetitive_items_take_time_in_proportion():
+    item = "ab " * 100_000
+    began = time.process_time()
+    automaton = Automaton([("1", item), *[(str(k), "ab ab") for k in range(2, 5_000)], ("x", "cd " * 12 + "ef")], 13)
+    spans, found = automaton.scan(words_of(item + "cd " * 30 + "ab"))
+    assert spans == [[0, 100_000]] and len(found) == 4_999 and time.process_time() - began < 30
+
+
+def test_columns_come_through_several_passes(frame, clashing):
+    passage = " ".join(f"w{i}" for i in range(20))
+    made = clashing(passage, "clean", None)
+    out = without_spans(made, frame(ITEMS, (1, passage), (2, " ".join(f"v{i}" for i in range(20)))), shard_chars=60)
+    assert out.columns == made.columns
+    assert sorted((r["doc_id"], r["text"], r["_n"], r["a.b"]) for r in out.collect()) == [(0, "", 7, 10), (1, "clean", 7, 10), (2, None, 7, 10)]
+
+
 def test_passages_are_cut_out(docs, frame):
     passage = " ".join(f"w{i}" for i in range(20))
     made = docs(f"Before, {passage}! After", "clean Text", None, "y " * 1_000 + passage)
