@@ -349,7 +349,7 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80
     Other columns are ignored; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    bands = Bands(*threshold)
+    docs, bands = docs.select("doc_id", "text"), Bands(*threshold)
     profiles, _ = materialize(_profiles(docs, words, bands), "ngram-join")
     members, _ = materialize(_members(_tiles(docs, words, bands)), "ngram-join")
     pairs = members.where(F.col("id") != F.col("first")).select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
