@@ -40,8 +40,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of smallest id; documents without id stay."""
     prepare(spark)
-    lead = ngram_join(docs, WORDS, THRESHOLD).where("doc_id = component_id").select(F.col("doc_id").alias("_lead")).distinct()
-    first = docs.join(lead, F.col("doc_id") == F.col("_lead"), "left_semi")
+    lead = ngram_join(docs, WORDS, THRESHOLD).where("doc_id = component_id").select("doc_id").distinct()
+    first = docs.join(lead, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return first.unionByName(docs.where("doc_id IS NULL"))
 
 
