@@ -100,3 +100,12 @@ def test_random_tokens_are_told_from_words(spark, clashing):
 
 def test_empty_table(docs):
     assert find_secrets(docs("x").limit(0)).count() == 0
+
+
+def test_query_runs_without_python_workers(spark, tmp_path):
+    from corpuswarden.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "token = abcdef0123")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = QUERIES["op1_secrets"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    for node in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"):
+        assert node not in plan
