@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuswarden.operators.ledger import ledger_dataset
 from corpuswarden.plans import sweeps
 from corpuswarden.plans.registry import Tables, query
 
@@ -51,3 +52,22 @@ def note_tree(t: Tables):
 def _docs_audit(t: Tables):
     files, pictures = note_tree(t)
     return sweeps.docs_sweep(files, catalog=pictures).select("check", "severity", "key", "detail")
+
+
+@query(
+    "parity_audit",
+    """WITH k AS (SELECT CAST(l_suppkey AS VARCHAR) AS pair, CAST(l_partkey AS VARCHAR) AS key, * FROM lineitem),
+    f AS (SELECT pair, key, bool_or(l_linestatus = 'O') AS a, bool_or(l_linestatus = 'F') AS b, bool_or(l_quantity < 6) AS hidden, bool_or(l_discount > 0.09) AS static,
+            min(CASE WHEN l_tax > 0.06 THEN CASE WHEN l_returnflag = 'A' THEN 'pending' ELSE 'na' END END) AS s FROM k GROUP BY 1, 2),
+    c AS (SELECT pair, CASE WHEN NOT a OR b THEN NULL WHEN hidden THEN 'hidden' WHEN static THEN 'static_equiv' WHEN s = 'pending' THEN 'pending' WHEN s IS NOT NULL THEN 'triaged' ELSE 'untriaged' END AS class FROM f),
+    n AS (SELECT pair, count(*) FILTER (WHERE class = 'untriaged') AS n_untriaged, count(*) FILTER (WHERE class = 'pending') AS n_pending, count(*) FILTER (WHERE class = 'triaged') AS n_triaged,
+            count(*) FILTER (WHERE class = 'hidden') AS n_hidden, count(*) FILTER (WHERE class = 'static_equiv') AS n_static_equiv FROM c GROUP BY 1)
+    SELECT *, CASE WHEN n_untriaged > 0 THEN 'GAP' WHEN n_pending > 0 THEN 'open' ELSE 'OK' END AS status FROM n""",
+)
+def _parity_audit(t: Tables):
+    """Open and final items as two sides of a supplier's panel, some entered in a ledger."""
+    rows = t.lineitem.select("*", F.col("l_suppkey").cast("string").alias("pair"), F.col("l_partkey").cast("string").alias("key"))
+    part = lambda cond: rows.where(cond).select("pair", "key")
+    listed = rows.where("l_tax > 0.06").select("pair", "key", F.when(F.col("l_returnflag") == "A", "pending").otherwise("na").alias("status"))
+    book = ledger_dataset({"controls": listed})
+    return sweeps.parity_sweep(part("l_linestatus = 'O'"), part("l_linestatus = 'F'"), part("l_quantity < 6"), part("l_discount > 0.09"), book)
