@@ -70,3 +70,16 @@ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   CAST(coalesce(c, 0) AS BIGINT) AS cost, coalesce(a, '') AS audit, sha256(coalesce(o[2:], '')) AS repaired_sha256
 FROM every e LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+NGRAM_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + least(4, len(w))], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - least(4, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a, b FROM both_ways UNION SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a),
+least_of AS (SELECT a, min(b) AS m FROM reached GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least_of ON a = d.doc_id
+"""

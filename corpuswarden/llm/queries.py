@@ -10,7 +10,7 @@ from corpuswarden.llm.decontaminate import decontaminate
 from corpuswarden.llm.fingerprints import fingerprint_pairs
 from corpuswarden.llm.license_scan import scan_licenses
 from corpuswarden.llm.ngram_join import ngram_join
-from corpuswarden.llm.oracles import CONVERSATIONS_SQL, SPELLING_SQL
+from corpuswarden.llm.oracles import CONVERSATIONS_SQL, NGRAM_SQL, SPELLING_SQL
 from corpuswarden.llm.packing import pack
 from corpuswarden.llm.pii import BASE, find_pii
 from corpuswarden.llm.registry import ORACLE, QUERIES, Tables, query
@@ -90,7 +90,7 @@ def op4(t: Tables):
     )
 
 
-@query("op5_ngram_join")
+@query("op5_ngram_join", NGRAM_SQL)
 def op5(t: Tables):
     return ngram_join(t.documents, words=4, threshold=(85, 100))
 
