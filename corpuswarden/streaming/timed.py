@@ -95,16 +95,17 @@ def upserted(updates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def receipt_state(events: DataFrame, key: str, check: str, ts: str, watermark: str, keep: timedelta) -> DataFrame:
-    """Latest time per (key, check) in keyed state, let go by a timer once the watermark is
-    ``keep`` past it: an update stream of ``latest`` and ``expired``.
+    """Latest time per (key, check), let go by a timer once the watermark is ``keep`` past it:
+    an update stream of ``latest`` and ``expired``.
 
-    Each task sends the latest time of a pair only, so a hot pair is a few rows per batch."""
+    The state of a key holds its checks that are not let go yet. Each task sends the
+    latest time of a pair only, so a hot pair is a few rows per batch."""
     fields = [events.schema[key], events.schema[check]]
     newest = events.select(key, check, ts).mapInArrow(partial(_newest, keys=[key, check], ts=ts), StructType([*fields, events.schema[ts]]))
     out = StructType([*fields, StructField("latest", TimestampType()), StructField("expired", BooleanType())])
-    state = StructType([StructField("latest_us", LongType())])
-    grouped = newest.withWatermark(ts, watermark).groupBy(key, check)
-    update = partial(_receipt, ts=ts, keep_us=keep // timedelta(microseconds=1), names=out.names)
+    state = StructType([StructField("checks", ArrayType(fields[1].dataType)), StructField("latest", ArrayType(LongType()))])
+    grouped = newest.withWatermark(ts, watermark).groupBy(key)
+    update = partial(_receipts, check=check, ts=ts, keep_us=keep // timedelta(microseconds=1), names=out.names)
     return grouped.applyInPandasWithState(update, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -120,19 +121,29 @@ def _micros(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64")
 
 
-def _receipt(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ts: str, keep_us: int, names: list[str]) -> Iterator[pd.DataFrame]:
-    latest, = state.get if state.exists else (None,)
+def _receipts(
+    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, check: str, ts: str, keep_us: int, names: list[str]
+) -> Iterator[pd.DataFrame]:
+    held = dict(zip(*state.get)) if state.exists else {}
+    newer: dict = {}
     if not state.hasTimedOut:
-        seen = [int(_micros(f[ts]).max()) for f in frames if len(f)]
-        latest = max([x for x in (latest, *seen) if x is not None])
-    expires = (latest + keep_us) // 1000
-    if gone := state.hasTimedOut or expires <= state.getCurrentWatermarkMs():
-        if state.exists:
-            state.remove()
-    else:
-        state.update((latest,))
-        state.setTimeoutTimestamp(expires)
-    yield pd.DataFrame([(*key, pd.Timestamp(latest, unit="us"), gone)], columns=names)
+        for f in frames:
+            for name, at in zip(f[check].tolist(), _micros(f[ts]).tolist()):
+                known = newer.get(name, held.get(name))
+                if known is None or at > known:
+                    newer[name] = at
+    mark = state.getCurrentWatermarkMs()
+    ends = lambda at: (at + keep_us) // 1000
+    now = held | newer
+    left = {name: at for name, at in now.items() if ends(at) >= mark}
+    if left:
+        state.update((list(left), list(left.values())))
+        state.setTimeoutTimestamp(max(min(map(ends, left.values())), mark + 1))
+    elif state.exists:
+        state.remove()
+    rows = [(*key, name, pd.Timestamp(at, unit="us"), name not in left) for name, at in now.items() if name in newer or name not in left]
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def receipt_verdict(required: DataFrame, receipts: DataFrame, key: str, check: str, as_of: Column, valid: str) -> DataFrame:
