@@ -14,6 +14,7 @@ from corpuswarden.functions import paths
 from corpuswarden.functions.ordered import running_last, running_sum
 from corpuswarden.functions.rows import each, each_numbered, each_struct
 from corpuswarden.functions.text import NOT_BLANK, requirement_name, split_lines
+from corpuswarden.session import materialize
 
 SYMBOL = T.StructType(
     [
@@ -440,7 +441,8 @@ def aliased_call_scan(
     Imports, calls, keywords and scopes are rows of their own that meet in
     equi-joins; a statement may go over several lines."""
     unless = unless or {}
-    code = logical_lines(lines, keys)
+    # read five times below: imports, calls, keywords, definitions and bounds of scopes
+    code, _ = materialize(logical_lines(lines, keys), "source-lines")
     known = import_scan(code, keys, module).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("alias").alias("_alias"), F.col("function").alias("_function"))
     calls = call_scan(code, keys)
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
