@@ -7,8 +7,10 @@ hash into more parts than that, so two linked documents have at least one
 non-empty part in common. A tile is a band, a part number and that part's
 content. Since a part holds several shingles, passages that many documents share
 do not crowd a tile; copies and near copies do, and there each document is
-compared with the first one of its tile, and later only with documents that
-are not yet in its component.
+compared with the first one of its tile. What then stays apart in a tile is
+compared across its components twice: first one likely pair for each component
+that may be taken in, then, where bitmaps still leave pairs open, by the sets
+themselves within the tile. Either way fewer pairs leave a tile than it has rows.
 
 Each set also has a bitmap: one bit per hash class, set if the class holds an odd
 number of shingles. Every differing shingle flips one bit, so the bits in which
@@ -34,6 +36,8 @@ from corpuswarden.session import materialize
 CROWD = 8
 #: Rows of a tile that are compared at once; larger tiles are cut in blocks of about this size.
 TILE_ROWS = 2_048
+#: Shingles of the rows that are compared at once, so that their sets take some 32 MB.
+TILE_SHINGLES = 1 << 22
 
 
 class Bands:
@@ -258,66 +262,149 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, bands: Bands) -> DataF
 def _verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     left, _ = materialize(_open_pairs(pairs, profiles, bands), "ngram-join")
     exact = _exact(left.where("NOT equal").select("a", "b"), docs, words, bands)
-    links, _ = materialize(left.where("equal").select("a", "b").union(exact), "ngram-join")
-    return links
+    return left.where("equal").select("a", "b").union(exact)
 
 
-def _across(members: DataFrame, found: DataFrame, profiles: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of one tile but different components that sizes and bitmaps leave open.
+def _copies(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with equal sets: links ``a``, ``b`` of each with the one of smallest id, and those
+    smallest ones, ``lead``, with the size of their set."""
+    same = profiles.where("n_shingles > 0").groupBy("n_shingles", "content").agg(F.min("doc_id").alias("lead"))
+    same, _ = materialize(same, "ngram-join")
+    every = profiles.join(same.withColumnsRenamed({"n_shingles": "_n", "content": "_c"}), (F.col("n_shingles") == F.col("_n")) & (F.col("content") == F.col("_c")))
+    return every.where(F.col("doc_id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), same.groupBy("lead").agg(F.max("n_shingles").alias("size"))
 
-    Only tiles with several components are looked at. A large one is cut in
-    blocks by hash, and each two blocks meet in a task of their own."""
-    kind = members.schema["id"].dataType
-    mem = members.select("tile", "id").distinct()
-    mem = mem.join(found, F.col("id") == F.col("node"), "left").select("tile", "id", F.coalesce("component", "id").alias("c"))
-    torn = mem.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+
+def _torn(members: DataFrame, leads: DataFrame, found: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Rows of tiles that hold several components, with their sizes and bitmaps, cut in blocks.
+
+    Only the ``leads`` of equal sets are looked at. Rows of one tile meet in blocks of
+    bounded rows and bytes, each two blocks under a key of their own (``tile``, ``low``, ``high``)."""
+    nodes = leads.join(found, F.col("lead") == F.col("node"), "left").select("lead", "size", F.coalesce("component", "lead").alias("c"))
+    mem = members.select("tile", "id").join(nodes, F.col("id") == F.col("lead")).select("tile", "id", "c", F.col("size").alias("_size"))
+    torn = mem.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum("_size").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("n") / TILE_ROWS, F.col("total") / TILE_SHINGLES)).cast("int")
     # of two documents in a tile one is the first, and they have been compared
-    torn = torn.where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select(
-        F.col("tile").alias("_tile"), F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("blocks")
-    )
+    torn = torn.where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select(F.col("tile").alias("_tile"), blocks.alias("blocks"))
     rows = mem.join(torn, F.col("tile") == F.col("_tile"))
     rows = rows.join(profiles.select("doc_id", "n_shingles", "bitmap"), F.col("id") == F.col("doc_id"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "c", "n_shingles", "bitmap")
-    out = StructType([StructField("a", kind), StructField("b", kind)])
-
-    def compare(rows: list[tuple]) -> list[tuple]:
-        """Open pairs among the rows of a tile, between its two blocks."""
-        _, low, high = rows[0][:3]
-        rows = sorted(rows, key=lambda r: r[6])
-        sizes, width = np.array([r[6] for r in rows]), min(len(r[7]) for r in rows)
-        maps = np.array([_folded(r[7], width) for r in rows])
-        blocks, comps, pairs = np.array([r[3] for r in rows]), np.unique([r[5] for r in rows], return_inverse=True)[1], []
-        for i in range(len(rows)):
-            # larger ones within the ratio
-            end = int(np.searchsorted(sizes, sizes[i] * bands.den // bands.num, side="right"))
-            j = np.arange(i + 1, end)
-            j = j[(comps[j] != comps[i]) & ((blocks[j] != blocks[i]) if low != high else True)]
-            if len(j):
-                differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                total = sizes[i] + sizes[j]
-                common = (total - differ) // 2
-                pairs += [(rows[i][4], rows[k][4]) for k in j[bands.den * common >= bands.num * (total - common)]]
+    return rows.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "c", "n_shingles", "bitmap")
+
+
+class Tile:
+    """Rows of a tile that are compared at once: those of one block, or of two blocks with each other."""
+
+    def __init__(self, rows: list[tuple], bands: Bands):
+        self.rows, self.bands = sorted(rows, key=lambda r: r[6]), bands
+        self.size = np.array([r[6] for r in self.rows])
+        width = min(len(r[7]) for r in rows)
+        self.maps = np.array([_folded(r[7], width) for r in self.rows])
+        self.block = np.array([r[3] for r in self.rows])
+        self.two = rows[0][1] != rows[0][2]
+        self.label = np.unique([r[5] for r in self.rows], return_inverse=True)[1]
+
+    def open(self, i: int) -> np.ndarray:
+        """Larger rows of other components that sizes and bitmaps leave open, the likeliest first."""
+        end = int(np.searchsorted(self.size, self.size[i] * self.bands.den // self.bands.num, side="right"))
+        j = np.arange(i + 1, end)
+        j = j[(self.label[j] != self.label[i]) & ((self.block[j] != self.block[i]) if self.two else True)]
+        if not len(j):
+            return j
+        differ = np.bitwise_count(self.maps[j] ^ self.maps[i]).sum(axis=1, dtype=np.int64)
+        total = self.size[i] + self.size[j]
+        common = (total - differ) // 2
+        some = self.bands.den * common >= self.bands.num * (total - common)
+        return j[some][np.argsort(differ[some] / total[some], kind="stable")]
+
+    def merge(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
+
+    def candidates(self) -> list[tuple]:
+        """One open pair for each component that a component may take in: fewer than there are rows."""
+        pairs = []
+        for i in range(len(self.rows)):
+            near = self.open(i)
+            while len(near):
+                pairs.append((self.rows[i][4], self.rows[near[0]][4]))
+                self.merge(i, near[0])
+                near = near[self.label[near] != self.label[i]]
         return pairs
 
+    def undecided(self) -> list[tuple]:
+        """Rows with an open pair."""
+        seen = np.zeros(len(self.rows), bool)
+        for i in range(len(self.rows)):
+            near = self.open(i)
+            seen[near] = True
+            seen[i] |= len(near) > 0
+        return [self.rows[i] for i in np.flatnonzero(seen)]
+
+    def links(self) -> list[tuple]:
+        """Pairs that do link, by their sorted sets, as many as join all components that are linked here."""
+        pairs, sets = [], {}
+        hashes = lambda i: sets.setdefault(i, np.frombuffer(self.rows[i][8], np.uint64))
+        for i in range(len(self.rows)):
+            near = self.open(i)
+            while len(near):
+                j, near = near[0], near[1:]
+                common = len(np.intersect1d(hashes(i), hashes(j), assume_unique=True))
+                if self.bands.linked(common, int(self.size[i]), int(self.size[j])):
+                    pairs.append((self.rows[i][4], self.rows[j][4]))
+                    self.merge(i, j)
+                    near = near[self.label[near] != self.label[i]]
+        return pairs
+
+
+def _by_tile(rows: DataFrame, bands: Bands, step: Callable[[Tile], list[tuple]], out: StructType) -> DataFrame:
+    """What ``step`` makes of the rows of each tile and pair of blocks."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in out.fields]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        result = step(Tile(rows, bands)) if rows else []
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in result], t) for k, t in enumerate(kinds)], out.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            pairs = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if held and held[0][:3] != row[:3]:
-                    pairs += compare(held)
+                    yield made(held)
                     held = []
                 held.append(row)
-            yield _pairs(pairs, out)
-        if held:
-            yield _pairs(compare(held), out)
+        yield made(held)
+
+    dealt = rows.repartition(shuffle_parts(rows.sparkSession), "tile", "low", "high").sortWithinPartitions("tile", "low", "high")
+    return dealt.mapInArrow(run, out)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    parts = shuffle_parts(members.sparkSession)
-    dealt = rows.repartition(parts, "tile", "low", "high").sortWithinPartitions("tile", "low", "high")
-    ordered = dealt.mapInArrow(run, out)
-    return ordered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _likely(torn: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs that would join the components of a tile if they link, as far as sizes and bitmaps tell."""
+    kind = torn.schema["id"].dataType
+    return _ordered(_by_tile(torn, bands, Tile.candidates, StructType([StructField("a", kind), StructField("b", kind)])))
+
+
+def _remaining(torn: DataFrame, docs: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """Links among all that is still open, decided by the sets themselves within the tiles."""
+    kind = torn.schema["id"].dataType
+    rows, n = materialize(_by_tile(torn, bands, Tile.undecided, torn.schema), "ngram-join")
+    if not n:
+        return docs.sparkSession.createDataFrame([], StructType([StructField("a", kind), StructField("b", kind)]))
+    ids = rows.select(F.col("id").alias("_id")).distinct()
+    texts = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
+
+    def make() -> Callable[[list[str]], list]:
+        return lambda texts: [[shingle_set(t, words).tobytes() for t in texts]]
+
+    sets = map_texts(texts, make, [StructField("hashes", BinaryType())])
+    rows = rows.join(sets, F.col("id") == F.col("doc_id")).where(F.length("hashes") == 8 * F.col("n_shingles")).drop("doc_id")
+    return _ordered(_by_tile(rows, bands, Tile.links, StructType([StructField("a", kind), StructField("b", kind)])))
 
 
 def _folded(raw: bytes, width: int) -> np.ndarray:
@@ -327,13 +414,6 @@ def _folded(raw: bytes, width: int) -> np.ndarray:
     return x.view("<u8")
 
 
-def _pairs(pairs: list[tuple], out: StructType) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(out["a"].dataType)
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], out.names)
-
-
 def ngram_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """Groups of documents linked by the Jaccard likeness of their word shingles, exactly.
 
@@ -354,14 +434,21 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80
     members, _ = materialize(_members(_tiles(docs, words, bands)), "ngram-join")
     pairs = members.where(F.col("id") != F.col("first")).select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
     pairs, _ = materialize(pairs, "ngram-join")
-    links = _verified(pairs, profiles, docs, words, bands)
+    copies, leads = _copies(profiles)
+    leads, _ = materialize(leads, "ngram-join")
+    links, _ = materialize(_verified(pairs, profiles, docs, words, bands).union(copies), "ngram-join")
     found, _ = materialize(components(links, "a", "b"), "ngram-join")
-    across = _across(members, found, profiles, bands)
-    tried = pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    more, n = materialize(across.join(tried, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "ngram-join")
+    torn, n = materialize(_torn(members, leads, found, profiles), "ngram-join")
     if n:
-        links = links.union(_verified(more, profiles, docs, words, bands))
+        likely, _ = materialize(_likely(torn, bands), "ngram-join")
+        more, _ = materialize(_verified(likely, profiles, docs, words, bands), "ngram-join")
+        links = links.union(more)
         found, _ = materialize(components(links, "a", "b"), "ngram-join")
+        still = torn.where((F.col("block") == F.col("low")) & (F.col("block") == F.col("high"))).select("tile", "id")
+        torn, _ = materialize(_torn(still, leads, found, profiles), "ngram-join")
+        last, n = materialize(_remaining(torn, docs, words, bands), "ngram-join")
+        if n:
+            found, _ = materialize(components(links.union(last), "a", "b"), "ngram-join")
     return profiles.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -85,6 +85,35 @@ def test_components_equal_brute_force(spark, docs, monkeypatch, seed, crowd, til
     assert got == {i: (sizes[i], expected[i]) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("num, den, k", [(85, 100, 4), (1, 2, 2)])
+def test_short_texts_that_share_passages(spark, docs, monkeypatch, num, den, k):
+    """Most tiles hold unlike texts, and copies meet others first."""
+    monkeypatch.setattr(nj, "CROWD", 3)
+    monkeypatch.setattr(nj, "TILE_ROWS", 4)
+    rng = random.Random(k)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(250)]
+    texts += rng.choices(texts, k=60)
+    sizes, expected = brute(texts, k, num, den)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.ngram_join(docs(*texts).repartition(5), k, (num, den)).collect()}
+    assert got == {i: (sizes[i], expected[i]) for i in range(len(texts))}
+
+
+def test_few_pairs_leave_a_crowded_tile():
+    """Rows that share a tile and differ by about what is allowed: no more pairs than rows, and all groups joined."""
+    rng, bands = np.random.default_rng(5), nj.Bands(85, 100)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:90], rng.choice(base[90:], 4, False), rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)])) for _ in range(120)]
+    rows = [(1, 0, 0, 0, i, i, len(s), bands.bitmap(s), s.tobytes()) for i, s in enumerate(sets)]
+    real = [(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if bands.linked(len(np.intersect1d(x, y)), len(x), len(y))]
+    assert len(real) > len(rows)
+    assert len(nj.Tile(rows, bands).candidates()) < len(rows)
+    links = nj.Tile(rows, bands).links()
+    assert len(links) < len(rows)
+    assert closure(range(len(sets)), links) == closure(range(len(sets)), real)
+    kept = {r[4] for r in nj.Tile(rows, bands).undecided()}
+    assert {n for pair in real for n in pair} <= kept
+
+
 def test_repeated_null_and_clashing(spark):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(4, long, 1, "x"), (4, "else", 1, "x"), (2, long + " y", 1, "x"), (9, "else", 1, "x"), (None, long, 1, "x"), (7, None, 1, "x")]
