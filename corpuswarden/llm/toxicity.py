@@ -30,6 +30,8 @@ TERMS = 4_000
 #: Least chi-squared value of a kept term (one in a thousand by chance).
 LEAST_CHI = 10.83
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks visited in the first pass; the second takes all that it leaves open.
+FIRST = 8
 #: Sizes of word beginnings that are terms too, for words that vary in their ends.
 PREFIXES = (4, 5, 6)
 
@@ -67,25 +69,34 @@ class ToxicityModel:
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine, exactly, and the cosines; only those above 0.
 
-        Blocks are visited from the greatest bound down, until no bound exceeds
-        the k-th best cosine so far. Equal cosines go by place in the index."""
+        Blocks are visited from the greatest bound down: FIRST of them, then
+        all others whose bound reaches the k-th best cosine so far. Equal cosines go by place in the index."""
         found, value = np.empty(0, np.int64), np.empty(0)
         if not len(at) or not len(self.label):
             return found, value
         limit = weight @ self.bound[at]
         order = np.argsort(-limit, kind="stable")
-        least, step, i = 0.0, 4, 0
-        while i < len(order) and limit[order[i]] > 0 and limit[order[i]] + 1e-9 >= least:
-            visit = order[i : i + step]
-            i, step = i + step, step * 2
-            low, high = self.blocks[at][:, visit].ravel(), self.blocks[at][:, visit + 1].ravel()
-            size = high - low
-            place = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            part = np.repeat(np.repeat(weight, len(visit)), size) * self.weight[place]
-            near, inverse = np.unique(self.document[place], return_inverse=True)
-            cosine = np.bincount(inverse, weights=part, minlength=len(near))
-            keep = near != without
-            found, value = np.concatenate([found, near[keep]]), np.concatenate([value, cosine[keep]])
+        ranked, edges = -limit[order], self.blocks[at]
+        least, i = 0.0, 0
+        for step in (FIRST, len(order)):
+            # bounds above 0 that reach the k-th best
+            end = min(np.searchsorted(ranked, 0.0, side="left"), np.searchsorted(ranked, 1e-9 - least, side="right"), i + step)
+            if end <= i:
+                break
+            visit, i = order[i:end], end
+            low = edges[:, visit]
+            size = (edges[:, visit + 1] - low).ravel()
+            ends = np.cumsum(size)
+            place = np.repeat(low.ravel() - ends + size, size) + np.arange(ends[-1])
+            part = np.repeat(weight, size.reshape(low.shape).sum(axis=1)) * self.weight[place]
+            cosine = np.bincount(self.document[place], weights=part, minlength=len(self.label))
+            if without >= 0:
+                cosine[without] = 0.0
+            near = np.flatnonzero(cosine >= least - 1e-9) if least else np.flatnonzero(cosine)
+            found, value = np.concatenate([found, near]), np.concatenate([value, cosine[near]])
+            if len(value) > k:
+                enough = value >= np.partition(value, len(value) - k)[len(value) - k] - 1e-9
+                found, value = found[enough], value[enough]
             best = np.lexsort((found, -np.round(value, 12)))[:k]
             found, value = found[best], value[best]
             least = value[-1] if len(value) == k else 0.0
