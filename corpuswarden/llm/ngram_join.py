@@ -266,12 +266,24 @@ def _verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, words: int
 
 
 def _copies(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with equal sets: links ``a``, ``b`` of each with the one of smallest id, and those
-    smallest ones, ``lead``, with the size of their set."""
+    """``doc_id`` and ``lead``, the smallest id with an equal set, of all documents with shingles, and
+    those ``lead`` with the ``size`` of their set."""
     same = profiles.where("n_shingles > 0").groupBy("n_shingles", "content").agg(F.min("doc_id").alias("lead"))
     same, _ = materialize(same, "ngram-join")
     every = profiles.join(same.withColumnsRenamed({"n_shingles": "_n", "content": "_c"}), (F.col("n_shingles") == F.col("_n")) & (F.col("content") == F.col("_c")))
-    return every.where(F.col("doc_id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), same.groupBy("lead").agg(F.max("n_shingles").alias("size"))
+    every, _ = materialize(every.select("doc_id", "lead"), "ngram-join")
+    return every, same.groupBy("lead").agg(F.max("n_shingles").alias("size"))
+
+
+def _between_leads(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The pairs with each document replaced by one it is linked with as a copy, so that pairs of
+    groups of copies are decided once."""
+    # a repeated id has several sets, and the pair may be of any of them
+    once = copies.groupBy("doc_id").agg(F.min("lead").alias("lead"), F.count("*").alias("times")).where("times = 1 AND lead != doc_id")
+    for end in ("a", "b"):
+        side = once.select(F.col("doc_id").alias(f"_{end}"), F.col("lead").alias(f"_lead_{end}"))
+        pairs = pairs.join(side, F.col(end) == F.col(f"_{end}"), "left")
+    return _ordered(pairs.select(F.coalesce("_lead_a", "a").alias("a"), F.coalesce("_lead_b", "b").alias("b"))).where("a != b")
 
 
 def _torn(members: DataFrame, leads: DataFrame, found: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -433,10 +445,11 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80
     profiles, _ = materialize(_profiles(docs, words, bands), "ngram-join")
     members, _ = materialize(_members(_tiles(docs, words, bands)), "ngram-join")
     pairs = members.where(F.col("id") != F.col("first")).select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
-    pairs, _ = materialize(pairs, "ngram-join")
     copies, leads = _copies(profiles)
     leads, _ = materialize(leads, "ngram-join")
-    links, _ = materialize(_verified(pairs, profiles, docs, words, bands).union(copies), "ngram-join")
+    pairs, _ = materialize(_between_leads(pairs, copies), "ngram-join")
+    equal = copies.where(F.col("doc_id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    links, _ = materialize(_verified(pairs, profiles, docs, words, bands).union(equal), "ngram-join")
     found, _ = materialize(components(links, "a", "b"), "ngram-join")
     torn, n = materialize(_torn(members, leads, found, profiles), "ngram-join")
     if n:
