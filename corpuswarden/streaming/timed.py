@@ -26,8 +26,11 @@ from corpuswarden.session import apply_runtime, fresh_path
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema: StructType) -> DataFrame:
-    """Stream of the parquet files in a folder, new files as they arrive."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    """Stream of the parquet files in a folder, new files as they arrive.
+
+    What the pattern matches may itself be a folder, a table written in parts: then its files count."""
+    # in braces any name is a pattern: Spark takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{glob}}}")
 
 
 def run_once(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:

@@ -40,6 +40,18 @@ def test_new_files_are_audited_by_all_rules_once(spark, frame, rows):
     assert rows(timed.audit_once(stream, rules, "id", out)) == both
 
 
+def test_a_table_in_parts_is_streamed_as_one_file_is(spark, frame, rows):
+    folder = fresh_path(spark, "in")
+    data = [("a", i, at(i), "completed", "ok") for i in range(6)]
+    frame(SCHEMA, *data).repartition(3).write.parquet(folder + "/parts.parquet")
+    frame(SCHEMA, ("b", 9, at(9), "completed", "ok")).coalesce(1).write.parquet(folder + "/other.parquet")
+    stream = timed.file_stream(spark, folder, "parts.parquet", frame(SCHEMA, *data).schema)
+    assert rows(timed.run_once(stream, "append"), "id") == [(i,) for i in range(6)]
+    (file,) = [f for f in spark.read.parquet(folder + "/other.parquet").inputFiles()]
+    stream = timed.file_stream(spark, *file.rsplit("/", 1), frame(SCHEMA, *data).schema)
+    assert rows(timed.run_once(stream, "append"), "id") == [(9,)]
+
+
 def test_receipts_expire_by_timer(spark, frame, rows):
     folder, path = fresh_path(spark, "in"), fresh_path(spark, "state")
     day = 24 * 60
