@@ -44,18 +44,13 @@ def with_folders(path: Column) -> Column:
 
 def fold_path(path: Column) -> Column:
     """Path with ``.`` and ``..`` segments folded, null once it climbs above the root."""
-    empty = F.array().cast("array<string>")
 
+    # what is folded so far is one string, each segment behind a slash; null stays null
     def step(acc: Column, seg: Column) -> Column:
-        return (
-            F.when(acc.isNull() | seg.isin("", "."), acc)
-            .when((seg == ESCAPED) & (F.size(acc) == 0), F.lit(None).cast("array<string>"))
-            .when(seg == ESCAPED, F.slice(acc, F.lit(1), F.size(acc) - 1))
-            .otherwise(F.concat(acc, F.array(seg)))
-        )
-
-    folded = F.aggregate(F.split(path, "/"), empty, step)
-    return F.when(folded.isNotNull(), F.array_join(folded, "/"))
+        above = F.left(acc, F.char_length(acc) - F.char_length(base_name(acc)) - 1)
+        return F.when((seg == "") | (seg == "."), acc).when(seg == ESCAPED, F.when(acc != "", above)).otherwise(F.concat(acc, F.lit("/"), seg))
+
+    return F.substring(F.aggregate(F.split(path, "/"), F.lit(""), step), 2, 2**31 - 1)
 
 
 def flat_key(path: Column) -> Column:

@@ -93,7 +93,7 @@ def _line_ref_range(t: Tables):
         F.lit("Item "), k.cast("string"), F.lit(" of [x](https://a.b/c.py#L1): [part]("), up, (part % 7).cast("string"), F.lit("/d"), part.cast("string"),
         F.lit(".py#L"), q.cast("string"), F.when(k % 2 == 0, F.concat(F.lit("-L"), (q + k).cast("string"))).otherwise(""), F.lit(") end"),
     )
-    notes = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("line")))).alias("l"))
+    notes = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("line")))).alias("l"))
     notes = notes.select(F.concat(F.lit("lib/notes/o"), F.col("l_orderkey").cast("string"), F.lit(".md")).alias("doc"), F.array_join(F.col("l.line"), "\n").alias("text"))
     key = F.col("doc_id")
     files = t.documents.select(F.concat(F.lit("lib/m"), (key % 7).cast("string"), F.lit("/d"), key.cast("string"), F.lit(".py")).alias("doc"), "text")

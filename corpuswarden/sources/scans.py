@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from corpuswarden.functions import paths
 from corpuswarden.functions.ordered import running_last, running_sum
 from corpuswarden.functions.rows import each, each_numbered, each_struct
-from corpuswarden.functions.text import NOT_BLANK, requirement_name, split_lines
+from corpuswarden.functions.text import NOT_BLANK, requirement_name, split_lines, unify_newlines
 from corpuswarden.session import materialize
 
 SYMBOL = T.StructType(
@@ -101,7 +101,13 @@ def line_scan(df: DataFrame, text: str, keep: list[str], mode: str) -> DataFrame
 
 
 def line_count(text: Column, mode: str) -> Column:
-    return F.size(split_lines(text, mode)).cast("long")
+    """Number of lines; those of a text file are counted by their ends, not taken apart."""
+    if mode != "file":
+        return F.size(split_lines(text, mode)).cast("long")
+    body = unify_newlines(text)
+    ends = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit("")))
+    tail = F.when(text.endswith("\n") | text.endswith("\r") | (text == ""), 0).otherwise(1)
+    return F.when(text.isNotNull(), ends + tail).cast("long")
 
 
 def registry_scan(df: DataFrame, payload: str) -> DataFrame:
@@ -324,8 +330,8 @@ DEFINITION = r"^\s*(?:async\s+)?def\s+(\w+)"
 
 def _number(digits: Column) -> Column:
     """A line number; of more than 18 digits, 10**18, which no text reaches."""
-    bare = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.when(F.char_length(bare) > 18, F.lit(10**18)).otherwise(F.substring(bare, 1, 18).cast("long"))
+    bare = F.ltrim(digits, F.lit("0"))
+    return F.when(F.char_length(bare) > 18, F.lit(10**18)).otherwise(F.concat(F.lit("0"), F.substring(bare, 1, 18)).cast("long"))
 
 
 def line_reference_scan(lines: DataFrame, doc: str) -> DataFrame:
@@ -335,7 +341,8 @@ def line_reference_scan(lines: DataFrame, doc: str) -> DataFrame:
 
     Addresses of other hosts, absolute paths and paths that climb above the root
     are no references into the corpus."""
-    found = F.regexp_extract_all("line", F.lit(LINE_REFERENCE), F.lit(0))
+    # what a generator takes apart is a column below it: its own expressions are interpreted row by row
+    found = lines.where(F.contains("line", F.lit(".py#L"))).select(doc, "line_no", "line", F.regexp_extract_all("line", F.lit(LINE_REFERENCE), F.lit(0)).alias("_found"))
     start = F.struct(F.array().cast("array<struct<reference:string,offset:int>>").alias("out"), F.lit(1).alias("at"))
 
     def step(acc: Column, text: Column) -> Column:
@@ -344,20 +351,25 @@ def line_reference_scan(lines: DataFrame, doc: str) -> DataFrame:
         hit = F.array(F.struct(text.alias("reference"), at.alias("offset")))
         return F.struct(F.concat(acc["out"], hit).alias("out"), (at + F.char_length(text)).alias("at"))
 
-    placed = each_struct(lines.where(F.contains("line", F.lit(".py#L"))), [doc, "line_no", "line"], F.aggregate(found, start, step, lambda acc: acc["out"]), "reference")
-    part = lambda i: F.regexp_extract("reference", LINE_REFERENCE, i)
-    raw = part(2)
-    own = F.when(F.contains(F.col(doc), F.lit("/")), F.concat(paths.dir_name(F.col(doc)), F.lit("/"))).otherwise("")
-    rows = placed.where(~raw.startswith("http://") & ~raw.startswith("https://") & ~raw.startswith("/")).select(
+    single = F.array(F.struct(F.element_at("_found", 1).alias("reference"), F.position(F.element_at("_found", 1), F.col("line")).alias("offset")))
+    hits = F.when(F.size("_found") == 1, single).otherwise(F.aggregate("_found", start, step, lambda acc: acc["out"]))
+    placed = each_struct(found, [doc, "line_no"], hits, "reference")
+    # by its pattern a reference has one "](" that ends the label, one "#", and only "-" between its numbers
+    raw = F.substring_index(F.substr("reference", F.instr("reference", "](") + 2), "#", 1)
+    span = F.translate(F.substring_index("reference", "#", -1), "L)", "")
+    own = F.left(doc, F.char_length(doc) - F.char_length(paths.base_name(F.col(doc))))
+    here = placed.where(~raw.startswith("http://") & ~raw.startswith("https://") & ~raw.startswith("/")).withColumn("_path", F.concat(own, raw))
+    # in the generator a path is folded once: as a column it would be folded anew in each filter that asks for it
+    rows = each_struct(here, [doc, "line_no", "offset", "reference"], F.array(F.struct(paths.fold_path(F.col("_path")).alias("target"))), "target")
+    return rows.select(
         doc,
         "line_no",
         F.col("offset").cast("long").alias("offset"),
         "reference",
-        paths.fold_path(F.concat(own, raw)).alias("target"),
-        _number(part(3)).alias("start"),
-        F.when(part(4) != "", _number(part(4))).alias("end"),
+        "target",
+        _number(F.substring_index(span, "-", 1)).alias("start"),
+        F.when(F.contains(span, F.lit("-")), _number(F.substring_index(span, "-", -1))).alias("end"),
     )
-    return rows.where(F.col("target").isNotNull())
 
 
 def logical_lines(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -175,3 +175,12 @@ def test_line_references_out_of_text(spark, frame, rows):
     assert sorted(rows(out, "path", "target", "issue", "bad_line", "n_lines"), key=repr) == sorted([
         ("d/n.md", "x/c.py", "not_found", None, None), ("d/n.md", "d/b.py", "out_of_range", 10**18, 4), ("d/n.md", "d/b.py", "out_of_range", 7, 4),
     ], key=repr)
+
+
+def test_line_references_are_taken_apart_once(frame):
+    lines = frame("doc string, line_no long, line string", ("d/n.md", 1, "[a](../b.py#L1)"))
+    refs = scans.line_reference_scan(lines, "doc")
+    # as the join of an audit asks for it: filters on the result must not compute paths and patterns anew
+    plan = refs.where("target <> 'x'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(split(") == 1 and plan.count("regexp_extract(") == 0 and plan.count("regexp_extract_all(") == 1
+    assert [tuple(r) for r in refs.collect()] == [("d/n.md", 1, 1, "[a](../b.py#L1)", "b.py", 1, None)]
