@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from corpuswarden.session import apply_runtime, fresh_path
 
@@ -105,11 +105,12 @@ def receipt_state(events: DataFrame, key: str, check: str, ts: str, watermark: s
     latest time of a pair only, so a hot pair is a few rows per batch."""
     fields = [events.schema[key], events.schema[check]]
     newest = events.select(key, check, ts).mapInArrow(partial(_newest, keys=[key, check], ts=ts), StructType([*fields, events.schema[ts]]))
-    out = StructType([*fields, StructField("latest", TimestampType()), StructField("expired", BooleanType())])
+    out = StructType([*fields, StructField("latest", LongType()), StructField("expired", BooleanType())])
     state = StructType([StructField("checks", ArrayType(fields[1].dataType)), StructField("latest", ArrayType(LongType()))])
     grouped = newest.withWatermark(ts, watermark).groupBy(key)
     update = partial(_receipts, check=check, ts=ts, keep_us=keep // timedelta(microseconds=1), names=out.names)
-    return grouped.applyInPandasWithState(update, out, state, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = grouped.applyInPandasWithState(update, out, state, "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.withColumn("latest", F.timestamp_micros("latest"))
 
 
 def _newest(batches: Iterator[pa.RecordBatch], keys: list[str], ts: str) -> Iterator[pa.RecordBatch]:
@@ -119,9 +120,15 @@ def _newest(batches: Iterator[pa.RecordBatch], keys: list[str], ts: str) -> Iter
             yield from best.combine_chunks().to_batches()
 
 
-def _micros(times: pd.Series) -> pd.Series:
+def _micros(times: pd.Series) -> list[int]:
     """Instants as whole microseconds; the times of a batch are without zone, in UTC."""
-    return times.astype("datetime64[us]").astype("int64")
+    return times.to_numpy().astype("datetime64[us]").astype("int64").tolist()
+
+
+def _frame(key: tuple, rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows of one key. Times stay whole numbers: to make and convert them key by key costs more than all else."""
+    columns = [[k] * len(rows) for k in key] + [list(c) for c in zip(*rows)]
+    return pd.DataFrame(dict(zip(names, columns)))
 
 
 def _receipts(
@@ -131,7 +138,7 @@ def _receipts(
     newer: dict = {}
     if not state.hasTimedOut:
         for f in frames:
-            for name, at in zip(f[check].tolist(), _micros(f[ts]).tolist()):
+            for name, at in zip(f[check].tolist(), _micros(f[ts])):
                 known = newer.get(name, held.get(name))
                 if known is None or at > known:
                     newer[name] = at
@@ -144,9 +151,9 @@ def _receipts(
         state.setTimeoutTimestamp(max(min(map(ends, left.values())), mark + 1))
     elif state.exists:
         state.remove()
-    rows = [(*key, name, pd.Timestamp(at, unit="us"), name not in left) for name, at in now.items() if name in newer or name not in left]
+    rows = [(name, at, name not in left) for name, at in now.items() if name in newer or name not in left]
     if rows:
-        yield pd.DataFrame(rows, columns=names)
+        yield _frame(key, rows, names)
 
 
 def receipt_verdict(required: DataFrame, receipts: DataFrame, key: str, check: str, as_of: Column, valid: str) -> DataFrame:
@@ -209,22 +216,29 @@ def windowed_run_verdict(runs: DataFrame, key: str, ts: str, wait: str, watermar
     )
 
 
-def edit_sessions(edits: DataFrame, key: str, ts: str, gap: timedelta, watermark: str) -> DataFrame:
+#: Groups of keys that share one state, so that Python is called per group of keys.
+BUCKETS = 1_024
+
+
+def edit_sessions(edits: DataFrame, key: str, ts: str, gap: timedelta, watermark: str, buckets: int = BUCKETS) -> DataFrame:
     """Bursts of edits of each key, split where the gap is reached: an update stream of
     ``session_start``, ``session_end`` (last edit and gap), ``n_edits`` and ``open``.
 
     A burst is given out while it is open, again whenever it grows, and once more by a
     timer when the watermark has passed its end. ``upserted`` by key and start
     folds the rows; a burst that a late edit joined to an earlier one is taken
-    back by a row without edits. Each task sends bursts, not edits."""
+    back by a row without edits. Each task sends bursts, not edits. A state holds the
+    open bursts of all keys of one of ``buckets`` groups, a number that must stay the
+    same for one checkpoint; keys, of any type that a text is cast back to, travel as texts."""
     kind, us = edits.schema[key], gap // timedelta(microseconds=1)
-    spans = StructType([kind, edits.schema[ts], StructField("first_us", LongType()), StructField("n", LongType())])
-    bursts = edits.select(key, ts).mapInArrow(partial(_bursts, ts=ts, gap=us), spans)
-    stamp = [StructField(n, TimestampType()) for n in ("session_start", "session_end")]
-    out = StructType([kind, *stamp, StructField("n_edits", LongType()), StructField("open", BooleanType())])
-    state = StructType([StructField(n, ArrayType(LongType())) for n in ("first", "last", "n")])
-    grouped = bursts.withWatermark(ts, watermark).groupBy(key)
-    return grouped.applyInPandasWithState(partial(_sessions, ts=ts, gap=us, names=out.names), out, state, "update", GroupStateTimeout.EventTimeTimeout)
+    spans = StructType([StructField(key, StringType()), edits.schema[ts], StructField("first_us", LongType()), StructField("n", LongType())])
+    bursts = edits.select(F.col(key).cast("string").alias(key), ts).mapInArrow(partial(_bursts, ts=ts, gap=us), spans)
+    out = StructType([StructField(key, StringType()), *[StructField(n, LongType()) for n in ("session_start", "session_end", "n_edits")], StructField("open", BooleanType())])
+    state = StructType([StructField("key", ArrayType(StringType())), *[StructField(n, ArrayType(LongType())) for n in ("first", "last", "n")]])
+    grouped = bursts.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).withWatermark(ts, watermark).groupBy("_bucket")
+    update = partial(_sessions, name=key, ts=ts, gap=us, names=out.names)
+    rows = grouped.applyInPandasWithState(update, out, state, "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.select(F.col(key).cast(kind.dataType).alias(key), *[F.timestamp_micros(n).alias(n) for n in ("session_start", "session_end")], "n_edits", "open")
 
 
 def _merged(spans: Iterable[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
@@ -253,26 +267,33 @@ def _bursts(batches: Iterator[pa.RecordBatch], ts: str, gap: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], ts, "first_us", "n"])
 
 
-def _sessions(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ts: str, gap: int, names: list[str]) -> Iterator[pd.DataFrame]:
-    held = list(zip(*state.get)) if state.exists else []
-    now, rows = held, []
+def _sessions(
+    bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState, name: str, ts: str, gap: int, names: list[str]
+) -> Iterator[pd.DataFrame]:
+    held: dict = {}
+    for k, *span in zip(*state.get) if state.exists else ():
+        held.setdefault(k, []).append(tuple(span))
+    fresh: dict = {}
     if not state.hasTimedOut:
         for f in frames:
-            now = _merged([*now, *zip(f["first_us"].tolist(), _micros(f[ts]).tolist(), f["n"].tolist())], gap)
-        rows += [(first, 0, 0, False) for first in {h[0] for h in held} - {s[0] for s in now}]
+            for k, *span in zip(f[name].tolist(), f["first_us"].tolist(), _micros(f[ts]), f["n"].tolist()):
+                fresh.setdefault(k, []).append(tuple(span))
     mark = state.getCurrentWatermarkMs()
     ends = lambda s: (s[1] + gap) // 1000
-    closed, left = [s for s in now if ends(s) < mark], [s for s in now if ends(s) >= mark]
-    rows += [(s[0], s[1] + gap, s[2], False) for s in closed]
-    rows += [(s[0], s[1] + gap, s[2], True) for s in left if s not in held]
+    rows, left = [], []
+    for k in held | fresh:
+        known = held.get(k, [])
+        now = _merged([*known, *fresh[k]], gap) if k in fresh else known
+        rows += [(k, first, 0, 0, False) for first in {h[0] for h in known} - {s[0] for s in now}]
+        rows += [(k, s[0], s[1] + gap, s[2], ends(s) >= mark) for s in now if ends(s) < mark or s not in known]
+        left += [(k, *s) for s in now if ends(s) >= mark]
     if left:
-        state.update(tuple([s[i] for s in left] for i in range(3)))
-        state.setTimeoutTimestamp(max(min(map(ends, left)), mark + 1))
+        state.update(tuple(map(list, zip(*left))))
+        state.setTimeoutTimestamp(max(min(ends(s[1:]) for s in left), mark + 1))
     elif state.exists:
         state.remove()
     if rows:
-        made = [(*key, pd.Timestamp(a, unit="us"), pd.Timestamp(z, unit="us"), n, is_open) for a, z, n, is_open in rows]
-        yield pd.DataFrame(made, columns=names)
+        yield pd.DataFrame(dict(zip(names, map(list, zip(*rows)))))
 
 
 def blocking_sessions(updates: DataFrame, key: str) -> DataFrame:

@@ -103,6 +103,34 @@ def test_open_bursts_block_and_late_edits_join_them(spark, frame, rows):
     assert closed == [("a", at(0), at(45), 4, True), ("b", at(5), at(20), 1, False), ("b", at(31), at(46), 1, True), ("c", at(100), at(115), 1, True)]
 
 
+def test_bursts_of_many_keys_share_states(spark, frame, rows):
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+    frames = [timed.pd.Series(x) for x in (["a", "b", None, "a"], [0, 5, 9, 70], [1, 5, 9, 70], [2, 1, 1, 1])]
+    state, chunk = State(), dict(zip(("k", "first_us", "ts", "n"), frames))
+    chunk["ts"] = timed.pd.to_datetime(chunk["ts"], unit="us")
+    (out,) = timed._sessions((1,), iter([chunk]), state, "k", "ts", 50, ["k", "s", "e", "n", "open"])
+    assert out.values.tolist() == [["a", 0, 51, 2, True], ["a", 70, 120, 1, True], ["b", 5, 55, 1, True], [None, 9, 59, 1, True]]
+    assert state.value == (["a", "a", "b", None], [0, 70, 5, 9], [1, 70, 5, 9], [2, 1, 1, 1])
+    # as many keys as it takes, null among them, over few states
+    data = [(None if k == 7 else f"k{k}", i, at(k % 5 + 40 * i), "edit", None) for k in range(40) for i in range(3)]
+    stream = feed(spark, frame, fresh_path(spark, "in"), *data)
+    updates = timed.run_once(timed.edit_sessions(stream, "k", "ts", timedelta(minutes=15), "1 minute", buckets=3), "update")
+    got = timed.blocking_sessions(updates, "k")
+    expected = [(k, t, t + timedelta(minutes=15), 1, t + timedelta(minutes=15) >= at(83)) for k, _, t, *_ in data]
+    assert sorted(rows(got), key=repr) == sorted(expected, key=repr)
+
+
 def test_mean_over_weeks(spark, frame, rows):
     day = 24 * 60
     data = [("a", i, at(d * day), "x", None) for i, d in enumerate([3, 4, 10, 25, 26, 27, 60])]
