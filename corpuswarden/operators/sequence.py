@@ -9,6 +9,8 @@ from corpuswarden.functions.ordered import Order, ordinal_in_group, positions, r
 from corpuswarden.functions.text import heading_slug
 from corpuswarden.session import Stages, materialize
 
+#: Rounds of a walk after which known classes are asked for again at the latest.
+PATIENCE = 8
 FENCE = r"^\s*(```|~~~)"
 
 
@@ -61,34 +63,47 @@ def first_definition_wins(owners: DataFrame, bases: DataFrame, members: DataFram
     member, pos)``. Bases are walked left to right and depth first; the first
     definition of a member wins. Each (owner, class) pair is kept with the
     smallest path of base positions that leads to it, so that diamonds are
-    walked once and loops end. Rounds: as many as the hierarchy is deep."""
-    edges, _ = materialize(
-        bases.where(F.col("private"))
+    walked once and loops end. Rounds: as many as the hierarchy is deep.
+
+    What is known is only asked again when it has doubled: a pair walked twice in
+    between adds a later path, which loses in the end. Walks must not close a ring
+    meanwhile. They can't where all bases come before their owners in order of
+    names; elsewhere a walk carries its classes and asks after ``PATIENCE`` rounds."""
+    edges, n_up = materialize(
+        bases.where(F.col("private") & (F.col("owner") != F.col("base")))
         .groupBy(F.col("owner").alias("_from"), F.col("base").alias("_to"))
-        .agg(F.min("pos").cast("long").alias("_pos")),
+        .agg(F.min("pos").alias("_pos")),
         "bases",
+        F.col("_to") > F.col("_from"),
     )
-    root = F.array().cast("array<bigint>")
-    start = owners.select("owner").distinct().select("owner", F.col("owner").alias("class"), root.alias("path"))
+    walk = {"path": F.array().cast(f"array<{edges.schema['_pos'].dataType.simpleString()}>")}
+    if n_up:
+        walk["seen"] = F.array("owner")
+    start = owners.select("owner").distinct().select("owner", F.col("owner").alias("class"), *[c.alias(n) for n, c in walk.items()])
     reached = Stages(owners.sparkSession, "classes")
-    frontier, _ = reached.add(start)
-    while True:
-        step = (
-            frontier.join(edges, F.col("class") == F.col("_from"))
-            .groupBy("owner", F.col("_to").alias("class"))
-            .agg(F.min(F.concat("path", F.array("_pos"))).alias("path"))
-        )
-        # a class met again counts only if the new path comes before every known one
-        known = reached.all().select(F.col("owner").alias("_o"), F.col("class").alias("_c"), F.col("path").alias("_p"))
-        earlier = (F.col("owner") == F.col("_o")) & (F.col("class") == F.col("_c")) & (F.col("_p") <= F.col("path"))
-        frontier, n_new = reached.add(step.join(known, earlier, "left_anti"))
-        if not n_new:
-            break
+    frontier, n_new = reached.add(start)
+    asked, since, waited = n_new, 0, 0
+    while n_new:
+        # merged, not broadcast: these sides grow with the hierarchy and would pass through the driver
+        step = frontier.join(edges.hint("merge"), F.col("class") == F.col("_from"))
+        longer = [F.concat("path", F.array("_pos")).alias("path")]
+        if n_up:
+            step = step.where(~F.array_contains("seen", F.col("_to")))
+            longer.append(F.concat("seen", F.array("_to")).alias("seen"))
+        step = step.groupBy("owner", F.col("_to").alias("class")).agg(F.min(F.struct(*longer)).alias("_w")).select("owner", "class", "_w.*")
+        waited += 1
+        if since >= asked or (n_up and waited >= PATIENCE):
+            # a class met again counts only if the new path comes before every known one
+            known = reached.all().select(F.col("owner").alias("_o"), F.col("class").alias("_c"), F.col("path").alias("_p"))
+            earlier = (F.col("owner") == F.col("_o")) & (F.col("class") == F.col("_c")) & (F.col("_p") <= F.col("path"))
+            step = step.join(known.hint("merge"), earlier, "left_anti")
+            asked, since, waited = asked + since, 0, 0
+        frontier, n_new = reached.add(step)
+        since += n_new
     own = members.select(F.col("owner").alias("class"), "member", F.col("pos").alias("_mpos"))
-    inherited = reached.all().join(own, "class")
-    return inherited.groupBy("owner", "member").agg(
-        F.min_by(F.struct(F.col("class").alias("from_class"), F.size("path").cast("long").alias("depth")), F.struct("path", "_mpos")).alias("_w")
-    ).select("owner", "member", "_w.from_class", "_w.depth")
+    inherited = reached.all().select("owner", "class", "path").join(own.hint("merge"), "class")
+    first = inherited.groupBy("owner", "member").agg(F.min(F.struct("path", "_mpos", F.col("class").alias("from_class"))).alias("_w"))
+    return first.select("owner", "member", "_w.from_class", F.size("_w.path").cast("long").alias("depth"))
 
 
 def canonical_order(df: DataFrame, name: str, ranking: list[str], seq: list[str]) -> DataFrame:

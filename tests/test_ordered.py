@@ -164,6 +164,18 @@ def test_inheritance_equals_a_depth_first_walk(frame, rows):
     assert sorted(rows(inheritance(frame, bases, members), "owner", "member", "from_class", "depth")) == expected
 
 
+def test_known_classes_are_asked_for_when_they_have_doubled(frame, rows, monkeypatch):
+    asked = []
+    plain = sequence.Stages.all
+    monkeypatch.setattr(sequence.Stages, "all", lambda self: asked.append(1) or plain(self))
+    # a ladder of diamonds 16 classes deep, bases before owners: 16 rounds asked for all of them
+    bases = [(f"c{k:02}", f"c{k - step:02}", i, True) for k in range(17) for i, step in enumerate((1, 2)) if k >= step]
+    got = rows(inheritance(frame, bases, [(f"c{k:02}", "m" if k % 3 else f"m{k}", 0) for k in range(17)]))
+    assert len(asked) <= 6
+    depth = {(o, m): d for o, m, _, d in got}
+    assert depth["c16", "m0"] == 16 and depth["c16", "m"] == 0 and depth["c15", "m"] == 1 and len(got) == len(depth)
+
+
 def test_orders_are_what_they_say(frame, rows):
     df = frame("n string, s int", ("b", 1), ("A", 2), ("a", 3), ("C", 4))
     got = sequence.canonical_order(df, "n", ["C", "a"], ["s"])
