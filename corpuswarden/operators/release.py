@@ -16,6 +16,11 @@ from corpuswarden.session import materialize
 HOPS = 3
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the graph: sorted and merged, as a broadcast of it in every round passes through the driver."""
+    return side.hint("merge")
+
+
 def _chains(links: DataFrame, chosen: DataFrame) -> DataFrame:
     """``node``, ``top``, ``dist`` of every node with one upstream, not chosen itself: the first node up
     its chain that is chosen or has several upstreams or none, by pointer doubling.
@@ -23,12 +28,12 @@ def _chains(links: DataFrame, chosen: DataFrame) -> DataFrame:
     Each round reads the one before only and doubles the links that a pointer spans.
     Nodes below a ring of such nodes, which nothing enters, are left out."""
     one = links.groupBy(F.col("downstream").alias("node")).agg(F.count("*").alias("n"), F.min("upstream").alias("top")).where("n = 1")
-    start = one.join(chosen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
+    start = one.join(_merged(chosen.select(F.col("node").alias("_n"))), F.col("node") == F.col("_n"), "left_anti")
     pointers, n = materialize(start.select("node", "top", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("open")), "chains")
     span = 1
     while span <= n:
         above = pointers.select(F.col("node").alias("_node"), F.col("top").alias("_top"), F.col("dist").alias("_dist"))
-        joined = pointers.join(above, F.col("top") == F.col("_node"), "left")
+        joined = pointers.join(_merged(above), F.col("top") == F.col("_node"), "left")
         moved = joined.select(
             "node", F.coalesce("_top", "top").alias("top"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_top").isNotNull().alias("open")
         )
@@ -54,20 +59,20 @@ def dependency_cascade(edges: DataFrame, selection: DataFrame, name: str) -> Dat
     chains = _chains(links, chosen)
     fixed = chosen.unionByName(chains.select("node")).select(F.col("node").alias("_n"))
     over = chains.select(F.col("node").alias("_node"), "top", "dist")
-    meets = links.join(fixed, F.col("downstream") == F.col("_n"), "left_anti").join(over, F.col("upstream") == F.col("_node"), "left")
+    meets = links.join(_merged(fixed), F.col("downstream") == F.col("_n"), "left_anti").join(_merged(over), F.col("upstream") == F.col("_node"), "left")
     steps = meets.groupBy(F.coalesce("top", "upstream").alias("up"), F.col("downstream").alias("down")).agg(F.min(F.coalesce("dist", F.lit(0)) + 1).alias("step"))
     steps, n = materialize(steps, "meets")
     levels, _ = materialize(chosen.select("node", F.lit(0).cast("long").alias("level"), F.lit(True).alias("nearer")), "levels")
     while n:
         front, found = levels.where("nearer").select("node", "level"), []
         for _ in range(HOPS):
-            front = steps.join(front, F.col("up") == F.col("node")).groupBy(F.col("down").alias("node")).agg(F.min(F.col("level") + F.col("step")).alias("level"))
+            front = steps.join(_merged(front), F.col("up") == F.col("node")).groupBy(F.col("down").alias("node")).agg(F.min(F.col("level") + F.col("step")).alias("level"))
             found.append(front)
         both = reduce(DataFrame.unionByName, [f.withColumn("old", F.lit(None).cast("long")) for f in found], levels.select("node", "level", F.col("level").alias("old")))
         best = both.groupBy("node").agg(F.min("level").alias("level"), F.min("old").alias("old"))
         marked = best.select("node", "level", (F.col("old").isNull() | (F.col("level") < F.col("old"))).alias("nearer"))
         levels, n = materialize(marked, "levels", F.col("nearer"))
-    below = over.join(levels, F.col("top") == F.col("node")).select(F.col("_node").alias("node"), (F.col("level") + F.col("dist")).alias("level"))
+    below = over.join(_merged(levels), F.col("top") == F.col("node")).select(F.col("_node").alias("node"), (F.col("level") + F.col("dist")).alias("level"))
     return levels.select("node", "level").unionByName(below).select(
         F.col("node").alias(name), F.when(F.col("level") == 0, "selected").otherwise("added").alias("mark"), "level"
     )

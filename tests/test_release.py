@@ -47,6 +47,17 @@ def test_long_chain_takes_few_rounds(frame, rows, monkeypatch):
     assert {r[0]: r[2] for r in rows(out)} == {k: k for k in range(1_201)} and len(rounds) <= 20
 
 
+def test_cascade_sends_no_table_to_the_driver(frame, monkeypatch):
+    plans = []
+    plain = ops.materialize
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(ops, "materialize", lambda df, label, *counted: note(df) or plain(df, label, *counted))
+    edges = [(k // 2, k) for k in range(1, 40)] + [(k // 3, k) for k in range(3, 40)]
+    out = ops.dependency_cascade(frame("upstream int, downstream int", *edges), frame("n int", (2,)), "n")
+    note(out)
+    assert len(plans) > 4 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_receipt_age_limit_is_inclusive(frame, rows):
     required = frame("k string, c string", *[(f"p@{i}", "tests") for i in range(4)], ("p@0", "review"))
     ts = [NOW - timedelta(days=7), NOW - timedelta(days=7, microseconds=1), NOW]
