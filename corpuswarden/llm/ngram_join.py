@@ -139,17 +139,18 @@ def _profiles(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
 
 
 def _tiles(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """Rows ``key``, ``tile``, ``id``: a document in a tile; ``key`` splits crowded tiles.
+    """Rows ``key``, ``tile``, ``id``, ``more``: a document in a tile; ``key`` splits crowded tiles.
 
     Where many documents of a batch share a tile they form a group with a key of
     its own, which only its first document leaves; copies within a batch
-    are in one group instead of in all their tiles."""
+    are in one group instead of in all their tiles. ``more`` marks the rows of such
+    groups, whose tiles have rows under other keys."""
     source = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    out = StructType([StructField("key", LongType()), StructField("tile", LongType()), StructField("id", source.schema["doc_id"].dataType)])
+    out = StructType([StructField("key", LongType()), StructField("tile", LongType()), StructField("id", source.schema["doc_id"].dataType), StructField("more", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tiles, rows, keys, first = [], [], [], {}
+            tiles, rows, first = [], [], {}
             for i, text in enumerate(texts_of(batch)):
                 hashes = shingle_set(text, words)
                 if not len(hashes):
@@ -173,15 +174,19 @@ def _tiles(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 key[crowded] = mix64(tile[crowded] + mix64(tile[:1] + np.uint64(len(tile))))
             lead = at[count >= CROWD]
             key, tile, row = (np.concatenate([a, b]) for a, b in ((key, tile[lead]), (tile, tile[lead]), (row, row[lead])))
+            more = np.concatenate([crowded, np.ones(len(lead), bool)])
             ids = batch.column(0).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tile.view(np.int64)), ids], out.names)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tile.view(np.int64)), ids, pa.array(more)], out.names)
 
     return source.mapInArrow(run, out)
 
 
 def _members(tiles: DataFrame) -> DataFrame:
-    """Rows ``tile``, ``id``, ``first`` of all keys with two rows or more, one run of equal keys after the other."""
-    kind = tiles.schema["id"].dataType
+    """Rows ``tile``, ``id``, ``first`` of all keys with two rows or more, one run of equal keys after the other.
+
+    Where ``more`` is given, a tile that is known to have two rows only comes as its second one alone, without ``tile``:
+    the two are compared, and nothing else is left to compare there."""
+    kind, marked = tiles.schema["id"].dataType, "more" in tiles.columns
     out = StructType([StructField("tile", LongType()), StructField("id", kind), StructField("first", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +201,16 @@ def _members(tiles: DataFrame) -> DataFrame:
             leads = ids.take(pa.array(np.flatnonzero(begins)))
             if goes_on:
                 leads = pa.concat_arrays([first_now, leads])
-            wanted = np.bincount(run_of)[run_of] > 1
+            size = np.bincount(run_of)
+            wanted = size[run_of] > 1
             if goes_on:
                 wanted[run_of == 0] = True
+            if marked:
+                # runs at an end of the batch may have more rows in another one
+                two = (size == 2) & (np.bincount(run_of, batch.column(3).to_numpy(zero_copy_only=False)) == 0)
+                two[[run_of[0], run_of[-1]]] = False
+                wanted &= ~(two[run_of] & begins)
+                tile = pa.array(tile.to_numpy(), mask=two[run_of])
             at = pa.array(np.flatnonzero(wanted))
             if goes_on and waiting is not None:
                 # the run's first document, alone until now
@@ -451,7 +463,7 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80
     equal = copies.where(F.col("doc_id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
     links, _ = materialize(_verified(pairs, profiles, docs, words, bands).union(equal), "ngram-join")
     found, _ = materialize(components(links, "a", "b"), "ngram-join")
-    torn, n = materialize(_torn(members, leads, found, profiles), "ngram-join")
+    torn, n = materialize(_torn(members.where("tile IS NOT NULL"), leads, found, profiles), "ngram-join")
     if n:
         likely, _ = materialize(_likely(torn, bands), "ngram-join")
         more, _ = materialize(_verified(likely, profiles, docs, words, bands), "ngram-join")

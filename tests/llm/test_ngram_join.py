@@ -139,3 +139,17 @@ def test_components_of_chains_and_stars(spark):
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert got == closure({n for x in real for n in x}, real)
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_tiles_of_two_are_compared_once(spark):
+    """Two rows alone in a tile need no second look; rows of a crowded tile, the first of a group among them, do."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    rows = [(k, k * 10, i, k == 5) for k in range(1, 8) for i in range(3 if k == 6 else 2)]
+    made = spark.createDataFrame(rows, "key long, tile long, id long, more boolean").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = sorted((tuple(r) for r in nj._members(made).collect()), key=repr)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    twos = [r for r in got if r[0] is None]
+    # the first and the last key of the batch may go on in another one
+    assert twos == [(None, 1, 0)] * 3
+    assert [r for r in got if r[0]] == sorted([(k * 10, i, 0) for k in (1, 5, 6, 7) for i in range(3 if k == 6 else 2)], key=repr)
