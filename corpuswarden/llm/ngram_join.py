@@ -8,9 +8,10 @@ non-empty part in common. A tile is a band, a part number and that part's
 content. Since a part holds several shingles, passages that many documents share
 do not crowd a tile; copies and near copies do, and there each document is
 compared with the first one of its tile. What then stays apart in a tile is
-compared across its components twice: first one likely pair for each component
-that may be taken in, then, where bitmaps still leave pairs open, by the sets
-themselves within the tile. Either way fewer pairs leave a tile than it has rows.
+compared across its components by bitmaps. Rows whose pairs stay open leave it in groups, and
+equal groups of several tiles are one. In a group first one likely pair is decided for each
+component that may be taken in, then what is still open, by the sets themselves.
+Fewer pairs leave a tile or group than it has rows.
 
 Each set also has a bitmap: one bit per hash class, set if the class holds an odd
 number of shingles. Every differing shingle flips one bit, so the bits in which
@@ -20,6 +21,7 @@ Pairs that pass it are decided by intersecting the sorted sets.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ CROWD = 8
 TILE_ROWS = 2_048
 #: Shingles of the rows that are compared at once, so that their sets take some 32 MB.
 TILE_SHINGLES = 1 << 22
+#: Bits for each id that is asked for, and most bits of all: 8 MB.
+ASKED_BITS, ASKED_MOST = 32, 1 << 26
 
 
 class Bands:
@@ -245,15 +249,35 @@ def _open_pairs(pairs: DataFrame, profiles: DataFrame, bands: Bands) -> DataFram
     return joined.select("a", "b", "na", "nb", "ca", "cb", "xa", "xb").mapInArrow(run, out)
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """The pairs whose sets, made again from their texts, do link."""
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
+def _asked(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (column ``id``, ``most`` rows at most), and some others.
+
+    A bitmap of hashed ids of bounded size is compared with every row where it lies, so that no text is shuffled to tell."""
+    bits = min(ASKED_MOST, max(1 << 15, 1 << (ASKED_BITS * most - 1).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bucket = lambda c: F.shiftright(bit(c), 15)
+    place = lambda c: bit(c).bitwiseAND(F.lit((1 << 15) - 1))
+    dealt = ids.select(bucket("id").alias("_bucket"), place("id").alias("_place")).distinct().repartition("_bucket")
+    maps = dealt.groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    at = place("doc_id").cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    has = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), at.bitwiseAND(F.lit(7)) + 1)) > 0
+    return docs.join(F.broadcast(maps), (bucket("doc_id") == F.col("_bucket")) & has, "left_semi")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, most: int, words: int) -> DataFrame:
+    """``doc_id`` and ``hashes``, the sorted set, of the rows with these ids, and of some others."""
 
     def make() -> Callable[[list[str]], list]:
         return lambda texts: [[shingle_set(t, words).tobytes() for t in texts]]
 
-    sets = map_texts(texts, make, [StructField("hashes", BinaryType())])
+    return map_texts(_asked(docs, ids, most).select("doc_id", "text"), make, [StructField("hashes", BinaryType())])
+
+
+def _exact(pairs: DataFrame, most: int, docs: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """The pairs (``most`` at most) whose sets, made again from their texts, do link."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    sets = _sets(docs, ids, 2 * most, words)
     out = StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +296,8 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, bands: Bands) -> DataF
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    left, _ = materialize(_open_pairs(pairs, profiles, bands), "ngram-join")
-    exact = _exact(left.where("NOT equal").select("a", "b"), docs, words, bands)
+    left, n = materialize(_open_pairs(pairs, profiles, bands), "ngram-join", counted=~F.col("equal"))
+    exact = _exact(left.where("NOT equal").select("a", "b"), n, docs, words, bands)
     return left.where("equal").select("a", "b").union(exact)
 
 
@@ -301,14 +325,20 @@ def _between_leads(pairs: DataFrame, copies: DataFrame) -> DataFrame:
 def _torn(members: DataFrame, leads: DataFrame, found: DataFrame, profiles: DataFrame) -> DataFrame:
     """Rows of tiles that hold several components, with their sizes and bitmaps, cut in blocks.
 
-    Only the ``leads`` of equal sets are looked at. Rows of one tile meet in blocks of
-    bounded rows and bytes, each two blocks under a key of their own (``tile``, ``low``, ``high``)."""
+    Only the ``leads`` of equal sets are looked at, and of tiles with the same rows one only.
+    Rows of one tile meet in blocks of bounded rows and bytes, each two blocks under a key of
+    their own (``tile``, ``low``, ``high``)."""
     nodes = leads.join(found, F.col("lead") == F.col("node"), "left").select("lead", "size", F.coalesce("component", "lead").alias("c"))
     mem = members.select("tile", "id").join(nodes, F.col("id") == F.col("lead")).select("tile", "id", "c", F.col("size").alias("_size"))
-    torn = mem.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum("_size").alias("total"))
+    # sums of halves of hashes tell which rows a tile has; repeated ones count as often as they stand there
+    one, two = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    halves = [h for x in (one, two) for h in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1)))]
+    sums = [F.sum(h).alias(f"s{i}") for i, h in enumerate(halves)]
+    torn = mem.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum("_size").alias("total"), *sums)
     blocks = F.ceil(F.greatest(F.col("n") / TILE_ROWS, F.col("total") / TILE_SHINGLES)).cast("int")
     # of two documents in a tile one is the first, and they have been compared
-    torn = torn.where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select(F.col("tile").alias("_tile"), blocks.alias("blocks"))
+    torn = torn.where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select("tile", blocks.alias("blocks"), F.xxhash64("n", "s0", "s1").alias("x"), F.xxhash64("s2", "s3", "n").alias("y"))
+    torn = torn.groupBy("x", "y", "blocks").agg(F.min("tile").alias("_tile")).select("_tile", "blocks")
     rows = mem.join(torn, F.col("tile") == F.col("_tile"))
     rows = rows.join(profiles.select("doc_id", "n_shingles", "bitmap"), F.col("id") == F.col("doc_id"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -356,13 +386,24 @@ class Tile:
         return pairs
 
     def undecided(self) -> list[tuple]:
-        """Rows with an open pair."""
-        seen = np.zeros(len(self.rows), bool)
+        """Rows with an open pair, in groups between which no pair is open.
+
+        A group's number, in place of the tile's, tells its rows: many tiles leave the same group."""
+        group = np.arange(len(self.rows))
         for i in range(len(self.rows)):
             near = self.open(i)
-            seen[near] = True
-            seen[i] |= len(near) > 0
-        return [self.rows[i] for i in np.flatnonzero(seen)]
+            if len(near):
+                group[np.isin(group, group[near])] = group[i]
+        out = []
+        order = np.argsort(group, kind="stable")
+        for places in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            if len(places) > 1:
+                rows = [self.rows[i] for i in places]
+                low, high = rows[0][1:3] if self.two else (0, 0)
+                rows = [(low, high, r[3] if self.two else 0, *r[4:]) for r in rows]
+                digest = hashlib.md5(repr(sorted((repr(r[3]), r[:3], r[5], r[6]) for r in rows)).encode()).digest()
+                out += [(int.from_bytes(digest[:8], "little", signed=True), *r) for r in rows]
+        return out
 
     def links(self) -> list[tuple]:
         """Pairs that do link, by their sorted sets, as many as join all components that are linked here."""
@@ -408,25 +449,21 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _likely(torn: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs that would join the components of a tile if they link, as far as sizes and bitmaps tell."""
-    kind = torn.schema["id"].dataType
-    return _ordered(_by_tile(torn, bands, Tile.candidates, StructType([StructField("a", kind), StructField("b", kind)])))
+def _likely(rows: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs that would join the components of a group if they link, as far as sizes and bitmaps tell."""
+    kind = rows.schema["id"].dataType
+    return _ordered(_by_tile(rows, bands, Tile.candidates, StructType([StructField("a", kind), StructField("b", kind)])))
 
 
-def _remaining(torn: DataFrame, docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """Links among all that is still open, decided by the sets themselves within the tiles."""
-    kind = torn.schema["id"].dataType
-    rows, n = materialize(_by_tile(torn, bands, Tile.undecided, torn.schema), "ngram-join")
-    if not n:
-        return docs.sparkSession.createDataFrame([], StructType([StructField("a", kind), StructField("b", kind)]))
-    ids = rows.select(F.col("id").alias("_id")).distinct()
-    texts = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
+def _undecided(torn: DataFrame, bands: Bands) -> tuple[DataFrame, int]:
+    """The rows of ``torn`` that sizes and bitmaps leave open, in groups that each stand there once, and how many they are."""
+    return materialize(_by_tile(torn, bands, Tile.undecided, torn.schema).distinct(), "ngram-join")
 
-    def make() -> Callable[[list[str]], list]:
-        return lambda texts: [[shingle_set(t, words).tobytes() for t in texts]]
 
-    sets = map_texts(texts, make, [StructField("hashes", BinaryType())])
+def _decided(rows: DataFrame, n: int, docs: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """Links among the ``n`` rows that are still open, decided by the sets themselves within their groups."""
+    kind = rows.schema["id"].dataType
+    sets = _sets(docs, rows, n, words)
     rows = rows.join(sets, F.col("id") == F.col("doc_id")).where(F.length("hashes") == 8 * F.col("n_shingles")).drop("doc_id")
     return _ordered(_by_tile(rows, bands, Tile.links, StructType([StructField("a", kind), StructField("b", kind)])))
 
@@ -463,16 +500,16 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80
     equal = copies.where(F.col("doc_id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
     links, _ = materialize(_verified(pairs, profiles, docs, words, bands).union(equal), "ngram-join")
     found, _ = materialize(components(links, "a", "b"), "ngram-join")
-    torn, n = materialize(_torn(members.where("tile IS NOT NULL"), leads, found, profiles), "ngram-join")
+    left, n = _undecided(_torn(members.where("tile IS NOT NULL"), leads, found, profiles), bands)
     if n:
-        likely, _ = materialize(_likely(torn, bands), "ngram-join")
+        likely, _ = materialize(_likely(left, bands), "ngram-join")
         more, _ = materialize(_verified(likely, profiles, docs, words, bands), "ngram-join")
         links = links.union(more)
         found, _ = materialize(components(links, "a", "b"), "ngram-join")
-        still = torn.where((F.col("block") == F.col("low")) & (F.col("block") == F.col("high"))).select("tile", "id")
-        torn, _ = materialize(_torn(still, leads, found, profiles), "ngram-join")
-        last, n = materialize(_remaining(torn, docs, words, bands), "ngram-join")
+        joined = left.drop("c").join(found, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
+        left, n = _undecided(joined.select(*left.columns), bands)
         if n:
+            last, _ = materialize(_decided(left, n, docs, words, bands), "ngram-join")
             found, _ = materialize(components(links.union(last), "a", "b"), "ngram-join")
     return profiles.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

@@ -153,3 +153,32 @@ def test_tiles_of_two_are_compared_once(spark):
     # the first and the last key of the batch may go on in another one
     assert twos == [(None, 1, 0)] * 3
     assert [r for r in got if r[0]] == sorted([(k * 10, i, 0) for k in (1, 5, 6, 7) for i in range(3 if k == 6 else 2)], key=repr)
+
+
+def test_texts_not_asked_for_stay(spark, docs):
+    """Few texts are asked for, and next to no other one is made into a set or shuffled."""
+    made = docs(*[f"text {i}" for i in range(4_000)])
+    ids = spark.createDataFrame([(i,) for i in range(0, 4_000, 100)], "id long")
+    got = {r["doc_id"] for r in nj._asked(made, ids, 40).collect()}
+    assert got >= set(range(0, 4_000, 100))
+    assert len(got) < 60
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = nj._sets(made, ids, 40, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_equal_groups_of_tiles_are_one():
+    """The same open rows leave several tiles under one number; rows without an open pair do not leave."""
+    rng, bands = np.random.default_rng(9), nj.Bands(85, 100)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    near = [np.unique(np.concatenate([base[i:], rng.integers(0, 2**63, i).astype(np.uint64)])) for i in (0, 5, 9)]
+    far = [np.unique(rng.integers(0, 2**63, 100).astype(np.uint64)) for _ in range(2)]
+    row = lambda tile, i, s: (tile, 0, 0, 0, i, i, len(s), bands.bitmap(s))
+    first = nj.Tile([row(1, i, s) for i, s in enumerate(near + far[:1])], bands).undecided()
+    second = nj.Tile([row(2, i, s) for i, s in enumerate(near)] + [row(2, 9, far[1])], bands).undecided()
+    assert {r[4] for r in first} == {0, 1, 2}
+    assert len({r[0] for r in first}) == 1
+    assert sorted(first) == sorted(second)
