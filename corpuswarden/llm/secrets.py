@@ -17,6 +17,7 @@ All of it is Spark SQL expressions; the driver sees one histogram of fixed size.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from corpuswarden.session import materialize
 
 # The base forms.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: The same, where the first letter is looked at before the words are tried.
+ASSIGN_FAST = "(?=[psatPSAT])" + ASSIGN
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
@@ -46,23 +49,31 @@ ENCODINGS = (
 WORD = "^[A-Z]?[a-z]+$|^[A-Z]+$"
 CLASSES = ("0-9", "a-z", "A-Z", r"+/_\-")
 TESTS = ("p_uniform", "p_classes", "p_runs", "p_serial")
+#: A match with its place.
+HIT = "struct<start:int,end:int,hit:string>"
 #: Least lengths of the bands.
 BANDS = (16, 20, 28, 40, 64)
 #: Width and number of the histogram's steps of -log10 of the combined p-value.
 STEP, STEPS = 0.02, 1_000
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is told once for the row, however often and in whatever lambda the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _starts(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs ``start``, ``end``, ``hit``: leftmost, not overlapping.
 
     ``split`` gives the stretches between the matches; running sums of both
     lengths are the places. They are summed in blocks of about the square root
-    of their number, so that many matches in a text cost little more."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(
-        hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("hit"))
-    )
-    empty = "array<struct<start:int,end:int,hit:string>>"
+    of their number, so that many matches in a text cost little more. The text is
+    searched once, and cut once where there is a match."""
+    empty = f"array<{HIT}>"
+
+    def pairs(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        return F.zip_with(hits, gaps, lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("hit")))
 
     def within(block: Column, base: Column) -> Column:
         return F.aggregate(
@@ -90,20 +101,34 @@ def _starts(text: Column, pattern: str) -> Column:
         )
         return F.flatten(F.zip_with(all_blocks, F.slice(ends, 1, F.size(all_blocks)), within))
 
-    found = joined(blocks(pairs))
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(empty))
+    def found(hits: Column) -> Column:
+        return F.when(F.size(hits) > 0, _once(pairs(hits), lambda p: _once(blocks(p), joined))).otherwise(F.array().cast(empty))
 
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
-def _base(text: Column) -> Column:
-    """Base spans as structs ``start``, ``kind`` (place in KINDS), ``end``, in this order."""
-    span = lambda kind: lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
-    assign = F.filter(_starts(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= 6)
-    # a text without the four letters needs no search
-    access = F.when(F.contains(text, F.lit("AKIA")), _starts(text, ACCESS)).otherwise(
-        F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    )
-    parts = [F.transform(found, span(kind)) for kind, found in enumerate((assign, access, _starts(text, HEX)))]
-    return F.array_sort(F.concat(*parts))
+
+def _base(text: Column, tokens: Column) -> Column:
+    """Base spans as structs ``start``, ``kind`` (place in KINDS), ``end``, in this order.
+
+    Forms of letters and digits only, 16 or more, lie within the matches of TOKEN in
+    the same text, which are as long as they can be; they are searched there."""
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+    def span(kind: int, base: Column | int = 0) -> Callable[[Column], Column]:
+        return lambda m: F.struct((base + m["start"]).alias("start"), F.lit(kind).alias("kind"), (base + m["end"]).alias("end"))
+
+    def inside(kind: int, pattern: str, some: Callable[[Column], Column]) -> Column:
+        long = F.filter(tokens, lambda t: some(t["hit"]))
+        return F.flatten(F.transform(long, lambda t: F.transform(_starts(t["hit"], pattern), span(kind, t["start"]))))
+
+    assign = F.filter(_starts(text, ASSIGN_FAST), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= 6)
+    parts = [
+        F.transform(assign, span(KINDS.index("assign"))),
+        # a token without the four letters needs no search
+        inside(KINDS.index("access"), ACCESS, lambda hit: F.contains(hit, F.lit("AKIA"))),
+        inside(KINDS.index("hex"), HEX, lambda hit: hit.rlike(HEX)),
+    ]
+    return F.array_sort(F.concat(empty, *parts))
 
 
 def _two_sided(z: Column) -> Column:
@@ -228,12 +253,8 @@ def find_secrets(docs: DataFrame, share: float = 0.05) -> DataFrame:
     """
     prepare(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    scanned = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
-        "doc_id",
-        _base(text).alias("_base"),
-        _starts(text, TOKEN).alias("_tokens"),
-    )
+    both = _once(_starts(text, TOKEN), lambda found: F.struct(_base(text, found).alias("_base"), found.alias("_tokens")))
+    scanned = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", both.alias("_found")).select("_row", "doc_id", "_found._base", "_found._tokens")
     table, _ = materialize(scanned, "secrets")
     tokens = table.select("_row", "_base", F.explode("_tokens").alias("t")).select(
         "_row", "t.start", "t.end", F.col("t.hit").alias("token"), F.exists("_base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])).alias("_known")

@@ -5,6 +5,9 @@ import random
 import re
 import string
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpuswarden.llm import secrets
 from corpuswarden.llm.secrets import BANDS, STEP, battery, find_secrets, thresholds
 
@@ -36,6 +39,22 @@ def test_base_spans_equal_plain_expressions(spark, docs):
         assert got[i] == brute(text or ""), text
 
 
+@pytest.mark.parametrize("pattern", [secrets.ASSIGN_FAST, secrets.ACCESS, secrets.HEX, secrets.TOKEN])
+def test_a_text_is_searched_once_for_a_pattern(docs, pattern):
+    plan = docs("x").select(secrets._starts(F.col("text"), pattern).alias("found"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == plan.count("split(") == 1
+
+
+def test_forms_inside_long_tokens_equal_plain_expressions(docs):
+    rng = random.Random(8)
+    parts = ["0123456789abcdef" * 2, "deadbeef" * 3, "AKIA" + "A" * 16, "AKIA", "0" * 23, "g", "Z", "_", "-", "/", "+", "=", " ", ".", "é", "😀", "token=", "Secret: '"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1_000)]
+    texts += [("0" * 24 + "-") * 2_000, ("AKIA" + "A" * 16 + "=") * 2_000]
+    got = {r["doc_id"]: [tuple(s)[:3] for s in r["spans"] if s["kind"] != "random"] for r in find_secrets(docs(*texts)).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == brute(text), text
+
+
 def chi_tail(x, freedom):
     part = 2 / (9 * freedom)
     return math.erfc(((x / freedom) ** (1 / 3) - 1 + part) / math.sqrt(2 * part)) / 2
